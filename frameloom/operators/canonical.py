@@ -1,0 +1,342 @@
+"""Mapping freely typed values to a canonical list; unmatched values are reported.
+
+The distinct values are matched, never the rows. A value is first tried as a
+designation (prefix and number, which must agree exactly), then as a name: exact
+keys, then the closest reference key by a BK-tree over the unrestricted
+Damerau-Levenshtein distance, a true metric, so that the triangle inequality
+prunes the tree without losing an entry.
+
+Reference lists up to `shard_size` keys form one broadcast tree; larger ones are
+split into shards whose winners are merged.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Letters that are also typed as two.
+SPELLED_OUT = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "æ": "ae", "ø": "oe", "å": "aa", "œ": "oe"}
+# Greek letters in names.
+GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta"}
+
+
+def plain(text: str) -> str:
+    """Lower case, no accents, separators as single blanks."""
+    s = unicodedata.normalize("NFKC", text).casefold()
+    s = "".join(SPELLED_OUT.get(c, GREEK.get(c, c)) for c in s)
+    s = "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
+    return re.sub(r"[\s_\-./]+", " ", s).strip()
+
+
+def edit_distance(a: str, b: str, limit: int = 1 << 30) -> int:
+    """Unrestricted Damerau-Levenshtein distance (a metric); limit + 1 if it is larger."""
+    if abs(len(a) - len(b)) > limit:
+        return limit + 1
+    big = len(a) + len(b)
+    last: dict[str, int] = {}
+    h = [[big] * (len(b) + 2) for _ in range(len(a) + 2)]
+    for i in range(len(a) + 1):
+        h[i + 1][1] = i
+    for j in range(len(b) + 1):
+        h[1][j + 1] = j
+    for i in range(1, len(a) + 1):
+        col = 0
+        for j in range(1, len(b) + 1):
+            k, m = last.get(b[j - 1], 0), col
+            cost = a[i - 1] != b[j - 1]
+            if not cost:
+                col = j
+            h[i + 1][j + 1] = min(
+                h[i][j] + cost, h[i + 1][j] + 1, h[i][j + 1] + 1, h[k][m] + (i - k - 1) + 1 + (j - m - 1)
+            )
+        last[a[i - 1]] = i
+    return h[-1][-1]
+
+
+class BKTree:
+    """Every key within a radius of a query, by triangle-inequality pruning."""
+
+    def __init__(self, keys: Iterable[str], metric: Callable[[str, str], int] = edit_distance):
+        self.metric, self.root = metric, None
+        for key in keys:
+            self.add(key)
+
+    def add(self, key: str) -> None:
+        if self.root is None:
+            self.root = (key, {})
+            return
+        node = self.root
+        while True:
+            d = self.metric(key, node[0])
+            if d == 0:
+                return
+            if d not in node[1]:
+                node[1][d] = (key, {})
+                return
+            node = node[1][d]
+
+    def within(self, query: str, radius: int) -> list[tuple[int, str]]:
+        found, stack = [], [self.root] if self.root else []
+        while stack:
+            key, children = stack.pop()
+            d = self.metric(query, key)
+            if d <= radius:
+                found.append((d, key))
+            stack += [child for edge, child in children.items() if d - radius <= edge <= d + radius]
+        return sorted(found)
+
+
+def radius_of(text: str) -> int:
+    """Typing errors tolerated in a name: one from 4 letters, two from 6."""
+    return 0 if len(text) < 4 else 1 if len(text) < 6 else 2
+
+
+class NameMatcher:
+    """Matches values to reference entries given as (ref_id, name) pairs.
+
+    words_are_types  the last word of a name that several entries share is a kind
+                     (`Nebula`); it may be left out or cut short, but not contradict.
+    synonyms         further spellings: normal form -> name of the list.
+    noise            pattern removed from the normal form of values and names.
+    """
+
+    def __init__(self, pairs: list[tuple[int, str]], designations: bool = True, words_are_types: bool = True, synonyms: dict[str, str] | None = None, noise: str | None = None):
+        self.noise = re.compile(noise) if noise else None
+        self.designations = designations
+        self.exact: dict[str, set[int]] = defaultdict(set)
+        self.numbers: dict[tuple[str, str], set[int]] = defaultdict(set)
+        names: list[tuple[int, str]] = []
+        prefixes: dict[str, set[tuple[int, str]]] = defaultdict(set)
+        for ref, name in pairs:
+            for part in {name, re.sub(r"\([^)]*\)", " ", name)}:
+                key = self.normal(part)
+                if key:
+                    self.exact[key.replace(" ", "")].add(ref)
+            for prefix, number in self.designators(name) if designations else []:
+                self.numbers[prefix, number].add(ref)
+                prefixes[prefix].add((ref, number))
+            bare = self.normal(re.sub(r"\([^)]*\)", " ", name))
+            if bare and not (designations and self.designators(bare)) and "," not in name:
+                names.append((ref, re.sub(r"^name ", "", bare)))
+        for word, name in (synonyms or {}).items():
+            for ref in self.exact.get(self.normal(name).replace(" ", ""), ()):
+                self.exact[word.replace(" ", "")].add(ref)
+        # Two prefixes that share their numbers in several entries name one catalogue.
+        self.alike = {
+            (a, b) for a, x in prefixes.items() for b, y in prefixes.items() if a != b and len(x & y) >= 2
+        }
+        ends = defaultdict(set)
+        for ref, name in names:
+            words = name.split(" ")
+            if len(words) > 1:
+                ends[words[-1]].add(ref)
+        self.kinds = {w for w, refs in ends.items() if words_are_types and len(refs) >= 2}
+        # Head of a name -> entries with the kinds they were named with.
+        self.heads: dict[str, set[tuple[int, str]]] = defaultdict(set)
+        for ref, name in names:
+            head, kind = self.split_kind(name)
+            self.heads[head.replace(" ", "")].add((ref, kind))
+        self.tree = BKTree(sorted(self.heads))
+
+    def normal(self, text: str) -> str:
+        s = plain(text)
+        if self.noise:
+            s = re.sub(r"\s+", " ", self.noise.sub(" ", s)).strip()
+        return s
+
+    @staticmethod
+    def designators(text: str) -> list[tuple[str, str]]:
+        s = unicodedata.normalize("NFKC", text).casefold()
+        return [(p, n.lstrip("0") or "0") for p, n in re.findall(r"(?<![^\W\d_])([^\W\d_]{1,8})[\s._#\-]*(\d+)(?!\d|\.\d)", s)]
+
+    def split_kind(self, name: str) -> tuple[str, str]:
+        """Head and kind of a name; the kind may have a qualifier in front (`dark nebula`)."""
+        words = name.split(" ")
+        cut = len(words)
+        while cut > 1 and (words[cut - 1] in self.kinds or (cut < len(words) and words[cut - 1] in {"dark"})):
+            cut -= 1
+        return " ".join(words[:cut]), " ".join(words[cut:])
+
+    def by_number(self, text: str) -> tuple[bool, set[int]]:
+        """Whether the value is a designation of a catalogue of the list, and its entries."""
+        known = {p for p, _ in self.numbers}
+        asked = False
+        for prefix, number in self.designators(text):
+            if prefix not in known:
+                continue
+            asked = True
+            for p in [prefix, *sorted(b for a, b in self.alike if a == prefix)]:
+                if (p, number) in self.numbers:
+                    return True, self.numbers[p, number]
+        return asked, set()
+
+    def by_name(self, text: str) -> tuple[int, set[int]]:
+        """Distance and entries of the closest name, or (-1, {})."""
+        s = re.sub(r"[(\[{][^)\]}]*[)\]}]", " ", text) if not re.fullmatch(r"\s*[(\[{].*[)\]}]\s*", text) else text.strip(" ()[]{}")
+        if m := re.fullmatch(r"\s*([^,]+),\s*([^,]+)\s*", s):
+            swapped = f"{m[2]} {m[1]}"
+            if (hit := self.by_name(swapped))[1]:
+                return hit
+        key = re.sub(r"^(the|name|der|die|das) ", "", self.normal(s))
+        compact = key.replace(" ", "")
+        if not compact:
+            return -1, set()
+        if compact in self.exact:
+            return 0, self.exact[compact]
+        best: dict[int, int] = {}
+        for head, kind in self.readings(key):
+            for d, h in self.tree.within(head, radius_of(head)):
+                for ref, own in self.heads[h]:
+                    if self.agree(kind, own):
+                        best[ref] = min(d, best.get(ref, 99))
+        if not best:
+            return -1, set()
+        d = min(best.values())
+        return d, {r for r, x in best.items() if x == d}
+
+    def readings(self, key: str) -> list[tuple[str, str]]:
+        """Ways to read a value as head and kind: all head, kind split off, kind run on."""
+        words, out = key.split(" "), [(key.replace(" ", ""), "")]
+        out += [("".join(words[:i]), " ".join(words[i:])) for i in range(1, len(words))]
+        if len(words) == 1:
+            out += [(key[: -len(k)], k) for k in self.kinds if key.endswith(k) and len(key) > len(k) + 2]
+        return out
+
+    @staticmethod
+    def agree(kind: str, own: str) -> bool:
+        """A stated kind is the entry's, misspelled or cut short."""
+        if not kind or kind == own:
+            return True
+        if not own:
+            return False
+        a, b = kind.replace(" ", ""), own.replace(" ", "")
+        if len(a) >= 2 and b.startswith(a):
+            return True
+        return len(a) >= 4 and edit_distance(a, b, 2) <= radius_of(b)
+
+    def match(self, text: str) -> tuple[int | None, int | None, str]:
+        """(ref_id, distance, how); ref_id is None if nothing, or more than one entry, fits."""
+        asked, refs = self.by_number(text) if self.designations else (False, set())
+        if asked and len(refs) == 1:
+            return next(iter(refs)), 0, "number"
+        if asked:
+            return None, None, "unknown_number" if not refs else "ambiguous"
+        d, refs = self.by_name(text)
+        if len(refs) == 1:
+            return next(iter(refs)), d, "exact" if d == 0 else "fuzzy"
+        return None, None, "ambiguous" if refs else "unmatched"
+
+
+def canonicalise(
+    values: DataFrame,
+    reference: DataFrame,
+    value: str,
+    designations: bool = True,
+    words_are_types: bool = True,
+    synonyms: dict[str, str] | None = None,
+    noise: str | None = None,
+    shard_size: int = 20_000,
+) -> DataFrame:
+    """One row per distinct value: value, ref_id (null: none meant), distance, how.
+
+    reference  `ref_id` bigint and `name`; several names per entry.
+    Null and blank values give no row. Ties between entries give `ambiguous` and
+    no ref_id. `how` is number, exact, fuzzy, ambiguous, unknown_number or unmatched.
+
+    Counts the reference first (an action): up to `shard_size` names are sent to
+    the executors as one tree; more are split by hash into shards, each matched
+    against all values in salted groups, and the nearest of the winners is kept.
+    """
+    settings = {"designations": designations, "words_are_types": words_are_types, "synonyms": synonyms, "noise": noise}
+    names = reference.where("name is not null").select(F.col("ref_id").cast("long").alias("ref_id"), "name").distinct()
+    asked = values.select(F.col(value).alias("value")).where(F.trim("value") != "").distinct()
+    schema = "value string, ref_id bigint, distance int, how string"
+    n = names.count()
+    if n <= shard_size:
+        pairs = [tuple(r) for r in names.sort("ref_id", "name").collect()]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            matcher = NameMatcher(pairs, **settings)
+            for pdf in batches:
+                hits = [matcher.match(v) for v in pdf["value"]]
+                yield pd.DataFrame(
+                    {
+                        "value": pdf["value"],
+                        "ref_id": pd.array([h[0] for h in hits], dtype="Int64"),
+                        "distance": pd.array([h[1] for h in hits], dtype="Int32"),
+                        "how": [h[2] for h in hits],
+                    }
+                )
+
+        found = asked.mapInPandas(run, schema)
+    else:
+        # Entries with equal ids stay together; salts keep a shard's queries in bounded groups.
+        shards = -(-n // shard_size)
+        salts = 16
+        refs = names.withColumn("shard", F.pmod(F.xxhash64("ref_id"), F.lit(shards)).cast("int"))
+        refs = refs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        queries = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn(
+            "salt", F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int")
+        )
+
+        def shard(vals: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+            matcher = NameMatcher(list(zip(refs["ref_id"].tolist(), refs["name"])), **settings)
+            hits = [matcher.match(v) for v in vals["value"]]
+            return pd.DataFrame(
+                {
+                    "value": vals["value"],
+                    "ref_id": pd.array([h[0] for h in hits], dtype="Int64"),
+                    "distance": pd.array([h[1] for h in hits], dtype="Int32"),
+                    "how": [h[2] for h in hits],
+                }
+            )
+
+        each = queries.groupBy("shard", "salt").cogroup(refs.groupBy("shard", "salt")).applyInPandas(shard, schema)
+        # number and exact beat fuzzy; two winners at one distance are ambiguous.
+        rank = F.struct(
+            (F.col("how") == "unmatched").alias("u"),
+            (F.col("how") == "unknown_number").alias("n"),
+            F.coalesce("distance", F.lit(0)).alias("d"),
+        )
+        ranked = each.groupBy("value", rank.alias("rank")).agg(
+            F.count_distinct("ref_id").alias("k"), F.max("ref_id").alias("ref_id"), F.max("how").alias("how"), F.max("distance").alias("distance")
+        )
+        best = ranked.groupBy("value").agg(F.min_by(F.struct("k", "ref_id", "how", "distance"), "rank").alias("b"))
+        one = F.col("b.k") <= 1
+        found = best.select(
+            "value",
+            F.when(one, F.col("b.ref_id")).alias("ref_id"),
+            F.when(one, F.col("b.distance")).alias("distance"),
+            F.when(one, F.col("b.how")).otherwise("ambiguous").alias("how"),
+        )
+    return found.select(F.col("value").alias(value), "ref_id", "distance", "how")
+
+
+# Other words for the filters of the reference list.
+FILTER_SYNONYMS = {
+    "visible": "VIS", "visual": "VIS", "v i s": "VIS", "visible light": "VIS",
+    "l": "Luminance", "lum": "Luminance", "lumi": "Luminance",
+    "r": "Red", "rot": "Red", "rouge": "Red", "rojo": "Red", "rosso": "Red",
+    "g": "Green", "grn": "Green", "gruen": "Green", "vert": "Green", "verde": "Green",
+    "b": "Blue", "blu": "Blue", "blau": "Blue", "bleu": "Blue", "azul": "Blue",
+    "ha": "H-alpha", "h a": "H-alpha", "hydrogen alpha": "H-alpha", "hydrogen": "H-alpha",
+    "o3": "O-III", "oxygen iii": "O-III", "oxygen": "O-III", "oxygen 3": "O-III",
+    "s2": "S-II", "sulphur ii": "S-II", "sulfur ii": "S-II", "sulphur": "S-II", "sulfur": "S-II",
+    "dual band": "Duo-Band", "dual": "Duo-Band", "duo": "Duo-Band", "dual narrowband": "Duo-Band",
+}
+
+#: Removed from filter names: the word filter and a band width.
+FILTER_NOISE = r"\b\d+( \d+)?\s*nm\b|\bfilter\b|(?<=[a-z])filter\b"
+
+
+def canonical_filters(values: DataFrame, filters: DataFrame, value: str) -> DataFrame:
+    """`canonicalise` for filter names; `filters` has filter_id and filter_name."""
+    ref = filters.select(F.col("filter_id").alias("ref_id"), F.col("filter_name").alias("name"))
+    return canonicalise(values, ref, value, designations=False, words_are_types=False, synonyms=FILTER_SYNONYMS, noise=FILTER_NOISE)
