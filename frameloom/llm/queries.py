@@ -1 +1,52 @@
-QUERIES, SQL = {}, {}
+"""Queries p7 to p9: the operators for training text applied to the whole of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import read_table
+from . import packing, splitting, tokens
+
+
+def limits(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
+    """max_tokens and overlap_tokens of a limit; the table has one row per limit."""
+    row = read_table(spark, d, "token_limits").where(F.col("limit_name") == name).select("max_tokens", "overlap_tokens").first()
+    return int(row[0]), int(row[1])
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_ids(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, n_tokens, same: whether decoding the ids gives the text again."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    back = tokens.decode_ids(tokens.encode_ids(docs, "doc_id", "text"), "doc_id", "ids").withColumnRenamed("text", "back")
+    sizes = tokens.count_tokens(docs, "doc_id", "text")
+    joined = docs.join(back, "doc_id").join(sizes, "doc_id")
+    return joined.select("doc_id", "n_tokens", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, part_no, n_tokens, container_id, place, start, certified."""
+    capacity, _ = limits(spark, d, "container")
+    sizes = tokens.count_tokens(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id", "n_tokens", capacity)
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used against the lower bound over all documents."""
+    capacity, _ = limits(spark, d, "container")
+    return packing.report(p8_containers(spark, d), "n_tokens", capacity)
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, piece_no, start_char, n_tokens, overlap_tokens, boundary, piece."""
+    most, overlap = limits(spark, d, "piece")
+    return splitting.split_texts(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", most, overlap)
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p7_roundtrip, p8_containers, p8_report, p9_pieces)}
+#: Tokenizing can't be expressed in SQL; tests hold these queries against brute force.
+SQL: dict[str, str] = {}
