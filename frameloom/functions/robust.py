@@ -38,6 +38,11 @@ def _mid(a: Column) -> Column:
     return (F.get(a, lo) + F.get(a, hi)) / 2.0
 
 
+def _mean(a: Column) -> Column:
+    """Mean of an array of doubles, null if it is empty."""
+    return F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a))
+
+
 def sigma_clipped_mean(sorted_values: Column, k: float = 3.0, rounds: int = 5) -> Column:
     """Mean of an array after repeated rejection outside median ± k·sigma.
 
@@ -45,19 +50,20 @@ def sigma_clipped_mean(sorted_values: Column, k: float = 3.0, rounds: int = 5) -
     a sorted array stay sorted, so that its median is a lookup. If nothing is left
     the median of all values is returned; null for an empty array.
     """
-    cur = sorted_values
-    for _ in range(rounds):
-        cur = _clip_once(cur, k, False)
-    mean = F.aggregate(cur, F.lit(0.0), lambda s, x: s + x) / F.size(cur)
-    return F.when(F.size(sorted_values) > 0, F.when(F.size(cur) > 0, mean).otherwise(_mid(sorted_values)))
+    cur = _rounds(sorted_values, k, False, rounds)
+    mean = F.get(F.transform(F.array(cur), _mean), F.lit(0))
+    return F.when(F.size(sorted_values) > 0, F.coalesce(mean, _mid(sorted_values)))
 
 
 def winsorized_mean(sorted_values: Column, k: float = 2.0, rounds: int = 5) -> Column:
     """Mean of an array after clamping to median ± k·sigma, `rounds` times."""
-    cur = sorted_values
-    for _ in range(rounds):
-        cur = _clip_once(cur, k, True)
-    return F.when(F.size(sorted_values) > 0, F.aggregate(cur, F.lit(0.0), lambda s, x: s + x) / F.size(cur))
+    cur = _rounds(sorted_values, k, True, rounds)
+    return F.get(F.transform(F.array(cur), _mean), F.lit(0))
+
+
+def _rounds(a: Column, k: float, clamp: bool, rounds: int) -> Column:
+    # A fold over the rounds: the expression is written once, however many there are.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), a, lambda acc, _: _clip_once(acc, k, clamp))
 
 
 def _clip_once(a: Column, k: float, clamp: bool) -> Column:
