@@ -3,8 +3,9 @@
 The tokenizer turns a text into a string of classes, one character a token, that
 tells how strong a boundary the text has behind that token:
 
-    H heading next   P paragraph   L line   S sentence   W word   t pre-token
-    x within one (a character boundary)     y no cut possible
+    H heading next   P paragraph   L line   S sentence   W word
+    t change between letters, digits and marks   x other character boundary
+    y no cut possible
 
 A regular expression with bounded quantifiers then extracts the pieces: its
 alternatives, ordered by boundary strength, each consume up to the limit, down
@@ -27,42 +28,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import MODEL, TOKENIZERS, Encoder, _slices, chunks_of, encoder
+from .tokens import MODEL, TOKENIZERS, Encoder, _slices, encoder
 
 #: Tokens that the start of an overlap may move back to a place where a cut is possible.
 SLACK = 5
 
-# Each pattern ends where the boundary is; blanks behind it belong to the piece before.
-_MARKS = [
-    ("S", re.compile(r"[.!?…。！？][\"'”’»)\]]*(?=\s|$)|[。！？]")),
-    ("L", re.compile(r"(?:\r\n|\n|\r)[ \t]*")),
-    ("P", re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:(?:\r\n|\n|\r)[ \t]*)+")),
-    ("H", re.compile(r"(?:\r\n|\n|\r)[ \t]*(?=(?:#{1,6}[ \t]|=+ |[^\r\n]{1,120}\r?\n(?:={3,}|-{3,})[ \t]*\r?(?:\n|$)))")),
-]
-
-
-def classes(enc: Encoder, text: str) -> tuple[str, np.ndarray]:
-    """Boundary class behind each token of a text, and the characters up to there."""
-    laid = [enc.layout(c) for c in chunks_of(text)]
-    counts = np.array([n for n, _, _ in laid])
-    ends = np.concatenate([e for _, _, e in laid]) if laid else np.zeros(0, np.int32)
-    size = np.array([e[-1] if n else 0 for n, _, e in laid])
-    ends = ends + np.repeat(np.r_[0, np.cumsum(size)[:-1]], counts)
-    marks = np.frombuffer("".join(m for _, m, _ in laid).encode(), dtype="S1").copy()
-    whole = np.flatnonzero(marks == b"t")
-    at = ends[whole]
-    if len(text):
-        blank = np.frombuffer(text.encode("utf-32-le", errors="surrogatepass"), dtype=np.uint32)
-        blank = np.r_[np.isin(blank, (9, 10, 13, 32, 160, 12288)), True]
-        marks[whole[blank[at] | blank[np.maximum(at - 1, 0)]]] = b"W"
-    for mark, pattern in _MARKS:
-        spans = np.array([m.span() for m in pattern.finditer(text)]).reshape(-1, 2)
-        if len(spans):
-            # The last whole pre-token that ends within the match.
-            k = np.searchsorted(at, spans[:, 1], side="right") - 1
-            ok = (k >= 0) & (at[np.maximum(k, 0)] > spans[:, 0])
-            marks[whole[k[ok]]] = mark.encode()
-    return marks.tobytes().decode(), ends.astype(np.int32)
+# Characters that end a sentence, those that do so without a blank behind, and what may close it.
+_STOPS, _FULL, _CLOSERS = ".!?…", "。！？", "\"'”’»)]"
+_UNDERLINED = re.compile(r"[\r\n][ \t]*(?=[^\r\n]{1,120}\r?\n[ \t]*(?:={3,}|-{3,})[ \t]*(?:\r|\n|$))")
+_LETTER, _DIGIT, _SPACE, _OTHER = range(4)
+
+
+_UNKNOWN = 255
+#: Kind of each code point, filled in as they turn up.
+_KINDS = np.full(0x110000, _UNKNOWN, dtype=np.uint8)
+
+
+def _kinds(cp: np.ndarray) -> np.ndarray:
+    """Kind of each character: letter, digit, white space or other."""
+    out = _KINDS[cp]
+    if (out == _UNKNOWN).any():
+        for x in np.unique(cp[out == _UNKNOWN]).tolist():
+            c = chr(x)
+            _KINDS[x] = _SPACE if c.isspace() else _LETTER if c.isalpha() else _DIGIT if c.isnumeric() else _OTHER
+        out = _KINDS[cp]
+    return out
+
+
+def _any(cp: np.ndarray, chars: str) -> np.ndarray:
+    out = cp == ord(chars[0])
+    for c in chars[1:]:
+        out |= cp == ord(c)
+    return out
+
+
+def classes(enc: Encoder, text: str, ids: bytes) -> tuple[str, np.ndarray]:
+    """Boundary class behind each token of a text, and the characters up to there.
+
+    Everything is looked up at once for all tokens: at a token's end lies the
+    character before it, the one behind it, and the blanks and line ends between
+    it and the last character that is neither.
+    """
+    end, whole = enc.ends(text, ids)
+    n = len(text)
+    cp = np.frombuffer(text.encode("utf-32-le", errors="surrogatepass"), dtype=np.uint32)
+    kind = _kinds(cp)
+    before, behind = kind[end - 1], np.append(kind, np.uint8(_SPACE))[end]
+    where = np.arange(n, dtype=np.int32)
+    newline = cp == 10
+    if "\r" in text:
+        newline |= (cp == 13) & (np.append(cp[1:], 0) != 10)
+    lines = np.zeros(n + 1, dtype=np.int32)
+    np.cumsum(newline, out=lines[1:])
+    # Last characters up to each place that are no blanks, and no white space at all.
+    blank = (cp == 32) | (cp == 9)
+    last = np.maximum.accumulate(np.where(blank, -1, where))[end - 1]
+    ink = np.maximum.accumulate(np.where(kind == _SPACE, -1, where))[end - 1]
+    at_line = (last >= 0) & _any(cp[np.maximum(last, 0)], "\n\r") & (end < n)
+    broken = lines[end] - lines[ink + 1]
+    code = np.append(cp, np.zeros(2, np.uint32))
+    heading = np.zeros(len(end), dtype=bool)
+    if "#" in text:
+        # The next character that is no blank.
+        nxt = np.minimum.accumulate(np.where(blank, n, where)[::-1])[::-1]
+        ahead = np.append(nxt, np.int32(n))[end]
+        heading |= at_line & (code[ahead] == ord("#")) & _any(code[ahead + 1], "# ")
+    if "===" in text or "---" in text:
+        under = np.zeros(n + 1, dtype=bool)
+        under[[m.end() for m in _UNDERLINED.finditer(text)]] = True
+        heading |= at_line & under[end]
+    p1, p2 = cp[end - 1], code[np.maximum(end - 2, 0)]
+    stop = (_any(p1, _STOPS) | (_any(p1, _CLOSERS) & _any(p2, _STOPS))) & (behind == _SPACE)
+    marks = np.full(len(end), ord("x"), dtype=np.uint8)
+    marks[before != behind] = ord("t")
+    marks[(before == _SPACE) | (behind == _SPACE)] = ord("W")
+    marks[stop | _any(p1, _FULL)] = ord("S")
+    marks[at_line] = ord("L")
+    marks[at_line & (broken >= 2)] = ord("P")
+    marks[heading] = ord("H")
+    # No cut within a character, nor in front of an apostrophe among other marks:
+    # it would be read as the beginning of a contraction there.
+    marks[~whole | ((before == _OTHER) & (code[end] == ord("'")))] = ord("y")
+    return marks.tobytes().decode(), end.astype(np.int32)
 
 
 def piece_pattern(limit: int, first: int) -> str:
@@ -107,8 +154,9 @@ def split_texts(
         for batch in batches:
             for part in _slices(batch):
                 texts = part.column(1).to_pylist()
-                counts = enc.count(texts)
-                laid = [classes(enc, t) if n > max_tokens else (None, None) for t, n in zip(texts, counts)]
+                coded = enc.encode(texts)
+                counts = [len(b) // 4 for b in coded]
+                laid = [classes(enc, t, b) if n > max_tokens else (None, None) for t, b, n in zip(texts, coded, counts)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(counts, pa.int32()), pa.array([c for c, _ in laid], pa.string()), pa.array([e for _, e in laid], pa.list_(pa.int32()))],
                     names=["key", "text", "n", "cls", "ends"],

@@ -2,8 +2,9 @@
 
 Workers receive Arrow batches. A text is cut into chunks where the tokenizer's
 own splitting pattern always cuts: before a single blank between two characters
-that are no blanks. Chunks recur all the time, so each worker encodes a chunk
-once with the tokenizers library and then looks it up. Concatenated, the ids of
+that are no blanks. Chunks recur all the time, so each worker puts a chunk's ids
+together once and then looks them up; what the tokenizers library encodes is the
+pre-tokens that a worker hasn't met yet. Concatenated, the ids of
 the chunks are exactly those of the text (tests hold them against the library's
 encoding of whole texts).
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +34,14 @@ MODEL = "byte_bpe_50k"
 REMEMBERED = 500_000
 
 
+# The splitting pattern of the vocabulary, for texts of printable ASCII, tabs and line ends.
+_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+_IS_PLAIN = re.compile(r"[\t\n\r -~]*").fullmatch
+
+
+_RARE = re.compile("[\\0\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+
+
 def byte_of_char() -> dict[str, int]:
     """The byte that each character of a token's string stands for.
 
@@ -45,10 +55,26 @@ def byte_of_char() -> dict[str, int]:
 
 
 def chunks_of(text: str) -> list[str]:
-    """Chunks of a text whose encodings concatenate to that of the text."""
+    """Chunks of a text whose encodings concatenate to that of the text.
+
+    A mark is set before each blank and taken back where another blank, tab or
+    line end is next to it.
+    """
+    if _RARE.search(text):
+        return _chunks_slowly(text)
+    t = text.replace(" ", "\0 ")
+    for w in " \n\t\r":
+        behind, ahead = w + "\0 ", "\0 " + w
+        while behind in t:
+            t = t.replace(behind, w + " ")
+        while ahead in t:
+            t = t.replace(ahead, " " + w)
+    return t.split("\0")
+
+
+def _chunks_slowly(text: str) -> list[str]:
+    """The same for texts with rare white space (or the mark itself)."""
     parts = text.split(" ")
-    if len(parts) == 1:
-        return parts
     out, cur = [], parts[0]
     for p in parts[1:]:
         if p and cur and not p[0].isspace() and not cur[-1].isspace():
@@ -70,8 +96,8 @@ class Encoder:
         path = os.path.join(root, f"{model}.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.seen: dict[str, array] = {}
-        self.laid: dict[str, tuple[int, str, np.ndarray]] = {}
+        self.seen: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     @property
     @lru_cache(maxsize=1)  # noqa: B019 - one encoder per process
@@ -84,35 +110,35 @@ class Encoder:
             out[i] = text.encode() if i in special else bytes(table[c] for c in text)
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.seen]
+    def _learn(self, split: list[list[str]]) -> None:
+        new = set().union(*split).difference(self.seen)
         if len(self.seen) + len(new) > REMEMBERED:
             self.seen.clear()
-            new = list(chunks)
-        # Slices keep the library's per-token objects of a batch small.
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.seen[c] = array("i", e.ids)
-
-    def encode(self, texts: list[str | None]) -> tuple[array, list[int]]:
-        """Ids of all texts in a row, and the number of ids of each; none for null and empty texts."""
+            new = set().union(*split)
+        # Chunks of plain characters are put together from their pre-tokens, of
+        # which there are far fewer; others are left to the library as they are.
+        parts = {c: _PLAIN.findall(c) if _IS_PLAIN(c) else [c] for c in new}
+        known = self.parts
+        if len(known) > REMEMBERED:
+            known.clear()
+        todo = list(set().union(*parts.values()).difference(known))
+        for k in range(0, len(todo), 4096):
+            part = todo[k : k + 4096]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[p] = array("i", e.ids).tobytes()
+        get = known.__getitem__
+        self.seen.update({c: b"".join(map(get, ps)) for c, ps in parts.items()})
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as 32-bit integers in a row; none for null and empty texts."""
         split = [chunks_of(t) if t else [] for t in texts]
-        self._learn({c for s in split for c in s})
-        flat, counts, seen = array("i"), [], self.seen
-        for s in split:
-            before = len(flat)
-            for c in s:
-                flat.extend(seen[c])
-            counts.append(len(flat) - before)
-        return flat, counts
+        self._learn(split)
+        get = self.seen.__getitem__
+        return [b"".join(map(get, s)) for s in split]
 
     def count(self, texts: list[str | None]) -> list[int]:
         """Number of ids of each text."""
-        split = [chunks_of(t) if t else [] for t in texts]
-        self._learn({c for s in split for c in s})
-        seen = self.seen
-        return [sum([len(seen[c]) for c in s]) for s in split]
+        return [len(b) // 4 for b in self.encode(texts)]
 
     def decode(self, ids: list[int] | None) -> str | None:
         """Text of ids. Bytes that don't form a character (ids cut within one) become U+FFFD."""
@@ -121,6 +147,20 @@ class Encoder:
         table = self.bytes_of
         return b"".join([table[i] for i in ids]).decode("utf-8", errors="replace")
 
+    @property
+    @lru_cache(maxsize=1)  # noqa: B019 - one encoder per process
+    def lengths(self) -> np.ndarray:
+        """The number of bytes of each token id."""
+        return np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+
+    def ends(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Characters begun before the end of each token, and whether a character ends there."""
+        data = np.frombuffer(text.encode("utf-8", errors="surrogatepass"), dtype=np.uint8)
+        starts = np.r_[(data & 0xC0) != 0x80, True]
+        byte_ends = np.cumsum(self.lengths[np.frombuffer(ids, dtype=np.int32)])
+        begun = np.r_[0, np.cumsum(starts[:-1])]
+        return begun[byte_ends], starts[byte_ends]
+
     def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
         """Characters [start, end) that each token touches.
 
@@ -135,37 +175,6 @@ class Encoder:
         first = np.where(starts < len(data), begun[np.minimum(starts + 1, len(data))] - 1, begun[-1])
         return list(zip(first.tolist(), begun[ends].tolist()))
 
-    def layout(self, chunk: str) -> tuple[int, str, np.ndarray]:
-        """Tokens of a chunk: their number, a class for each end, and the characters before each end.
-
-        Classes: `t` the end of a pre-token, `x` inside one, `y` where a text
-        can't be cut (inside a character, or inside a pre-token in front of an
-        apostrophe, which would be read as a contraction there).
-        """
-        hit = self.laid.get(chunk)
-        if hit is not None:
-            return hit
-        e = self.tokenizer.encode(chunk, add_special_tokens=False)
-        table, words = self.bytes_of, e.word_ids
-        ends = np.cumsum([len(table[i]) for i in e.ids])
-        data = np.frombuffer(chunk.encode("utf-8", errors="surrogatepass"), dtype=np.uint8)
-        begun = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-        chars = begun[ends] if len(ends) else np.zeros(0, dtype=np.int64)
-        n = len(ends)
-        marks = []
-        for k in range(n):
-            end = int(ends[k])
-            if k + 1 == n or words[k + 1] != words[k]:
-                marks.append("t")
-            elif end < len(data) and (data[end] & 0xC0) == 0x80:
-                marks.append("y")
-            else:
-                marks.append("y" if chunk[int(chars[k])] in "'" else "x")
-        if len(self.laid) > REMEMBERED // 4:
-            self.laid.clear()
-        hit = self.laid[chunk] = (n, "".join(marks), chars.astype(np.int32))
-        return hit
-
 
 @lru_cache(maxsize=4)
 def encoder(root: str = TOKENIZERS, model: str = MODEL) -> Encoder:
@@ -188,9 +197,10 @@ def encode_ids(df: DataFrame, key: str, text: str, root: str = TOKENIZERS, model
         enc = encoder(root, model)
         for batch in batches:
             for part in _slices(batch):
-                flat, counts = enc.encode(part.column(1).to_pylist())
-                bounds = pa.array(np.r_[0, np.cumsum(np.array(counts, dtype=np.int64))].astype(np.int32))
-                ids = pa.ListArray.from_arrays(bounds, pa.array(np.frombuffer(flat, dtype=np.int32) if flat else np.zeros(0, np.int32)))
+                coded = enc.encode(part.column(1).to_pylist())
+                bounds = np.zeros(len(coded) + 1, dtype=np.int32)
+                np.cumsum([len(b) // 4 for b in coded], out=bounds[1:])
+                ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["key", "ids"])
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
