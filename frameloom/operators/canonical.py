@@ -234,6 +234,14 @@ class NameMatcher:
         return None, None, "ambiguous" if refs else "unmatched"
 
 
+def _matches(matcher: NameMatcher, values: pd.Series) -> pd.DataFrame:
+    """value, ref_id, distance, how of each value."""
+    texts = values.tolist()
+    hits = [matcher.match(v) for v in texts]
+    columns = {"value": texts, "ref_id": [h[0] for h in hits], "distance": [h[1] for h in hits], "how": [h[2] for h in hits]}
+    return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
+
+
 def canonicalise(
     values: DataFrame,
     reference: DataFrame,
@@ -265,15 +273,7 @@ def canonicalise(
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             matcher = NameMatcher(pairs, **settings)
             for pdf in batches:
-                hits = [matcher.match(v) for v in pdf["value"]]
-                yield pd.DataFrame(
-                    {
-                        "value": pdf["value"],
-                        "ref_id": pd.array([h[0] for h in hits], dtype="Int64"),
-                        "distance": pd.array([h[1] for h in hits], dtype="Int32"),
-                        "how": [h[2] for h in hits],
-                    }
-                )
+                yield _matches(matcher, pdf["value"])
 
         found = asked.mapInPandas(run, schema)
     else:
@@ -288,15 +288,7 @@ def canonicalise(
 
         def shard(vals: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
             matcher = NameMatcher(list(zip(refs["ref_id"].tolist(), refs["name"])), **settings)
-            hits = [matcher.match(v) for v in vals["value"]]
-            return pd.DataFrame(
-                {
-                    "value": vals["value"],
-                    "ref_id": pd.array([h[0] for h in hits], dtype="Int64"),
-                    "distance": pd.array([h[1] for h in hits], dtype="Int32"),
-                    "how": [h[2] for h in hits],
-                }
-            )
+            return _matches(matcher, vals["value"])
 
         each = queries.groupBy("shard", "salt").cogroup(refs.groupBy("shard", "salt")).applyInPandas(shard, schema)
         # number and exact beat fuzzy; two winners at one distance are ambiguous.

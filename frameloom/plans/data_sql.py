@@ -1 +1,33 @@
-SQL: dict[str, str] = {}
+"""DuckDB twins of the data-preparation queries that SQL can express.
+
+The others (edit distances, control charts, format mixtures, grammars) are held
+against brute force and known cases in the tests.
+"""
+
+from __future__ import annotations
+
+_KEY = "regexp_replace(regexp_replace(upper(trim(X, ' ')), '^HIERARCH\\s+', ''), '[^A-Z0-9]', '', 'g')"
+_CARDS = f"""al AS (SELECT DISTINCT {_KEY.replace('X', 'card')} AS k, field_name FROM card_aliases WHERE field_name IN ('det_temp', 'eq_mode', 'bayer_pattern')),
+ c AS (SELECT r.header_id, r.device_id, r.session_id, e.key AS card, CASE e.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind FROM raw_headers r, json_each(r.cards) e),
+ t AS (SELECT c.*, al.field_name FROM c JOIN al ON al.k = {_KEY.replace('X', 'c.card')})"""
+
+_BAD = "(X IS NULL OR isnan(X) OR X <= 0)"
+
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH {_CARDS}, s AS (SELECT device_id, session_id, min(night) AS night FROM raw_headers GROUP BY ALL), f AS (SELECT unnest(['det_temp', 'eq_mode', 'bayer_pattern']) AS field_name),
+ st AS (SELECT session_id, field_name, string_agg(DISTINCT card, '|' ORDER BY card) AS card, string_agg(DISTINCT kind, '|' ORDER BY kind) AS kind FROM t GROUP BY ALL),
+ g AS (SELECT s.device_id, s.session_id, s.night, f.field_name, st.card, st.kind FROM s CROSS JOIN f LEFT JOIN st ON st.session_id = s.session_id AND st.field_name = f.field_name),
+ l AS (SELECT *, lag(card) OVER w AS was, last_value(kind IGNORE NULLS) OVER (PARTITION BY device_id, field_name ORDER BY night, session_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known, row_number() OVER w AS n FROM g WINDOW w AS (PARTITION BY device_id, field_name ORDER BY night, session_id)),
+ x AS (SELECT * FROM l WHERE n > 1)
+ SELECT device_id, session_id, field_name, 'added' AS change_kind FROM x WHERE was IS NULL AND card IS NOT NULL UNION ALL SELECT device_id, session_id, field_name, 'removed' FROM x WHERE was IS NOT NULL AND card IS NULL
+ UNION ALL SELECT device_id, session_id, field_name, 'renamed' FROM x WHERE was <> card UNION ALL SELECT device_id, session_id, field_name, 'retyped' FROM x WHERE was IS NOT NULL AND card IS NOT NULL AND kind <> known""",
+    # Values of a group don't differ in these tables, so any known one is the nearest.
+    "p4_found": f"""WITH f AS (SELECT DISTINCT frame_id, session_id, device_id, xbinning, xpixsz, focallen, gain, exptime FROM frames WHERE frame_type = 'light'),
+ g AS (SELECT session_id, exptime, max(gain) AS v FROM f WHERE gain >= 0 AND exptime IS NOT NULL GROUP BY ALL),
+ x AS (SELECT session_id, max(xpixsz) AS v FROM f WHERE NOT {_BAD.replace('X', 'xpixsz')} GROUP BY ALL), xd AS (SELECT device_id, xbinning, max(xpixsz) AS v FROM f WHERE NOT {_BAD.replace('X', 'xpixsz')} GROUP BY ALL),
+ l AS (SELECT session_id, max(focallen) AS v FROM f WHERE NOT {_BAD.replace('X', 'focallen')} GROUP BY ALL), ld AS (SELECT device_id, max(focallen) AS v FROM f WHERE NOT {_BAD.replace('X', 'focallen')} GROUP BY ALL),
+ o AS (SELECT frame_id, 'gain' AS field_name, g.v::DOUBLE AS v FROM f JOIN g USING (session_id, exptime) WHERE gain IS NULL OR gain < 0
+  UNION ALL SELECT frame_id, 'xpixsz', coalesce(x.v, xd.v) FROM f LEFT JOIN x USING (session_id) LEFT JOIN xd USING (device_id, xbinning) WHERE {_BAD.replace('X', 'xpixsz')}
+  UNION ALL SELECT frame_id, 'focallen', coalesce(l.v, ld.v) FROM f LEFT JOIN l USING (session_id) LEFT JOIN ld USING (device_id) WHERE {_BAD.replace('X', 'focallen')})
+ SELECT frame_id, field_name, round(v * 1000)::BIGINT AS value_milli FROM o WHERE v IS NOT NULL""",
+}
