@@ -3,8 +3,9 @@
 Items are spread over partitions of bounded size by a hash of their key, and each
 partition is packed by best-fit decreasing. Dual-feasible functions give a lower
 bound on the containers a partition needs: a partition that meets its bound is
-certified. The others release their worst-filled containers; the released
-items meet in new partitions and are packed again. Only bounded groups of sizes
+certified. Containers with notable free space, and the worst-filled ones of
+partitions that miss their bound, are released; the released items meet in new
+partitions and are packed again. Only bounded groups of sizes
 are ever in one task, and a histogram of sizes (at most capacity + 1 rows) is all
 that is looked at for the bound over everything.
 """
@@ -98,10 +99,12 @@ def _packer(capacity: int, r: int, last: bool):
         gap = len(fill) - lower_bound(sizes, capacity)
         release = np.zeros(len(fill), dtype=bool)
         if not last:
-            # The container left over always goes on; behind a gap also the worst others.
+            # Containers with notable free space always go on, since items elsewhere may
+            # fit that this partition hasn't got; behind a gap also the worst others.
             free = capacity - fill
             worst = np.argsort(-free, kind="stable")[: 1 + 8 * gap]
             release[worst] = free[worst] > 0
+            release |= free > capacity // 64
         out = _places(pdf, label)
         out["certified"] = gap <= 0
         out["released"] = release[out["bin"].to_numpy()]
@@ -110,7 +113,7 @@ def _packer(capacity: int, r: int, last: bool):
     return run
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int, rounds: int = 2, part_items: int = PART_ITEMS) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, capacity: int, rounds: int = 3, part_items: int = PART_ITEMS) -> DataFrame:
     """Container and place of every item: key, part_no, size, container_id, place, start, certified.
 
     An item over the capacity is split into full containers of its own and a rest
