@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 BLOCK, OVERLAP = 4096, 128
 
 
@@ -143,6 +145,7 @@ def flag_implausible(
     Nulls and NaN are no readings: they are never reported and don't interrupt
     a stretch. Rows without source, run or order are only held against the
     range. Ties in order are read by key. An empty table gives no rows.
+    Runs an action: the judged readings are checkpointed.
     """
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(
@@ -202,6 +205,8 @@ def flag_implausible(
         .sortWithinPartitions("src", "run", "blk", "ord", "key")
         .mapInPandas(judge, schema)
     )
+    # Read up to three times below; a few bytes a reading.
+    judged = cut(judged)
     found = [limits]
     if levels:
         used = judged.where(F.col("len") >= series).select("src", "v").distinct()
