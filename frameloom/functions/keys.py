@@ -114,7 +114,7 @@ def object_class(text: Column) -> Column:
 FILE_PATTERNS = [
     ("light", r"(?i)(.+?)[_-]([\d.]+)s[_-]?(\d+)[_-](Astro|Duo-Band)[_-](\d{8})[-_]?(\d{6,})?[_-](-?\d+)C", (2, 3, None, 7)),
     ("dark", r"(?i)(?:dark|bias|flat|offset)(?:_exp)?_?([\d.]+)(?:s|sec)?_gain[_-]?(\d+)_bin[_-]?(\d+)(?:_(-?\d+)C)?_stack[_-]?(\d+)", (1, 2, 3, 4)),
-    ("dark_dwarf3", r"(?i)(?:dark|bias|flat|offset)(?:_exp)?_?([\d.]+)(?:s|sec)?[_-](\d+)g[_-](-?\d+)C(?:_(\d+))?", (1, 2, None, 3)),
+    ("dark_short", r"(?i)(?:dark|bias|flat|offset)(?:_exp)?_?([\d.]+)(?:s|sec)?[_-](\d+)g[_-](-?\d+)C(?:_(\d+))?", (1, 2, None, 3)),
     ("dark_compact", r"(?i)(?:dark|bias|flat|offset)(?:_exp)?_?([\d.]+)s(\d+)", (1, 2, None, None)),
     ("generic", r"(?i)[_-]([\d.]+)s?[_-](\d+)[_-](\d+)[_-](-?\d+)C", (1, 2, 3, 4)),
 ]

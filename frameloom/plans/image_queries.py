@@ -365,6 +365,21 @@ def bilinear(spark: SparkSession, d: str) -> DataFrame:
     return stack.to_pixels(out, ["vec_id"], "data", 8).select("vec_id", "y", "x", R6("value").alias("green"))
 
 
+@query(f"""WITH {PX}, m AS (SELECT *, median(v) OVER (PARTITION BY vec_id) m FROM px), s AS (SELECT vec_id, label, 1.4826 * median(abs(v - m)) AS sigma, quantile_cont(v, 0.95) - max(m) AS signal FROM m GROUP BY ALL),
+ r AS (SELECT vec_id, label, round(CASE WHEN sigma > 1e-12 THEN greatest(signal / sigma, 0) ELSE 0 END, 9) AS snr FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY snr DESC, vec_id) AS n, count(*) OVER (PARTITION BY label) AS c FROM r),
+ kept AS (SELECT vec_id FROM k WHERE n <= CASE WHEN c - floor(c * 8.0 / 100.0) < 3 THEN c ELSE c - floor(c * 8.0 / 100.0) END) SELECT label, y, x, count(v) AS n, round(median(v), 6) AS stacked FROM px JOIN kept USING (vec_id) GROUP BY ALL""")
+def select_and_stack(spark: SparkSession, d: str) -> DataFrame:
+    """Median stack of the best 92 % of the frames of each group by signal-to-noise."""
+    from ..operators import selection
+
+    px = pixels(spark, d)
+    stats = selection.frame_stats(px, "vec_id").join(read_table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    scored = stats.withColumn("score", F.round("snr", 9))
+    kept = selection.percentile_keep(scored, "label", "score", "vec_id").where("keep").select("vec_id")
+    out = stack.stack(px.join(kept, "vec_id", "left_semi"), AT, "median")
+    return out.select(*AT, "n", R6("stacked").alias("stacked"))
+
+
 # Kernels without a SQL form: tests hold them against known inputs.
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import groups, spatial
+from ..operators import colour, groups, spatial
 from ..session import read_table
 from .catalog import query
 from .meta_queries import FRAMES_SQL, frames
@@ -398,3 +398,22 @@ def report_json(spark: SparkSession, d: str) -> DataFrame:
     return r.select("session_id", get("$.counts.frames").cast("long").alias("frames"), F.coalesce(get("$.with_gain"), get("$.counts.with.gain")).cast("long").alias("with_gain"), get("$.filter").alias("last_filter"), F.col("doc").contains('"filter"').alias("has_filter"))
 
 
+
+
+@query(f"""WITH s AS (SELECT c_nationkey, c_mktsegment, {_RADEC.format(k='c_custkey', a='c_acctbal')}, 100.0 + c_custkey % 7 AS r, 110.0 + c_custkey % 5 AS g, 95.0 + c_custkey % 11 AS b FROM customer), c AS (SELECT {_RADEC.format(k='s_suppkey', a='s_acctbal')}, 10 + s_suppkey % 3 / 10.0 AS mr, 10.0 AS mg, 10 + s_suppkey % 4 / 10.0 AS mb FROM supplier),
+ j AS (SELECT s.*, mr, mg, mb, c.id AS entry, {_CHORD} AS chord FROM s JOIN c ON abs(s.dec - c.dec) <= 6.01), n AS (SELECT * FROM j WHERE chord <= 2 * sin(radians(6.0) / 2) QUALIFY row_number() OVER (PARTITION BY id ORDER BY chord, entry) = 1),
+ q AS (SELECT c_mktsegment, pow(10, -mr / 2.5) / pow(10, -mg / 2.5) / (r / g) AS qr, pow(10, -mb / 2.5) / pow(10, -mg / 2.5) / (b / g) AS qb FROM n), t AS (SELECT *, quantile_cont(qr, 0.05) OVER w lr, quantile_cont(qr, 0.95) OVER w hr, quantile_cont(qb, 0.05) OVER w lb, quantile_cont(qb, 0.95) OVER w hb FROM q WINDOW w AS (PARTITION BY c_mktsegment)),
+ f AS (SELECT c_mktsegment, count(*) AS matched, median(CASE WHEN qr BETWEEN lr AND hr THEN qr END) AS r, median(CASE WHEN qb BETWEEN lb AND hb THEN qb END) AS b FROM t GROUP BY c_mktsegment)
+SELECT c_mktsegment, matched, CASE WHEN matched >= 5 THEN round(r, 6) END AS r_factor, CASE WHEN matched >= 5 THEN round(b, 6) END AS b_factor, CASE WHEN matched < 5 THEN 'few_stars' WHEN r BETWEEN 0.5 AND 2 AND b BETWEEN 0.5 AND 2 THEN 'ok' ELSE 'rejected' END AS status FROM f""")
+def colour_factors(spark: SparkSession, d: str) -> DataFrame:
+    """Channel factors per segment from stars matched with a catalogue."""
+
+    def sky(df: DataFrame, key: str, value: str, name: str, *more) -> DataFrame:
+        a, b = F.col(value) * 37.0 / 360.0, F.col(value) * 17.0 / 180.0
+        return df.select(F.col(key).alias(name), ((a - F.floor(a)) * 360.0).alias("ra"), ((b - F.floor(b)) * 180.0 - 90.0).alias("dec"), *more)
+
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    stars = sky(read_table(spark, d, "customer"), "c_custkey", "c_acctbal", "star", "c_mktsegment", (100.0 + k % 7).alias("r"), (110.0 + k % 5).alias("g"), (95.0 + k % 11).alias("b"))
+    cat = sky(read_table(spark, d, "supplier"), "s_suppkey", "s_acctbal", "entry", (10 + s % 3 / 10.0).alias("mag_r"), F.lit(10.0).alias("mag_g"), (10 + s % 4 / 10.0).alias("mag_b"))
+    out = colour.channel_factors(stars, cat, "c_mktsegment", 6.0)
+    return out.select("c_mktsegment", "matched", R6("r_factor").alias("r_factor"), R6("b_factor").alias("b_factor"), "status")

@@ -108,7 +108,7 @@ p AS (SELECT frame_id, name,
  regexp_extract(name, '(?i)(?:dark|bias|flat|offset)(?:_exp)?_?([\\d.]+)(?:s|sec)?_gain[_-]?(\\d+)_bin[_-]?(\\d+)(?:_(-?\\d+)C)?_stack[_-]?(\\d+)', ['e','g','b','k','s']) a,
  regexp_extract(name, '(?i)(?:dark|bias|flat|offset)(?:_exp)?_?([\\d.]+)(?:s|sec)?[_-](\\d+)g[_-](-?\\d+)C(?:_(\\d+))?', ['e','g','k','s']) w,
  regexp_extract(name, '(?i)(?:dark|bias|flat|offset)(?:_exp)?_?([\\d.]+)s(\\d+)', ['e','g']) c FROM n)
-SELECT frame_id, CASE WHEN l.g <> '' THEN 'light' WHEN a.g <> '' THEN 'dark' WHEN w.g <> '' THEN 'dark_dwarf3' WHEN c.g <> '' THEN 'dark_compact' END AS pattern,
+SELECT frame_id, CASE WHEN l.g <> '' THEN 'light' WHEN a.g <> '' THEN 'dark' WHEN w.g <> '' THEN 'dark_short' WHEN c.g <> '' THEN 'dark_compact' END AS pattern,
  try_cast(CASE WHEN l.g <> '' THEN l.e WHEN a.g <> '' THEN a.e WHEN w.g <> '' THEN w.e ELSE c.e END AS DOUBLE) AS exptime,
  try_cast(CASE WHEN l.g <> '' THEN l.g WHEN a.g <> '' THEN a.g WHEN w.g <> '' THEN w.g ELSE c.g END AS INTEGER) AS gain,
  try_cast(CASE WHEN l.g <> '' THEN l.k WHEN a.g <> '' THEN a.k WHEN w.g <> '' THEN w.k END AS DOUBLE) AS temp FROM p""")

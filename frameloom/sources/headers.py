@@ -74,3 +74,30 @@ def rejects(scanned: DataFrame, typed: DataFrame) -> DataFrame:
     bad = scanned.where("error is not null").select("path", F.col("error").alias("reason"))
     lacking = typed.where(F.col("frame_type").isin(*CALIBRATION) & (F.col("exptime").isNull() | F.col("gain").isNull()))
     return bad.unionByName(lacking.select("path", F.lit("calibration frame without exposure or gain").alias("reason")))
+
+
+def propagate(target: DataFrame, source: DataFrame, keys_: list[str], cards: str = "raw_cards") -> DataFrame:
+    """target with the cards of a one-row source added where they are missing; keys_ limits them."""
+    ref = source.select(F.map_filter(cards, lambda k, _: k.isin(keys_)).alias("__ref")).limit(1)
+    joined = target.crossJoin(F.broadcast(ref))  # one row
+    own = F.coalesce(F.col(cards), F.create_map().cast("map<string,string>"))
+    missing = F.map_filter("__ref", lambda k, _: ~F.map_contains_key(own, k))
+    return joined.withColumn(cards, F.map_concat(own, missing)).drop("__ref")
+
+
+def sky_header(width: str, height: str, ra: str, dec: str, scale: str, binning: str = "xbinning") -> dict:
+    """Columns of a tangent-plane header: reference pixel in the middle, scale in degrees, binning undone."""
+    deg = F.col(scale) / 3600.0
+    return {
+        "CTYPE1": F.lit("RA---TAN"), "CTYPE2": F.lit("DEC--TAN"), "CRPIX1": (F.col(width) + 1) / 2, "CRPIX2": (F.col(height) + 1) / 2, "CRVAL1": F.col(ra), "CRVAL2": F.col(dec),
+        "CDELT1": -deg, "CDELT2": deg, "EQUINOX": F.lit(2000.0), "XBINNING": F.lit(1), "SCALE_BINNED_BY": F.col(binning),
+    }
+
+
+def intended_captures(lines: DataFrame, line: str = "value") -> DataFrame:
+    """Distinct (exptime, gain, filter) named in a text list, as in `60s, gain 40, Duo-Band` or `60s40`."""
+    t = F.col(line)
+    exp, gain = F.regexp_extract(t, r"(\d+(?:\.\d+)?)\s*s", 1), F.regexp_extract(t, r"(?i)(?:gain\s*[:=]?\s*|\d\s*s)(\d+)", 1)
+    name = F.nullif(F.regexp_extract(t, r"(?i)(duo-?band|astro|luminance|vis|red|green|blue)", 1), F.lit(""))
+    got = lines.select(exp.try_cast("double").alias("exptime"), gain.try_cast("int").alias("gain"), keys.filter_class(name).alias("filter"))
+    return got.where("exptime is not null and gain is not null").distinct()

@@ -77,3 +77,14 @@ def test_sinks(spark, tmp_path):
     sinks.write_report(sinks.report(df, "f", {"p": ["x"]}), str(tmp_path / "r"))
     sinks.write_products(df, str(tmp_path / "p"), "f")
     assert spark.read.parquet(str(tmp_path / "p")).where("f = 'f'").count() == 4
+
+
+def test_header_helpers(spark):
+    ref = spark.createDataFrame([({"RA": "1", "OBJECT": "x", "GAIN": "5"},)], "raw_cards map<string,string>")
+    tgt = spark.createDataFrame([("a", {"RA": "9"}), ("b", None)], "k string, raw_cards map<string,string>")
+    assert {r.k: r.raw_cards for r in headers.propagate(tgt, ref, ["RA", "OBJECT"]).collect()} == {"a": {"RA": "9", "OBJECT": "x"}, "b": {"RA": "1", "OBJECT": "x"}}
+    lines = spark.createDataFrame([("- 60s, gain 40, Duo-Band",), ("15s60 Astro",), ("nothing",), (None,)], "value string")
+    assert rows(headers.intended_captures(lines)) == [(15.0, 60, "astro"), (60.0, 40, "duo-band")]
+    df = spark.createDataFrame([(1000, 500, 10.0, 20.0, 3.6, 2)], "w int, h int, ra double, dec double, s double, xbinning int")
+    r = df.select(*[v.alias(k) for k, v in headers.sky_header("w", "h", "ra", "dec", "s").items()]).first()
+    assert (r.CRPIX1, r.CDELT2, r.XBINNING, r.SCALE_BINNED_BY) == (500.5, 0.001, 1, 2)
