@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Offsets of zone abbreviations in minutes east of UTC.
 ZONE_MINUTES = {
     "UTC": 0, "UT": 0, "GMT": 0, "Z": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "MEZ": 60, "MESZ": 120,
@@ -326,9 +328,12 @@ def settle_folds(df: DataFrame, run: str, order: str, keep: list[str], candidate
     meet a change of clocks (`may_fold`); other runs are not looked at.
     Returns keep, run, order, utc_second, ambiguous_zone, and the columns of
     the reading. Only runs with an open row are sorted.
+    Runs an action: the candidates are checkpointed.
     """
     cols = list(dict.fromkeys([run, order, *keep]))
-    base = df.select(*cols, "minute", "wall", "fmt", "posterior", "ambiguous_format", "u1", "u2", (F.col(candidate) if candidate else F.lit(True)).alias("__may"))
+    may = F.col(candidate) if candidate else F.lit(True)
+    # Read three times below; a few numbers a row.
+    base = cut(df.select(*cols, "minute", "wall", "fmt", "posterior", "ambiguous_format", "u1", "u2", may.alias("__may")))
     is_open = F.coalesce("__may", F.lit(False)) & F.col("u2").isNotNull() & F.col(run).isNotNull() & F.col(order).isNotNull()
     plain = base.where(~is_open).select(
         *cols, "fmt", "posterior", "ambiguous_format", F.col("u1").alias("utc_second"), F.col("u2").isNotNull().alias("ambiguous_zone")
