@@ -14,7 +14,7 @@ from ..operators import image, kernels, stack
 from ..session import read_table
 from .catalog import query
 
-PX = """px AS (SELECT vec_id, label, i // 8 AS y, i % 8 AS x, v FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings))"""
+PX = """px AS (SELECT vec_id, label, (i // 8)::INT AS y, (i % 8)::INT AS x, v FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings))"""
 AT = ["label", "y", "x"]
 R6 = lambda c: F.round(c, 6)
 
@@ -312,7 +312,7 @@ def gradient_cells(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {PX}, w AS (SELECT label, v, (y * 2 + (vec_id % 3) * 0.5) AS ty, (x * 2 + (vec_id % 2) * 0.5) AS tx FROM px), o AS (SELECT unnest([0, 1]) AS d), o2 AS (SELECT unnest([0, 1]) AS e),
  c AS (SELECT label, floor(ty)::INT + d AS oy, floor(tx)::INT + e AS ox, v, (CASE WHEN d = 0 THEN 1 - (ty - floor(ty)) ELSE ty - floor(ty) END) * (CASE WHEN e = 0 THEN 1 - (tx - floor(tx)) ELSE tx - floor(tx) END) AS w FROM w, o, o2)
-SELECT label, oy, ox, round(sum(v * w) / sum(w), 6) AS value, round(sum(w), 6) AS weight FROM c WHERE w > 1e-6 GROUP BY ALL""")
+SELECT label, oy, ox, round(sum(v * w) / sum(w), 6) AS value, round(sum(w), 6)::DOUBLE AS weight FROM c WHERE w > 1e-6 GROUP BY ALL""")
 def drizzle_scatter(spark: SparkSession, d: str) -> DataFrame:
     """Pixels scattered onto a grid of twice the scale with sub-pixel shifts."""
     px = pixels(spark, d)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,21 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computed once, survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, once per application.
+
+    A zip of the package is handed to the executors, so neither a PYTHONPATH nor
+    an installation is needed there.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_frameloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="frameloom-zip-")) / "frameloom_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._frameloom_shipped = True
