@@ -162,8 +162,9 @@ def drizzle(px: DataFrame, group: list[str], scale: float, dy: Column, dx: Colum
             fy, fx = F.col("ty") - F.floor("ty"), F.col("tx") - F.floor("tx")
             w = (fy if d else 1 - fy) * (fx if e else 1 - fx)
             cells.append(F.struct((F.floor("ty") + d).cast("int").alias("oy"), (F.floor("tx") + e).cast("int").alias("ox"), w.alias("w")))
-    hit = rows.select(*group, "__v", F.explode(F.array(*cells)).alias("c")).select(*group, "__v", "c.oy", "c.ox", "c.w").where(F.col("w") > least)
-    return hit.groupBy(*group, "oy", "ox").agg((F.sum(F.col("__v") * F.col("w")) / F.sum("w")).alias("value"), F.sum("w").alias("weight"))
+    hit = rows.select(*group, "__v", F.explode(F.array(*cells)).alias("__cell"))
+    hit = hit.select(*group, "__v", "__cell.oy", "__cell.ox", F.col("__cell.w").alias("__w")).where(F.col("__w") > least)
+    return hit.groupBy(*group, "oy", "ox").agg((F.sum(F.col("__v") * F.col("__w")) / F.sum("__w")).alias("value"), F.sum("__w").alias("weight"))
 
 
 def colour_excess(px: DataFrame, group: list[str], value: str = "value", fail_over: float = 15.0) -> DataFrame:

@@ -84,7 +84,7 @@ class Params:
     merge: Merge = field(default_factory=Merge)
     drizzle: Drizzle = field(default_factory=Drizzle)
     display: Display = field(default_factory=Display)
-    steps: list = field(default_factory=lambda: ["calibrate", "cosmetic", "debayer", "register", "select", "stack", "gradient", "merge"])
+    steps: list = field(default_factory=lambda: ["calibrate", "cosmetic", "debayer", "register", "select", "stack", "gradient", "drizzle", "cross_register", "merge"])
 
 
 def expand_env(value: Any, env: dict[str, str] | None = None) -> Any:

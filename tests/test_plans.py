@@ -76,6 +76,18 @@ def test_colour_and_repairs(spark):
     assert {r.overall for r in pipeline.qc(c.tables["stacks"]).collect()} <= {"PASS", "FAIL"}
 
 
+def test_drizzle_and_alignment_of_groups(spark):
+    f, t, _ = observation(spark)
+    c, results = pipeline.process(f, t, {"steps": ["register", "stack", "drizzle", "cross_register", "merge"], "drizzle": {"enabled": True, "min_frames": 3}, "stacking": {"method": "median", "normalise": "none"}})
+    assert all(r.ok for r in results), [r.notes for r in results]
+    d = c.tables["drizzled"]
+    assert d.where("weight <= 0").count() == 0 and d.groupBy("group_hash").count().count() <= 2
+    cross = c.tables["cross_group"].collect()
+    assert len(cross) == 2 and all(r.ok and abs(r.dy) < 1 and abs(r.dx) < 1 for r in cross)
+    assert c.tables["merged"].count() == 32 * 32
+    assert {r.phases > 0 for r in c.tables["drizzle_stats"].collect()} <= {True}
+
+
 def test_streaming_counts_each_frame_once(spark, tmp_path):
     batch = spark.read.parquet(f"{SMALL}/frames.parquet").select("frame_id", "device_id", "exptime", "received_at")
     batch.repartition(3).write.parquet(str(tmp_path / "in"))
