@@ -25,10 +25,9 @@ def reference_by_signal(groups: DataFrame, key: str) -> DataFrame:
     the largest group, the first by `ord` on ties.
     """
     ok = (F.col("frame_count") >= 3) & (F.col("score") > 0)
-    best = F.max(F.when(ok, F.col("score"))).over(Window.partitionBy())
+    best = groups.agg(F.max(F.when(ok, F.col("score"))).alias("__b"))
     tops = F.sum(F.when(ok & (F.abs(F.col("score") - F.col("__b")) <= 1e-12), 1).otherwise(0))
-    # One row per group: a few thousand at most, whatever the number of frames.
-    g = groups.withColumn("__b", best)
+    g = groups.crossJoin(F.broadcast(best))  # one row
     return g.agg(
         tops.alias("__n"),
         F.max_by(key, F.when(ok, F.col("score"))).alias("__s"),
@@ -49,10 +48,11 @@ def cross_group_gate(groups: DataFrame, key: str, reference: DataFrame, min_corr
     rotation over 1° off the median on equatorial mounts.
     """
     ref = reference.select(F.col(key).alias("__ref"))
-    rot = F.median("rotation_deg").over(Window.partitionBy())
-    g = groups.withColumn("__rot", rot).crossJoin(F.broadcast(ref))  # one row
-    refmode = F.max(F.when(F.col(key) == F.col("__ref"), F.col("eqmode_majority"))).over(Window.partitionBy())
-    g = g.withColumn("__mode", refmode)
+    mode = groups.select(F.col(key).alias("__ref"), F.col("eqmode_majority").alias("__mode"))
+    middle = groups.agg(F.median("rotation_deg").alias("__rot"))
+    # One row: the reference, its mount and the median rotation.
+    facts = ref.join(mode, "__ref", "left").crossJoin(F.broadcast(middle))
+    g = groups.crossJoin(F.broadcast(facts))
     duo = F.lower(F.coalesce("filter", F.lit(""))).contains("duo")
     least = F.when(duo, duo_corr).otherwise(min_corr)
     reasons = F.array_compact(
@@ -110,15 +110,22 @@ def resolve_name(names: DataFrame, name: str, asked: DataFrame, most: int = 3) -
     """asked, match, candidates: exact name, else the only one with that prefix (case doesn't count), else null.
 
     candidates lists up to `most` close names by edit distance where there is no
-    match. Both sides are short lists of names typed by a person; asked has `asked`.
+    match. asked (column `asked`) holds names typed by a person: over 1,000 of
+    them are refused, so that they may be sent to the names, however many those
+    are. Counts asked (an action).
     """
-    n = names.select(F.col(name).alias("n")).distinct()
-    pairs = asked.join(F.broadcast(n), F.lower("n").startswith(F.lower("asked")), "left")
+    if asked.count() > 1000:
+        raise ValueError("more than 1,000 names were asked for")
+    n = names.select(F.col(name).alias("n")).where("n is not null").distinct()
+    q = asked.select("asked").where("asked is not null").distinct()
+    start = lambda c: F.lower(F.substring(F.col(c), 1, 1)).alias("__s")
+    pairs = n.select("n", start("n")).join(F.broadcast(q.select("asked", start("asked"))), "__s").where(F.lower("n").startswith(F.lower("asked")))
     hit = pairs.groupBy("asked").agg(F.count("n").alias("k"), F.max("n").alias("only"), F.max(F.when(F.lower("n") == F.lower("asked"), F.col("n"))).alias("exact"))
     match = F.coalesce("exact", F.when(F.col("k") == 1, F.col("only")))
-    found = hit.select("asked", match.alias("match"))
+    found = q.join(hit, "asked", "left").select("asked", match.alias("match"))
     lost = found.where("match is null").select("asked")
     d = F.levenshtein(F.lower("n"), F.lower("asked"))
-    close = lost.crossJoin(F.broadcast(n)).groupBy("asked").agg(F.array_sort(F.collect_list(F.struct(d.alias("d"), F.col("n").alias("n")))).alias("c"))
-    near = close.select("asked", F.array_join(F.transform(F.slice("c", 1, most), lambda s: s["n"]), ",").alias("candidates"))
-    return found.join(near, "asked", "left")
+    near = n.crossJoin(F.broadcast(lost)).select("asked", "n", d.alias("d"))
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy("d", "n"))).where(F.col("r") <= most)
+    listed = best.groupBy("asked").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "n"))), lambda s: s["n"]), ",").alias("candidates"))
+    return found.join(listed, "asked", "left")

@@ -104,9 +104,12 @@ def double_rate(stars: DataFrame, frame: str, radius: float = 5.0, min_stars: in
 def profile_match(items: DataFrame, key: str, text: str, profiles: DataFrame) -> DataFrame:
     """key, profile: exact beats substring, longer beats shorter, first beats later; else `default`.
 
-    profiles has name, pattern and ord. It is a short configuration table; the
+    profiles has name, pattern and ord. It is a configuration table: over 10,000
+    rows are refused (counted, an action), so that it may be broadcast. The
     distinct texts are matched against it, not the items.
     """
+    if profiles.count() > 10_000:
+        raise ValueError("more than 10,000 profiles")
     texts = items.select(F.lower(text).alias("__t")).distinct()
     p = profiles.select("name", F.lower("pattern").alias("pattern"), "ord")
     rank = F.struct((F.col("__t") == F.col("pattern")).alias("exact"), F.length("pattern").alias("len"), (-F.col("ord")).alias("o"))
