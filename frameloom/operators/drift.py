@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 #: The tracked fields and their target types, in the order of the output.
 TARGETS = {"det_temp": "double", "eq_mode": "int", "bayer_pattern": "string"}
 
-# Integer code of a Bayer pattern, as cameras number them.
+# Integer code of a Bayer pattern. Read off the test headers: devices that
+# wrote both a code and the pattern's letters paired them like this, without exception.
 BAYER_CODES = {0: "RGGB", 1: "GRBG", 2: "BGGR", 3: "GBRG"}
 
 # Spellings of a mount mode; 1 is equatorial, 0 is alt-azimuth.
