@@ -59,11 +59,14 @@ def superpixel(px: DataFrame, frame: list[str], value: str = "value") -> DataFra
     )
 
 
-def bad_pixels(tensors: DataFrame, group: str, frame: str, width: int, threshold: float, n_frames: int) -> DataFrame:
+def bad_pixels(tensors: DataFrame, group: str | list[str], frame: str, width: int | str, threshold: float, n_frames: int) -> DataFrame:
     """group, y, x, hits: positions over their same-colour neighbours by more than threshold in n_frames frames.
 
-    Only the exceeding positions leave a frame, so what is aggregated is sparse.
+    width: that of all frames, or a column among those of group. Only the
+    exceeding positions leave a frame, so what is aggregated is sparse.
     """
+    by = [group] if isinstance(group, str) else group
+    w = F.col(width) if isinstance(width, str) else F.lit(width)
 
     def over(img):
         import numpy as np
@@ -71,9 +74,9 @@ def bad_pixels(tensors: DataFrame, group: str, frame: str, width: int, threshold
         y, x = np.nonzero(img - kernels.neighbour_median(img) > threshold)
         return {"at": (y * img.shape[1] + x).tolist()}
 
-    hot = kernels.per_frame(tensors, [frame, group], "at array<int>", over).select(group, F.explode("at").alias("__i"))
-    hits = hot.groupBy(group, "__i").agg(F.count("*").alias("hits")).where(F.col("hits") >= n_frames)
-    return hits.select(group, F.floor(F.col("__i") / width).cast("int").alias("y"), (F.col("__i") % width).alias("x"), "hits")
+    hot = kernels.per_frame(tensors, [frame, *by], "at array<int>", over).select(*by, F.explode("at").alias("__i"))
+    hits = hot.groupBy(*by, "__i").agg(F.count("*").alias("hits")).where(F.col("hits") >= n_frames)
+    return hits.select(*by, F.floor(F.col("__i") / w).cast("int").alias("y"), (F.col("__i") % w).alias("x"), "hits")
 
 
 def fill_bad_pixels(tensors: DataFrame, bad: DataFrame, group: str, frame: str) -> DataFrame:

@@ -63,26 +63,27 @@ def calibrate(c: Context) -> dict[str, DataFrame]:
 
 
 def cosmetic(c: Context) -> dict[str, DataFrame]:
-    """Bad pixels of a group interpolated; groups with fewer than n_frames frames stay as they are."""
+    """Bad pixels of a group's one-channel lights interpolated; other lights stay.
+
+    Positions are counted among a group's frames of one size; fewer than n_frames such frames stay as they are.
+    """
     p = c.params.cosmetic
     if not p.enabled:
         return {}
-    rows = _images(c).join(_lights(c).select("frame_id", "group_hash"), "frame_id").where("ch = 1")
-    width = rows.agg(F.max("w")).first()[0]
-    if width is None:
-        return {}
-    bad = image.bad_pixels(rows, "group_hash", "frame_id", int(width), p.threshold, p.n_frames)
-    where = bad.groupBy("group_hash").agg(F.collect_list(F.struct("y", "x")).alias("bad"))
+    rows = _images(c).join(_lights(c).select("frame_id", "group_hash"), "frame_id")
+    like = ["group_hash", "h", "w"]
+    bad = image.bad_pixels(rows.where("ch = 1"), like, "frame_id", "w", p.threshold, p.n_frames)
+    where = bad.groupBy(*like).agg(F.collect_list(F.struct("y", "x")).alias("bad"))
 
     def fix(img, positions):
-        if positions is None:
+        if positions is None or img.ndim == 3:
             return {"data": kernels.flat(img)}
         near, out = kernels.neighbour_median(img), img.copy()
         for q in positions:
             out[q["y"], q["x"]] = near[q["y"], q["x"]]
         return {"data": kernels.flat(out)}
 
-    done = kernels.per_frame(rows.join(where, "group_hash", "left"), ["frame_id", "h", "w", "ch"], "data array<double>", fix, ["bad"])
+    done = kernels.per_frame(rows.join(where, like, "left"), ["frame_id", "h", "w", "ch"], "data array<double>", fix, ["bad"])
     return {"images": done, "bad_pixels": bad}
 
 

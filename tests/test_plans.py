@@ -76,6 +76,33 @@ def test_colour_and_repairs(spark):
     assert {r.overall for r in pipeline.qc(c.tables["stacks"]).collect()} <= {"PASS", "FAIL"}
 
 
+def test_cosmetic_of_mixed_sizes_and_channels(spark):
+    """Each size is repaired at its own positions, within a group as well; colour lights stay in the plan."""
+    frames, tensors = [], []
+
+    def add(fid, exp, img):
+        frames.append((fid, len(frames), "light", exp, 60, "QV 1", -5.0, None))
+        h, w, ch = (*img.shape, 1)[:3]
+        tensors.append((fid, h, w, ch, img.ravel().tolist()))
+
+    for i in range(3):
+        for name, exp, shape, at in (("wide", 15.0, (8, 16), (3, 11)), ("narrow", 60.0, (12, 8), (9, 5)), ("tall", 15.0, (16, 8), (13, 2))):
+            img = np.full(shape, 10.0)
+            img[at] = 900.0
+            add(f"{name}{i}", exp, img)
+        add(f"colour{i}", 15.0, np.arange(8 * 16 * 3, dtype=float).reshape(8, 16, 3))
+    f = spark.createDataFrame(frames, "frame_id string, idx int, frame_type string, exptime double, gain int, object_name string, ccd_temp double, filter_name string")
+    t = spark.createDataFrame(tensors, "frame_id string, h int, w int, ch int, data array<double>")
+    c, results = pipeline.process(f, t, {"steps": ["cosmetic"], "cosmetic": {"enabled": True, "threshold": 500.0}})
+    assert all(r.ok for r in results), [r.notes for r in results]
+    got = {r.frame_id: r for r in c.tables["images"].collect()}
+    assert set(got) == {r[0] for r in tensors}
+    for fid, h, w, ch, data in tensors:
+        assert (got[fid].h, got[fid].w, got[fid].ch) == (h, w, ch)
+        assert got[fid].data == (data if ch == 3 else [10.0] * (h * w))
+    assert rows(c.tables["bad_pixels"].select("group_hash", "h", "w", "y", "x", "hits")) == [("15s60", 16, 8, 13, 2, 3), ("15s60", 8, 16, 3, 11, 3), ("60s60", 12, 8, 9, 5, 3)]
+
+
 def test_drizzle_and_alignment_of_groups(spark):
     f, t, _ = observation(spark)
     c, results = pipeline.process(f, t, {"steps": ["register", "stack", "drizzle", "cross_register", "merge"], "drizzle": {"enabled": True, "min_frames": 3}, "stacking": {"method": "median", "normalise": "none"}})
