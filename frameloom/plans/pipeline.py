@@ -33,6 +33,11 @@ def _images(c: Context) -> DataFrame:
     return c.tables["images"] if "images" in c.tables else c.tables["tensors"]
 
 
+def _unregistered(c: Context, done: DataFrame) -> dict[str, DataFrame]:
+    """done as the images and, before registration, as what drizzle scatters."""
+    return {"images": done} if "registrations" in c.tables else {"images": done, "unregistered": done}
+
+
 def _lights(c: Context) -> DataFrame:
     return c.tables["frames"].where("frame_type = 'light'").select("frame_id", "idx", "group_hash", "filter_name", "exptime")
 
@@ -59,7 +64,7 @@ def calibrate(c: Context) -> dict[str, DataFrame]:
         return {"data": kernels.flat(np.maximum(out, 0)), "dark_mode": "offset_rescue" if rescue else "full"}
 
     done = kernels.per_frame(rows, ["frame_id", "h", "w", "ch"], "data array<double>, dark_mode string", one, ["dark"])
-    return {"images": done}
+    return _unregistered(c, done)
 
 
 def cosmetic(c: Context) -> dict[str, DataFrame]:
@@ -84,7 +89,7 @@ def cosmetic(c: Context) -> dict[str, DataFrame]:
         return {"data": kernels.flat(out)}
 
     done = kernels.per_frame(rows.join(where, like, "left"), ["frame_id", "h", "w", "ch"], "data array<double>", fix, ["bad"])
-    return {"images": done, "bad_pixels": bad}
+    return {**_unregistered(c, done), "bad_pixels": bad}
 
 
 def debayer(c: Context) -> dict[str, DataFrame]:
@@ -129,7 +134,7 @@ def register(c: Context) -> dict[str, DataFrame]:
 
     schema = "data array<double>, dy double, dx double, rotation_deg double, corr_hp double, status string"
     done = kernels.per_frame(rows.join(first, "group_hash"), ["frame_id", "group_hash", "idx", "h", "w", "ch"], schema, one, ["ref"])
-    return {"images": done.select("frame_id", "h", "w", "ch", "data"), "registrations": done.select("frame_id", "group_hash", "idx", "dy", "dx", "rotation_deg", "corr_hp", "status")}
+    return {"images": done.select("frame_id", "h", "w", "ch", "data"), "registrations": done.select("frame_id", "group_hash", "idx", "h", "w", "ch", "dy", "dx", "rotation_deg", "corr_hp", "status")}
 
 
 def measure(c: Context) -> DataFrame:
@@ -197,18 +202,29 @@ def gradient(c: Context) -> dict[str, DataFrame]:
 
 
 def drizzle_groups(c: Context) -> dict[str, DataFrame]:
-    """Stacks by scattering each registered frame onto a finer grid; groups under min_frames are left to the other path."""
+    """Stacks by scattering each registered frame onto a finer grid; groups under min_frames are left to the other path.
+
+    The frames are those selected, as they were before debayering and
+    registration; shifts measured on another size are scaled to theirs. Pixels
+    of a mosaic that was registered in colour go to their own colour's channel.
+    """
     p = c.params.drizzle
     if not p.enabled:
         return {}
-    reg = c.tables["registrations"].where("status = 'ok'").select("frame_id", "group_hash", "dy", "dx")
+    reg = c.tables["registrations"].where("status = 'ok'")
+    if "selected" in c.tables:
+        reg = reg.join(c.tables["selected"].select("frame_id"), "frame_id", "left_semi")
+    reg = reg.select("frame_id", "group_hash", F.col("h").alias("rh"), F.col("w").alias("rw"), F.col("ch").alias("rch"), "dy", "dx")
     enough = reg.groupBy("group_hash").agg(F.count("*").alias("frame_count")).where(F.col("frame_count") >= p.min_frames)
-    source = c.tables.get("unregistered", c.tables["tensors"])
-    px = stack.to_pixels(source.join(reg.join(enough, "group_hash", "left_semi"), "frame_id"), ["group_hash", "dy", "dx"], channels="ch")
+    source = c.tables.get("unregistered", c.tables["tensors"]).join(reg.join(enough, "group_hash", "left_semi"), "frame_id")
+    source = source.withColumns({"dy": F.col("dy") * F.col("h") / F.col("rh"), "dx": F.col("dx") * F.col("w") / F.col("rw"), "mosaic": (F.col("ch") == 1) & (F.col("rch") == 3)})
+    px = stack.to_pixels(source, ["group_hash", "dy", "dx", "mosaic"], channels="ch")
+    # RGGB: red where both coordinates are even, blue where both are odd.
+    px = px.withColumn("c", F.when(F.col("mosaic"), F.col("y") % 2 + F.col("x") % 2).otherwise(F.col("c")))
     out = image.drizzle(px, ["group_hash", "c"], p.scale, F.col("dy") * p.scale, F.col("dx") * p.scale)
     stats = out.groupBy("group_hash").agg(F.min("weight").alias("weight_min"), F.median("weight").alias("weight_median"))
     phase = lambda k: F.bround(F.col(k) / 0.5)
-    phases = reg.groupBy("group_hash").agg(F.count_distinct(F.struct(phase("dy"), phase("dx"))).alias("phases"))
+    phases = source.groupBy("group_hash").agg(F.count_distinct(F.struct(phase("dy"), phase("dx"))).alias("phases"))
     return {"drizzled": out.select("group_hash", F.col("oy").alias("y"), F.col("ox").alias("x"), "c", "value", "weight"), "drizzle_stats": stats.join(phases, "group_hash")}
 
 

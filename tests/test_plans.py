@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from frameloom.plans import config, pipeline, steps
 from frameloom.streaming import ingest
@@ -115,6 +116,42 @@ def test_drizzle_and_alignment_of_groups(spark):
     assert {r.phases > 0 for r in c.tables["drizzle_stats"].collect()} <= {True}
 
 
+def test_drizzle_takes_calibrated_selected_frames(spark):
+    f, t, _ = observation(spark)
+    t = t.withColumn("data", F.transform("data", lambda v: v + 500.0))
+    c, results = pipeline.process(f, t, {"steps": ["calibrate", "cosmetic", "debayer", "register", "select", "drizzle"], "cosmetic": {"enabled": True, "threshold": 5000.0}, "drizzle": {"enabled": True, "min_frames": 1}, "selection": {"enabled": True, "keep_percent": 50.0, "min_frames": 1}})
+    assert all(r.ok for r in results), [r.notes for r in results]
+    kept = c.tables["registrations"].where("status = 'ok'").join(c.tables["selected"].select("frame_id"), "frame_id").groupBy("group_hash").count()
+    kept = {r[0]: r[1] for r in kept.collect()}
+    got = {r.group_hash: r for r in c.tables["drizzled"].groupBy("group_hash").agg(F.sum("weight").alias("weight"), F.median("value").alias("value"), F.collect_set("c").alias("c")).collect()}
+    assert kept and set(got) == set(kept) and all(n < 4 for n in kept.values())
+    for g, r in got.items():
+        assert abs(r.weight - kept[g] * 32 * 32) < 0.1 and r.value < 500 and set(r.c) == {0, 1, 2}
+
+
+def test_drizzle_scales_shifts_to_the_mosaic(spark):
+    mosaic = np.array([[1.0, 2.0], [2.0, 3.0]])
+    mosaic = np.tile(mosaic, (2, 2)).ravel()
+    schema = "frame_id string, h int, w int, ch int, data array<double>"
+    shots = lambda off: spark.createDataFrame([(i, 4, 4, 1, (mosaic + off).tolist()) for i in "abc"], schema)
+    reg = [("a", "g", 0, 2, 2, 3, 0.0, 0.0, "ok"), ("b", "g", 1, 2, 2, 3, 1.0, -1.0, "ok"), ("c", "g", 2, 2, 2, 3, 9.0, 9.0, "ok")]
+    reg = spark.createDataFrame(reg, "frame_id string, group_hash string, idx int, h int, w int, ch int, dy double, dx double, status string")
+    chosen = spark.createDataFrame([("a", "g"), ("b", "g")], "frame_id string, group_hash string")
+    tables = {"tensors": shots(500.0), "unregistered": shots(0.0), "registrations": reg, "selected": chosen}
+    out = pipeline.drizzle_groups(steps.Context(tables, config.resolve({"drizzle": {"enabled": True, "min_frames": 2}})))
+    got = {(r.y, r.x, r.c): (r.value, r.weight) for r in out["drizzled"].collect()}
+    want = {}
+    for y0, x0 in ((0, 0), (2, -2)):
+        for y in range(4):
+            for x in range(4):
+                at = (2 * (y + y0), 2 * (x + x0), y % 2 + x % 2)
+                want[at] = (1.0 + y % 2 + x % 2, want.get(at, (0, 0))[1] + 1.0)
+    assert got == want
+    assert [r.phases for r in out["drizzle_stats"].collect()] == [2]
+    none = pipeline.drizzle_groups(steps.Context(tables, config.resolve({"drizzle": {"enabled": True, "min_frames": 3}})))
+    assert none["drizzled"].count() == 0
+
+
 def test_streaming_counts_each_frame_once(spark, tmp_path):
     batch = spark.read.parquet(f"{SMALL}/frames.parquet").select("frame_id", "device_id", "exptime", "received_at")
     batch.repartition(3).write.parquet(str(tmp_path / "in"))
