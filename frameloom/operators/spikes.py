@@ -69,6 +69,17 @@ def stretches(x: np.ndarray) -> np.ndarray:
     return np.repeat(length, length)
 
 
+def enclosed(x: np.ndarray, few: int) -> np.ndarray:
+    """Marks the stretches of at most `few` readings between two at one other value, of which one is longer than `few`."""
+    if len(x) == 0:
+        return np.zeros(0, dtype=bool)
+    start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    length, at = np.diff(np.r_[start, len(x)]), x[start]
+    out = np.zeros(len(start), dtype=bool)
+    out[1:-1] = (length[1:-1] <= few) & (at[:-2] == at[2:]) & (np.maximum(length[:-2], length[2:]) > few)
+    return np.repeat(out, length)
+
+
 def frozen_limit(lengths: np.ndarray, counts: np.ndarray, chance: float = 0.01, least: int = 8) -> int:
     """Stretch length that a source reaches by chance less than `chance` times.
 
@@ -134,9 +145,13 @@ def flag_implausible(
 
     low, high  the physically possible range; outside is reason `limit`.
     levels     the value is a setting: it may jump between the levels the source
-               uses. A level counts as used if it holds for `series` readings in
-               a row somewhere; a shorter stretch at any other value is a `spike`.
-               Otherwise `spike` comes from the control chart (k scales off the
+               uses. A run holds a level for `series` readings in a row, unless
+               these are at most `few` and the run returns from them to where it
+               was. A level is used in a run that holds it, and in all runs of
+               the source if at least half of those that have it hold it, or if
+               so many, and at least three, have `series` readings of it in any
+               way. At any other level a stretch under `series`, or one of at
+               most `few` from which the run returns, is a `spike`. Otherwise `spike` comes from the control chart (k scales off the
                level for at most `few` readings, then back).
     frozen     also report `frozen` stretches, all their readings.
 
@@ -176,7 +191,7 @@ def flag_implausible(
     scale = scale.select("src", noise.alias("sigma"), F.coalesce("res", F.lit(0.0)).alias("res"))
 
     types = dict(blocks.dtypes)
-    schema = f"key {types['key']}, src {types['src']}, v double, len int, first boolean, spike boolean"
+    schema = f"key {types['key']}, src {types['src']}, run {types['run']}, v double, len int, first boolean, spike boolean, back boolean"
     by = ["src", "run", "blk"]
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,8 +203,9 @@ def flag_implausible(
             first = np.r_[True, x[1:] != x[:-1]]
             s, r = g["sigma"].iloc[0], g["res"].iloc[0]
             spike = np.zeros(len(x), dtype=bool) if levels or not s == s else chart(x, float(s), float(r), k, few)
+            back = enclosed(x, few) if levels else np.zeros(len(x), dtype=bool)
             core = (g["own"] == g["blk"]).to_numpy()
-            part = pd.DataFrame({"key": g["key"], "src": g["src"], "v": x, "len": length, "first": first, "spike": spike})
+            part = pd.DataFrame({"key": g["key"], "src": g["src"], "run": g["run"], "v": x, "len": length, "first": first, "spike": spike, "back": back})
             out.append(part[core])
             size += len(x)
             if size > 20_000:
@@ -209,8 +225,11 @@ def flag_implausible(
     judged = cut(judged)
     found = [limits]
     if levels:
-        used = judged.where(F.col("len") >= series).select("src", "v").distinct()
-        odd = judged.where(F.col("len") < series).join(used, ["src", "v"], "left_anti")
+        lasts = F.col("len") >= series
+        runs = judged.groupBy("src", "run", "v").agg(F.max(lasts & ~F.col("back")).alias("held"), F.max(lasts).alias("tried"))
+        held, tried, n = F.count_if("held"), F.count_if("tried"), F.count("*")
+        used = runs.groupBy("src", "v").agg(((2 * held >= n) | ((tried >= 3) & (2 * tried >= n))).alias("used")).where("used").select("src", "v")
+        odd = judged.where(~lasts | F.col("back")).join(used, ["src", "v"], "left_anti").join(runs.where("held").select("src", "run", "v"), ["src", "run", "v"], "left_anti")
         found.append(odd.select("key", F.lit("spike").alias("reason"), F.lit(None).cast("double").alias("score")))
     else:
         spikes = judged.where("spike")

@@ -69,6 +69,25 @@ def test_settings_jump_between_used_levels(spark):
     assert got == {"20": "spike", "41": "limit"} or got == {"20": "spike", str(len(x) - 2): "limit"}
 
 
+def test_settings_left_for_a_few_frames(spark):
+    """Runs of one device; a level is used by its share of runs, not by one stretch of three."""
+    usual = [10.0] * 12
+    runs = [
+        usual + [777.0] * 4 + usual,  # 4 frames, then back
+        usual + [777.0] + usual,  # the stretch above doesn't clear it
+        usual + [55.0] + usual,  # held by the next run only, of three that have it
+        usual + [55.0] * 9 + [10.0] * 3 + [55.0],
+        usual + [55.0] + usual,
+        *[usual + [60.0] * 3 + usual] * 3,  # a short series in many runs is usual
+        usual + [20.0] * 9,
+        [20.0] + usual,  # held by half of the runs that have it
+        [30.0] * 3 + [40.0] * 3 + [30.0] * 3 + [40.0] * 3 + [30.0] * 3,  # bracketing
+    ]
+    data = [("a", s, i, f"{s}.{i}", v) for s, r in enumerate(runs) for i, v in enumerate(r)]
+    got = flags(readings(spark, data), low=1e-6, high=86400.0, levels=True, frozen=False)
+    assert got == dict.fromkeys(["0.12", "0.13", "0.14", "0.15", "1.12", "2.12", "4.12"], "spike")
+
+
 def test_empty_and_clashing_columns(spark):
     df = readings(spark, [("a", 1, i, str(i), 1.0 + (i % 3) / 10) for i in range(30)])
     for c in ("src", "run", "ord", "key", "own", "blk", "reason"):
