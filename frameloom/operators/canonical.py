@@ -105,9 +105,19 @@ class NameMatcher:
                      (`Nebula`); it may be left out or cut short, but not contradict.
     synonyms         further spellings: normal form -> name of the list.
     noise            pattern removed from the normal form of values and names.
+    learned          (kinds, prefixes, pairs of prefixes of one catalogue) of all names where pairs are
+                     a part of them; otherwise learned from pairs.
     """
 
-    def __init__(self, pairs: list[tuple[int, str]], designations: bool = True, words_are_types: bool = True, synonyms: dict[str, str] | None = None, noise: str | None = None):
+    def __init__(
+        self,
+        pairs: list[tuple[int, str]],
+        designations: bool = True,
+        words_are_types: bool = True,
+        synonyms: dict[str, str] | None = None,
+        noise: str | None = None,
+        learned: tuple[set[str], set[str], set[tuple[str, str]]] | None = None,
+    ):
         self.noise = re.compile(noise) if noise else None
         self.designations = designations
         self.exact: dict[str, set[int]] = defaultdict(set)
@@ -122,22 +132,21 @@ class NameMatcher:
             for prefix, number in self.designators(name) if designations else []:
                 self.numbers[prefix, number].add(ref)
                 prefixes[prefix].add((ref, number))
-            bare = self.normal(re.sub(r"\([^)]*\)", " ", name))
-            if bare and not (designations and self.designators(bare)) and "," not in name:
-                names.append((ref, re.sub(r"^name ", "", bare)))
+            if (bare := self.bare(name)) is not None:
+                names.append((ref, bare))
         for word, name in (synonyms or {}).items():
             for ref in self.exact.get(self.normal(name).replace(" ", ""), ()):
                 self.exact[word.replace(" ", "")].add(ref)
-        # Two prefixes that share their numbers in several entries name one catalogue.
-        self.alike = {
-            (a, b) for a, x in prefixes.items() for b, y in prefixes.items() if a != b and len(x & y) >= 2
-        }
-        ends = defaultdict(set)
-        for ref, name in names:
-            words = name.split(" ")
-            if len(words) > 1:
-                ends[words[-1]].add(ref)
-        self.kinds = {w for w, refs in ends.items() if words_are_types and len(refs) >= 2}
+        if learned is None:
+            # Two prefixes that share their numbers in several entries name one catalogue.
+            alike = {(a, b) for a, x in prefixes.items() for b, y in prefixes.items() if a != b and len(x & y) >= 2}
+            ends = defaultdict(set)
+            for ref, name in names:
+                words = name.split(" ")
+                if len(words) > 1:
+                    ends[words[-1]].add(ref)
+            learned = {w for w, refs in ends.items() if words_are_types and len(refs) >= 2}, set(prefixes), alike
+        self.kinds, self.prefixes, self.alike = learned
         # Head of a name -> entries with the kinds they were named with.
         self.heads: dict[str, set[tuple[int, str]]] = defaultdict(set)
         for ref, name in names:
@@ -151,6 +160,11 @@ class NameMatcher:
             s = re.sub(r"\s+", " ", self.noise.sub(" ", s)).strip()
         return s
 
+    def bare(self, name: str) -> str | None:
+        """Normal form of a name of the list that is matched by distance."""
+        bare = self.normal(re.sub(r"\([^)]*\)", " ", name))
+        return re.sub(r"^name ", "", bare) if bare and not (self.designations and self.designators(bare)) and "," not in name else None
+
     @staticmethod
     def designators(text: str) -> list[tuple[str, str]]:
         s = unicodedata.normalize("NFKC", text).casefold()
@@ -164,32 +178,30 @@ class NameMatcher:
             cut -= 1
         return " ".join(words[:cut]), " ".join(words[cut:])
 
-    def by_number(self, text: str) -> tuple[bool, set[int]]:
-        """Whether the value is a designation of a catalogue of the list, and its entries."""
-        known = {p for p, _ in self.numbers}
+    def by_number(self, text: str) -> tuple[bool, tuple[int, int], set[int]]:
+        """Whether the value is a designation of a catalogue of the list, the place of the one found, and its entries."""
         asked = False
-        for prefix, number in self.designators(text):
-            if prefix not in known:
+        for i, (prefix, number) in enumerate(self.designators(text)):
+            if prefix not in self.prefixes:
                 continue
             asked = True
-            for p in [prefix, *sorted(b for a, b in self.alike if a == prefix)]:
+            for j, p in enumerate([prefix, *sorted(b for a, b in self.alike if a == prefix)]):
                 if (p, number) in self.numbers:
-                    return True, self.numbers[p, number]
-        return asked, set()
+                    return True, (i, j), self.numbers[p, number]
+        return asked, (0, 0), set()
 
-    def by_name(self, text: str) -> tuple[int, set[int]]:
-        """Distance and entries of the closest name, or (-1, {})."""
+    def by_name(self, text: str, swapped: int = 1) -> tuple[tuple[int, int, int], set[int]]:
+        """Rank and entries of the closest name: words swapped at a comma first, then whole names, then the distance."""
         s = re.sub(r"[(\[{][^)\]}]*[)\]}]", " ", text) if not re.fullmatch(r"\s*[(\[{].*[)\]}]\s*", text) else text.strip(" ()[]{}")
         if m := re.fullmatch(r"\s*([^,]+),\s*([^,]+)\s*", s):
-            swapped = f"{m[2]} {m[1]}"
-            if (hit := self.by_name(swapped))[1]:
+            if (hit := self.by_name(f"{m[2]} {m[1]}", 0))[1]:
                 return hit
         key = re.sub(r"^(the|name|der|die|das) ", "", self.normal(s))
         compact = key.replace(" ", "")
         if not compact:
-            return -1, set()
+            return (2, 0, 0), set()
         if compact in self.exact:
-            return 0, self.exact[compact]
+            return (swapped, 0, 0), self.exact[compact]
         best: dict[int, int] = {}
         for head, kind in self.readings(key):
             for d, h in self.tree.within(head, radius_of(head)):
@@ -197,9 +209,9 @@ class NameMatcher:
                     if self.agree(kind, own):
                         best[ref] = min(d, best.get(ref, 99))
         if not best:
-            return -1, set()
+            return (2, 0, 0), set()
         d = min(best.values())
-        return d, {r for r, x in best.items() if x == d}
+        return (swapped, 1, d), {r for r, x in best.items() if x == d}
 
     def readings(self, key: str) -> list[tuple[str, str]]:
         """Ways to read a value as head and kind: all head, kind split off, kind run on."""
@@ -221,17 +233,20 @@ class NameMatcher:
             return True
         return len(a) >= 4 and edit_distance(a, b, 2) <= radius_of(b)
 
+    def find(self, text: str) -> tuple[tuple[int, int, int, int], set[int]]:
+        """Rank of the best hits and their entries: designations, unknown ones, names, nothing."""
+        asked, place, refs = self.by_number(text) if self.designations else (False, (0, 0), set())
+        if asked:
+            return (0, *place, 0) if refs else (1, 0, 0, 0), refs
+        rank, refs = self.by_name(text)
+        return (2, *rank) if refs else (3, 0, 0, 0), refs
+
     def match(self, text: str) -> tuple[int | None, int | None, str]:
         """(ref_id, distance, how); ref_id is None if nothing, or more than one entry, fits."""
-        asked, refs = self.by_number(text) if self.designations else (False, set())
-        if asked and len(refs) == 1:
-            return next(iter(refs)), 0, "number"
-        if asked:
-            return None, None, "unknown_number" if not refs else "ambiguous"
-        d, refs = self.by_name(text)
+        (step, *_, d), refs = self.find(text)
         if len(refs) == 1:
-            return next(iter(refs)), d, "exact" if d == 0 else "fuzzy"
-        return None, None, "ambiguous" if refs else "unmatched"
+            return next(iter(refs)), d, "number" if step == 0 else "exact" if d == 0 else "fuzzy"
+        return None, None, "ambiguous" if refs else "unknown_number" if step == 1 else "unmatched"
 
 
 def _matches(matcher: NameMatcher, values: pd.Series) -> pd.DataFrame:
@@ -242,6 +257,27 @@ def _matches(matcher: NameMatcher, values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
 
 
+def _learn(names: DataFrame, settings: dict) -> tuple[set[str], set[str], set[tuple[str, str]]]:
+    """What NameMatcher learns from names (ref_id, name), as one matcher of all of them would. Collects the vocabulary only."""
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = NameMatcher([], **settings)
+        for pdf in batches:
+            out = []
+            for ref, name in zip(pdf["ref_id"].tolist(), pdf["name"]):
+                out += [(ref, p, n) for p, n in m.designators(name)] if m.designations else []
+                if settings["words_are_types"] and " " in (bare := m.bare(name) or ""):
+                    out.append((ref, bare.split(" ")[-1], None))
+            yield pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=object) for i, c in enumerate(("ref_id", "word", "number"))})
+
+    got = names.mapInPandas(words, "ref_id bigint, word string, number string").distinct()
+    kinds = got.where("number is null").groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
+    used = got.where("number is not null")
+    other = used.select("ref_id", "number", F.col("word").alias("other"))
+    alike = used.join(other, ["ref_id", "number"]).where("word <> other").groupBy("word", "other").agg(F.count("*").alias("n")).where("n >= 2")
+    return {r.word for r in kinds.collect()}, {r.word for r in used.select("word").distinct().collect()}, {(r.word, r.other) for r in alike.collect()}
+
+
 def canonicalise(
     values: DataFrame,
     reference: DataFrame,
@@ -260,7 +296,9 @@ def canonicalise(
 
     Counts the reference first (an action): up to `shard_size` names are sent to
     the executors as one tree; more are split by hash into shards, each matched
-    against all values in salted groups, and the nearest of the winners is kept.
+    against all values in salted groups, and the best of the winners is kept.
+    The result is the same: kinds and prefixes are learned from all names first
+    (an action), and hits rank as the one tree tries them.
     """
     settings = {"designations": designations, "words_are_types": words_are_types, "synonyms": synonyms, "noise": noise}
     names = reference.where("name is not null").select(F.col("ref_id").cast("long").alias("ref_id"), "name").distinct()
@@ -286,28 +324,27 @@ def canonicalise(
             "salt", F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int")
         )
 
+        learned = _learn(names, settings)
+
         def shard(vals: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
-            matcher = NameMatcher(list(zip(refs["ref_id"].tolist(), refs["name"])), **settings)
-            return _matches(matcher, vals["value"])
-
-        each = queries.groupBy("shard", "salt").cogroup(refs.groupBy("shard", "salt")).applyInPandas(shard, schema)
-        # number and exact beat fuzzy; two winners at one distance are ambiguous.
-        rank = F.struct(
-            (F.col("how") == "unmatched").alias("u"),
-            (F.col("how") == "unknown_number").alias("n"),
-            F.coalesce("distance", F.lit(0)).alias("d"),
-        )
-        ranked = each.groupBy("value", rank.alias("rank")).agg(
-            F.count_distinct("ref_id").alias("k"), F.max("ref_id").alias("ref_id"), F.max("how").alias("how"), F.max("distance").alias("distance")
-        )
-        best = ranked.groupBy("value").agg(F.min_by(F.struct("k", "ref_id", "how", "distance"), "rank").alias("b"))
-        one = F.col("b.k") <= 1
+            matcher = NameMatcher(list(zip(refs["ref_id"].tolist(), refs["name"])), **settings, learned=learned)
+            texts = vals["value"].tolist()
+            hits = [matcher.find(v) for v in texts]
+            # Two entries are enough to tell that it's not one.
+            columns = {"value": texts, "rank": [list(h[0]) for h in hits], "refs": [sorted(h[1])[:2] for h in hits]}
+            return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
+
+        each = queries.groupBy("shard", "salt").cogroup(refs.groupBy("shard", "salt")).applyInPandas(shard, "value string, rank array<int>, refs array<bigint>")
+        ranked = each.groupBy("value", "rank").agg(F.flatten(F.collect_list("refs")).alias("refs"))
+        best = ranked.groupBy("value").agg(F.min("rank").alias("rank"), F.min_by("refs", "rank").alias("refs"))
+        one, step, d = F.size("refs") == 1, F.col("rank")[0], F.col("rank")[3]
         found = best.select(
             "value",
-            F.when(one, F.col("b.ref_id")).alias("ref_id"),
-            F.when(one, F.col("b.distance")).alias("distance"),
-            F.when(one, F.col("b.how")).otherwise("ambiguous").alias("how"),
-        )
+            F.when(one, F.col("refs")[0]).alias("ref_id"),
+            F.when(one, d).alias("distance"),
+            F.when(one, F.when(step == 0, "number").when(d == 0, "exact").otherwise("fuzzy"))
+            .when(F.size("refs") > 1, "ambiguous").when(step == 1, "unknown_number").otherwise("unmatched").alias("how"),
+        )
     return found.select(F.col("value").alias(value), "ref_id", "distance", "how")
 
 

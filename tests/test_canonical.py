@@ -68,6 +68,25 @@ def test_shards_agree_with_the_broadcast_tree(spark):
     assert len(one) == len(many) == 6
 
 
+def test_shards_give_what_one_tree_gives(spark):
+    pairs = [
+        *PAIRS, (21, "KX 7 (Harbour Nebula)"), (22, "NGX 40"), (22, "PW 40"), (23, "NGX 41"), (23, "PW 41"), (24, "NGX 42"), (25, "Lantern Cluster"), (26, "Anvil Cluster"),
+        (27, "Lantarn"), (28, "KX 8"), (28, "Windmill Cluster"), (29, "Marigold"), (30, "Marigole"), (31, "Bell, Great"), (32, "Great Belle"), (33, "gx 7"), (34, "Harbour"), (35, "Harbour Cluster"),
+    ]
+    ref = spark.createDataFrame(pairs, "ref_id long, name string")
+    values = [
+        "QV133", "Dmupling", "QV 999", "nothing here", "Zepplein Dark Nebula", "Windmil Nebula", "PW 42", "NGX 99 Lantern", "PW-99", "KX 8 NGX 40", "NGX 40 KX 8", "Lantern", "Lantern Cluster",
+        "Lanterm", "Lantern Nebula", "Anvil", "Anvilcluster", "Marigolt", "Marigold", "Great, Bell", "Bell, Great", "Great Bell", "Harbour Nebula", "Harbour", "Harbor Clus", "KX 7", "KX 8 (Harbour)", "GX7", "Windmill",
+    ]
+    vals = frames(spark, values)
+    one = rows(C.canonicalise(vals, ref, "v"))
+    assert {r[3] for r in one} == {"number", "exact", "fuzzy", "ambiguous", "unknown_number", "unmatched"}
+    for size in (5, 16):
+        assert rows(C.canonicalise(vals, ref, "v", shard_size=size)) == one
+    plain = {"designations": False, "words_are_types": False}
+    assert rows(C.canonicalise(vals, ref, "v", shard_size=9, **plain)) == rows(C.canonicalise(vals, ref, "v", **plain))
+
+
 def test_null_blank_repeated_and_long_values(spark):
     ref = spark.createDataFrame([*PAIRS, (9, None)], "ref_id long, name string")
     got = {r[0]: r[1:] for r in rows(C.canonicalise(frames(spark, [None, "", "  ", "QV133", "QV133", "x" * 5000]), ref, "v"))}
