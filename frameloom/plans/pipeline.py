@@ -107,9 +107,20 @@ def debayer(c: Context) -> dict[str, DataFrame]:
     return {"images": out.select("frame_id", F.col("nh").alias("h"), F.col("nw").alias("w"), F.col("nch").alias("ch"), "data")}
 
 
+SHIFTS = {"fft": kernels.phase_shift, "rotation_fft": kernels.phase_shift, "upsampled_fft": kernels.upsampled_shift, "grid": lambda ref, img: tuple(map(float, kernels.grid_shift(ref, img)[:2]))}
+
+
+def _shift(method: str):
+    """The function that measures a shift by registration.method."""
+    if method not in SHIFTS:
+        raise ValueError(f"registration.method {method!r} is none of {', '.join(SHIFTS)}")
+    return SHIFTS[method]
+
+
 def register(c: Context) -> dict[str, DataFrame]:
     """Shift of each light onto its group's first frame, applied; weak correlations give no shift."""
     p = c.params.registration
+    shift = _shift(p.method)
     rows = _images(c).join(_lights(c).select("frame_id", "idx", "group_hash"), "frame_id")
     first = rows.groupBy("group_hash").agg(F.min_by("data", F.struct("idx", "frame_id")).alias("ref"))
 
@@ -120,7 +131,7 @@ def register(c: Context) -> dict[str, DataFrame]:
         r = r.reshape(img.shape)
         a, b = (x.mean(axis=2) if x.ndim == 3 else x for x in (r, img))
         ha, hb = a - kernels.gaussian_blur(a, 3.0), b - kernels.gaussian_blur(b, 3.0)
-        dy, dx = kernels.phase_shift(ha, hb)
+        dy, dx = shift(ha, hb)
         rot = 0.0
         if p.method == "rotation_fft":
             rot, _ = kernels.rotation_between(ha, hb, p.max_rotation_deg)
@@ -234,6 +245,7 @@ def cross_register(c: Context) -> dict[str, DataFrame]:
     A rotation is applied only where it beats the plain shift by 0.02 in correlation.
     """
     p = c.params.registration
+    shift = _shift(p.method)
     ref = groups.reference_largest(c.tables["groups"].withColumn("ord", F.lit(0)), "group_hash")
     t = stack.to_tensors(c.tables["stacks"], ["group_hash"])
     base = t.join(F.broadcast(ref.select("group_hash")), "group_hash", "left_semi").select(F.col("data").alias("ref"), F.col("h").alias("rh"), F.col("w").alias("rw"))
@@ -246,7 +258,7 @@ def cross_register(c: Context) -> dict[str, DataFrame]:
         a = a.reshape(img.shape)
         x, y = (v.mean(axis=2) if v.ndim == 3 else v for v in (a, img))
         hx, hy = x - kernels.gaussian_blur(x, 3.0), y - kernels.gaussian_blur(y, 3.0)
-        dy, dx = kernels.phase_shift(hx, hy)
+        dy, dx = shift(hx, hy)
         if max(abs(dy), abs(dx)) > max(x.shape) / 4:
             dy = dx = 0.0
         corr, rot = kernels.pearson(hx, kernels.transform(hy, dy, dx)), 0.0
@@ -265,14 +277,19 @@ def cross_register(c: Context) -> dict[str, DataFrame]:
 
 
 def merge(c: Context) -> dict[str, DataFrame]:
-    """Reference group and the weighted merge of all groups."""
+    """Reference group and the weighted merge of the groups; those that could not be aligned are left out and in `merge_skipped`."""
     p = c.params.merge
     g = c.tables["groups"].join(c.tables["registrations"].groupBy("group_hash").agg(
         F.count("*").alias("frames_registered"), F.count(F.when(F.col("status") == "zero_shift", 1)).alias("zero_shift_count"), F.median("corr_hp").alias("corr_hp_median")), "group_hash")
     g = g.withColumn("n_cp_median", F.lit(None).cast("double"))
     ref = groups.reference_by_quality(g, "group_hash")
     rows = c.tables["stacks"].join(c.tables["groups"], "group_hash")
-    return {"merged": stack.merge(rows, ["y", "x", "c"], "value", "frame_count", p.method), "reference": ref}
+    out = {"reference": ref}
+    if "cross_group" in c.tables:
+        failed = c.tables["cross_group"].where(~F.coalesce("ok", F.lit(False)))
+        out["merge_skipped"] = failed.select("group_hash", F.when(F.col("corr_hp").isNull(), "other_size").otherwise("low_corr_hp").alias("reason"))
+        rows = rows.join(failed.select("group_hash"), "group_hash", "left_anti")
+    return out | {"merged": stack.merge(rows, ["y", "x", "c"], "value", "frame_count", p.method)}
 
 
 def default_registry() -> Registry:

@@ -152,6 +152,29 @@ def test_drizzle_scales_shifts_to_the_mosaic(spark):
     assert none["drizzled"].count() == 0
 
 
+def test_registration_methods(spark):
+    f, t, _ = observation(spark)
+    found = {}
+    for method in ("fft", "upsampled_fft", "grid", "astroalign"):
+        c, results = pipeline.process(f, t, {"steps": ["register"], "registration": {"method": method}})
+        found[method] = results[0].ok and {r.frame_id: (r.dy, r.dx) for r in c.tables["registrations"].collect()}
+    assert found["grid"]["l02"] == (-2.0, 2.0) and all(abs(a - b) < 0.6 for a, b in zip(found["upsampled_fft"]["l02"], (-2, 2)))
+    assert found["astroalign"] is False and "astroalign" in results[0].notes["reason"]
+
+
+def test_groups_without_alignment_are_not_merged(spark):
+    px = [(g, y, 0, 0, 1, v) for g, v in (("a", 1.0), ("b", 50.0), ("d", 70.0)) for y in range(2)]
+    tables = {
+        "stacks": spark.createDataFrame(px, "group_hash string, y int, x int, c int, n long, value double"),
+        "groups": spark.createDataFrame([("a", 5), ("b", 4), ("d", 3)], "group_hash string, frame_count long"),
+        "registrations": spark.createDataFrame([(g, "ok", 0.9) for g in "abd"], "group_hash string, status string, corr_hp double"),
+        "cross_group": spark.createDataFrame([("a", 1.0, True), ("b", 0.1, False), ("d", None, False)], "group_hash string, corr_hp double, ok boolean"),
+    }
+    out = pipeline.merge(steps.Context(tables, config.resolve()))
+    assert [r.merged for r in out["merged"].collect()] == [1.0, 1.0]
+    assert rows(out["merge_skipped"]) == [("b", "low_corr_hp"), ("d", "other_size")]
+
+
 def test_streaming_counts_each_frame_once(spark, tmp_path):
     batch = spark.read.parquet(f"{SMALL}/frames.parquet").select("frame_id", "device_id", "exptime", "received_at")
     batch.repartition(3).write.parquet(str(tmp_path / "in"))
