@@ -1,11 +1,11 @@
-"""Queries p1 to p6: the data-preparation operators applied to their whole tables."""
+"""Queries p1 and p3 to p6: the data-preparation operators applied to their whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import canonical, drift, fill, spikes, timestamps, unpack
+from ..operators import drift, fill, spikes, timestamps, unpack
 from ..session import read_table
 
 
@@ -27,47 +27,6 @@ def p1_versions(spark: SparkSession, d: str) -> DataFrame:
     return drift.versions(read_table(spark, d, "raw_headers"), p1_table(spark, d))
 
 
-def target_names(cache: DataFrame) -> DataFrame:
-    """ref_id, name: every name of the reference targets, aliases unpacked."""
-    own = cache.select(F.col("entry_id").alias("ref_id"), F.explode(F.array("catalog_number", "simbad_name")).alias("name"))
-    more = unpack.unpack(cache, "entry_id", "aliases", "name").select(F.col("entry_id").alias("ref_id"), "name")
-    return own.where("name is not null").unionByName(more)
-
-
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    frames = _lights(spark, d, "frame_id", "object_name", "filter_name")
-    cache, filters = read_table(spark, d, "target_cache"), read_table(spark, d, "filter_list")
-    official = cache.select(F.explode(F.array("catalog_number", "simbad_name")).alias("v")).where("v is not null").distinct()
-    listed = filters.select(F.col("filter_name").alias("v")).where("v is not null").distinct()
-    parts = []
-    for field, known, match in (
-        ("object_name", official, lambda v: canonical.canonicalise(v, target_names(cache), "v")),
-        ("filter_name", listed, lambda v: canonical.canonical_filters(v, filters, "v")),
-    ):
-        rows = frames.select("frame_id", F.col(field).alias("v")).where(F.trim("v") != "")
-        cases = rows.join(known, "v", "left_anti")
-        # The mapping has one row per distinct value; whether it is small enough to be
-        # broadcast is left to the runtime size check of adaptive execution.
-        mapped = cases.join(match(cases.select("v").distinct()), "v", "left")
-        parts.append(mapped.select("frame_id", F.lit(field).alias("field_name"), F.coalesce("ref_id", F.lit(0)).cast("long").alias("ref_id")))
-    return parts[0].unionByName(parts[1]).dropDuplicates(["frame_id", "field_name"])
-
-
-def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    """Values that mean no entry, with the number of deliveries and the reason."""
-    frames = _lights(spark, d, "object_name", "filter_name")
-    cache, filters = read_table(spark, d, "target_cache"), read_table(spark, d, "filter_list")
-    out = []
-    for field, match in (
-        ("object_name", lambda v: canonical.canonicalise(v, target_names(cache), "v")),
-        ("filter_name", lambda v: canonical.canonical_filters(v, filters, "v")),
-    ):
-        counts = frames.select(F.col(field).alias("v")).where(F.trim("v") != "").groupBy("v").agg(F.count("*").alias("deliveries"))
-        missed = match(counts.select("v")).where("ref_id is null").join(counts, "v")
-        out.append(missed.select(F.lit(field).alias("field_name"), F.col("v").alias("typed"), "how", "deliveries"))
-    return out[0].unionByName(out[1])
-
-
 #: Physically possible readings. Sensors in use stay far inside; exposures are over 0 s.
 CCD_RANGE = (-100.0, 80.0)
 EXPTIME_RANGE = (1e-6, 86_400.0)
@@ -188,5 +147,5 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_table, p1_versions, p2_found, p2_unmatched, p3_found, p3_flags, p4_found, p4_fills, p5_found, p5_instants, p6_found, p6_items)
+    for f in (p1_found, p1_table, p1_versions, p3_found, p3_flags, p4_found, p4_fills, p5_found, p5_instants, p6_found, p6_items)
 }
