@@ -13,18 +13,32 @@ def _lights(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     return read_table(spark, d, "frames").where("frame_type = 'light'").select(*cols)
 
 
+def _headers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return read_table(spark, d, "raw_headers"), read_table(spark, d, "card_aliases")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.field_changes(read_table(spark, d, "raw_headers"), read_table(spark, d, "card_aliases"))
+    return drift.field_changes(*_headers(spark, d))
 
 
 def p1_table(spark: SparkSession, d: str) -> DataFrame:
-    """Every header dump in one typed table, with its schema fingerprint and the rules applied."""
-    return drift.unify(read_table(spark, d, "raw_headers"), read_table(spark, d, "card_aliases"))
+    """Every header dump in one typed table, with its version, its schema fingerprint and the rules applied."""
+    headers, aliases = _headers(spark, d)
+    out = drift.unify(headers, aliases, versions=drift.schema_versions(headers, aliases))
+    return out.withColumn("steps", F.array_join("steps", "; "))
+
+
+def p1_migrations(spark: SparkSession, d: str) -> DataFrame:
+    """The versions of each device's schema with the steps that lead to them."""
+    out = drift.migrations(drift.schema_versions(*_headers(spark, d)))
+    told = F.transform("steps", lambda s: F.concat_ws(" ", s["change_kind"], s["field_name"], F.concat(F.coalesce(s["card_was"], F.lit("-")), F.lit(" -> "), F.coalesce(s["card_now"], F.lit("-"))), F.concat(F.coalesce(s["kind_was"], F.lit("-")), F.lit(" -> "), F.coalesce(s["kind_now"], F.lit("-")))))
+    return out.withColumn("steps", F.array_join(told, "; "))
 
 
 def p1_versions(spark: SparkSession, d: str) -> DataFrame:
-    """The schema versions seen, with their number of dumps and dates."""
-    return drift.versions(read_table(spark, d, "raw_headers"), p1_table(spark, d))
+    """The fingerprints of single dumps seen, with their number of dumps and dates."""
+    headers, aliases = _headers(spark, d)
+    return drift.versions(headers, drift.unify(headers, aliases))
 
 
 #: Physically possible readings. Sensors in use stay far inside; exposures are over 0 s.
@@ -147,5 +161,5 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_table, p1_versions, p3_found, p3_flags, p4_found, p4_fills, p5_found, p5_instants, p6_found, p6_items)
+    for f in (p1_found, p1_table, p1_migrations, p1_versions, p3_found, p3_flags, p4_found, p4_fills, p5_found, p5_instants, p6_found, p6_items)
 }

@@ -75,3 +75,40 @@ def test_one_typed_table(spark):
     assert len({r.fingerprint for r in out.values()}) == 4
     v = drift.versions(heads, drift.unify(heads, al)).collect()
     assert [r.version for r in v] == [1, 2, 3, 4] and sum(r.dumps for r in v) == 4
+
+
+def test_versions_chain_migration_steps_to_rules(spark):
+    heads, al = make(
+        spark,
+        [
+            ("a", 1, 1, {"DET-TEMP": 1.5}),
+            ("a", 2, 2, {"DET-TEMP": 1.0}),
+            ("a", 3, 3, {"CCD-TEMP": None}),
+            ("a", 4, 4, {"CCD-TEMP": "2"}),
+            ("a", 5, 5, {}),
+            ("a", 6, 6, {"CCD-TEMP": "3", "EQMODE": None}),
+            ("a", 7, 7, {"CCD-TEMP": "3", "EQMODE": 1}),
+            ("b", 8, 1, {"EQMODE": 0}),
+        ],
+    )
+    v = drift.schema_versions(heads, al)
+    got = {r.session_id: r for r in v.collect()}
+    assert [got[i].version for i in range(1, 9)] == [1, 1, 2, 3, 4, 5, 6, 1]
+    kinds = {i: [(s.change_kind, s.field_name) for s in got[i].steps] for i in got}
+    assert kinds == {
+        1: [("base", "det_temp")], 2: [], 3: [("renamed", "det_temp")], 4: [("retyped", "det_temp")], 5: [("removed", "det_temp")],
+        6: [("added", "det_temp"), ("added", "eq_mode")], 7: [("typed", "eq_mode")], 8: [("base", "eq_mode")],
+    }
+    assert [(r.field_name, r.cards, r.kind) for r in got[3].rules] == [("det_temp", ["CCD-TEMP"], "number")] and got[5].rules == []
+    m = {(r.device_id, r.version): r for r in drift.migrations(v).collect()}
+    assert len(m) == 7 and m["a", 1].sessions == 2 and m["a", 2].first_session == 3
+    out = {r.header_id: r for r in drift.unify(heads, al, versions=v).collect()}
+    assert out[3].version == 3 and out[3].det_temp == 2.0 and out[3].steps == ["cast det_temp from string", "default bayer_pattern = null", "default eq_mode = null", "rename CCD-TEMP -> det_temp"]
+    assert "default det_temp = null" in out[4].steps and out[4].version == 4
+
+
+def test_a_dump_that_lacks_a_card_of_its_version_is_told(spark):
+    heads, al = make(spark, [("a", 1, 1, {"EQMODE": 1}), ("a", 1, 1, {}), (None, 2, 1, {"EQMODE": 1})])
+    out = {r.header_id: r for r in drift.unify(heads, al, versions=drift.schema_versions(heads, al)).collect()}
+    assert "default eq_mode = null, not in this dump" in out[1].steps and out[2].version is None and out[2].eq_mode == 1
+    assert drift.schema_versions(heads.limit(0), al).count() == drift.migrations(drift.schema_versions(heads.limit(0), al)).count() == 0
