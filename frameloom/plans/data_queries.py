@@ -48,14 +48,9 @@ EXPTIME_RANGE = (1e-6, 86_400.0)
 
 def p3_flags(spark: SparkSession, d: str) -> DataFrame:
     """frame_id, field_name, reason, score of every implausible reading."""
-    once = _lights(spark, d, "frame_id", "device_id", "session_id", "idx", "ccd_temp", "exptime").dropDuplicates(["frame_id"])
-    temp = spikes.flag_implausible(once, "device_id", "session_id", "idx", "frame_id", "ccd_temp", *CCD_RANGE)
-    expo = spikes.flag_implausible(
-        once, "device_id", "session_id", "idx", "frame_id", "exptime", *EXPTIME_RANGE, levels=True, frozen=False
-    )
-    return temp.select("frame_id", F.lit("ccd_temp").alias("field_name"), "reason", "score").unionByName(
-        expo.select("frame_id", F.lit("exptime").alias("field_name"), "reason", "score")
-    )
+    lights = _lights(spark, d, "frame_id", "device_id", "session_id", "idx", "ccd_temp", "exptime")
+    fields = [spikes.Field("ccd_temp", *CCD_RANGE), spikes.Field("exptime", *EXPTIME_RANGE, levels=True, frozen=False)]
+    return spikes.flag_fields(lights, "device_id", "session_id", "idx", "frame_id", fields)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

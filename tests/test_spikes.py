@@ -93,3 +93,63 @@ def test_empty_and_clashing_columns(spark):
     for c in ("src", "run", "ord", "key", "own", "blk", "reason"):
         df = df.withColumn(c, F.lit(1))
     assert flags(df) == {} and flags(df.limit(0)) == {}
+
+
+def noisy(n, level, seed):
+    return np.round(level + np.random.default_rng(seed).normal(0, 0.2, n), 1)
+
+
+def test_excursions_at_the_ends_of_a_run(spark):
+    """The level of the neighbouring runs tells an excursion from a lasting change."""
+    runs = [noisy(60, 10, 1), np.r_[40.0, noisy(59, 10, 2)], np.r_[noisy(57, 10, 3), 31.0, 32.0, 30.0], noisy(60, 10, 4), np.r_[noisy(58, 10, 5), 55.0, 56.0]]
+    runs.append(noisy(60, 50, 6))  # the change at the end of the run before lasts
+    runs.append(np.r_[35.0, 20.0, 14.0, 11.5, noisy(56, 10, 7)])  # cooling
+    data = [("a", s, i, f"{s}.{i}", float(v)) for s, r in enumerate(runs) for i, v in enumerate(r)]
+    got = flags(readings(spark, data), frozen=False)
+    assert got == dict.fromkeys(["1.0", "2.57", "2.58", "2.59"], "spike")
+
+
+def test_suspected_readings_are_clipped_before_the_update():
+    x = np.r_[np.full(40, 5.0), 90.0, 5.0, 95.0, 5.0, np.full(20, 5.0), 6.5, np.full(20, 5.0)]
+    x[::2] += 0.1
+    # Unclipped, the level after 90 and 95 would be so far off that 5 is an excursion and 6.5 none.
+    assert set(np.flatnonzero(spikes.chart(x, 0.1, 0.1))) == {40, 42, 64}
+
+
+def test_stretches_across_block_edges_are_whole(spark):
+    """A source that holds values for long: a frozen stretch keeps all its readings wherever blocks begin."""
+    rnd = np.random.default_rng(11)
+    base = np.repeat(np.round(rnd.normal(5, 1, 700), 2), rnd.integers(1, 40, 700))[:13000]
+    for start in (4086, 3396, 8192 - 350, 4096, 4096 - 700, 100):
+        x = base.copy()
+        x[start : start + 700] = 77.0
+        got = flags(readings(spark, [("a", 1, i, str(i), float(v)) for i, v in enumerate(x)]))
+        assert {int(k) for k, r in got.items() if r == "frozen" and x[int(k)] == 77} == set(range(start, start + 700)), start
+    x = base.copy()
+    x[2000:12000] = 77.0  # over two whole blocks
+    got = flags(readings(spark, [("a", 1, i, str(i), float(v)) for i, v in enumerate(x)]))
+    assert {int(k) for k, r in got.items() if r == "frozen" and x[int(k)] == 77} == set(range(2000, 12000))
+
+
+def test_many_runs_are_joined_and_repeated_rows_count_once(spark, monkeypatch):
+    data = []
+    for s in range(6):
+        x = noisy(300, s, s + 20)
+        x[100] += 20
+        x[200:230] = 3.3
+        data += [("a" if s % 2 else "b", s, i, f"{s}.{i}", float(v)) for i, v in enumerate(x)]
+    df = readings(spark, data)
+    want = flags(df)
+    assert len([r for r in want.values() if r == "spike"]) == 6 and len(want) >= 6 * 31
+    assert flags(df.unionByName(df.where("idx % 3 = 0"))) == want
+    monkeypatch.setattr(spikes, "BROADCAST_RUNS", 0)
+    assert flags(df) == want
+
+
+def test_the_setting_chart_needs_a_held_level():
+    c = spikes.setting_chart
+    held = [10.0] * 6
+    assert set(np.flatnonzero(c(np.array(held + [45.0, 45, 777, 777] + held)))) == {6, 7, 8, 9}
+    assert not c(np.array([30.0] * 3 + [40.0] * 3 + [30.0] * 3)).any()
+    assert set(np.flatnonzero(c(np.array([30.0] * 3 + [40.0] * 3 + [30.0] * 6)))) == {3, 4, 5}
+    assert not c(np.array(held + [45.0] * 5 + held)).any() and not c(np.array([])).any()
