@@ -368,7 +368,8 @@ def flag_fields(df: DataFrame, source: str, run: str, order: str, key: str, fiel
     One row per key and field; limit goes before frozen before spike. A key that is repeated with
     the same source, run and order counts once. Nulls and NaN are no readings: they are never
     reported and don't interrupt a stretch. Rows without source, run or order
-    are only held against the range. Ties in order are read by key. An empty
+    are only held against the range. Ties in order are read by key. Order counts
+    from 0; a chart of negative places ends at -1. An empty
     table gives no rows. Runs actions: readings by block and what was found in
     them are checkpointed.
     """
@@ -393,7 +394,7 @@ def flag_fields(df: DataFrame, source: str, run: str, order: str, key: str, fiel
     fit = rows.where(F.col("src").isNotNull() & F.col("run").isNotNull() & F.col("ord").isNotNull())
     blocks = (
         fit.select("src", "run", "ord", "key", own.alias("own"), *[F.when(beyond(i, f) <= 0, F.col(f"v{i}")).alias(f"v{i}") for i, f in enumerate(fields)])
-        .withColumn("blk", F.explode(F.sequence(F.floor((F.col("ord") - OVERLAP) / BLOCK), F.floor((F.col("ord") + OVERLAP) / BLOCK))))
+        .withColumn("blk", F.explode(F.sequence(F.greatest(F.floor((F.col("ord") - OVERLAP) / BLOCK), F.floor(F.least("ord", F.lit(0)) / BLOCK)), F.floor((F.col("ord") + OVERLAP) / BLOCK))))
         .repartition("src", "run", "blk")
         .sortWithinPartitions("src", "run", "blk", "ord", "key")
     )

@@ -31,6 +31,9 @@ ZONE_MINUTES = {
     "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,
 }
 
+# Further offsets, in minutes, of the abbreviations that several regions use.
+ZONE_ALSO = {"IST": [120, 60], "CST": [480, -300], "BST": [360], "EST": [600], "MST": [480], "ACST": [-300], "MSK": [240]}
+
 # First three letters of month names (English, German, French, Spanish, Italian, Polish).
 MONTHS = {
     "jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12,
@@ -70,9 +73,13 @@ def _int(c: Column) -> Column:
 
 def _days(y: Column, m: Column, d: Column) -> Column:
     """Days since 1970-01-01, null if there is no such date."""
-    text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
-    day = F.when(y.isNotNull() & m.isNotNull() & d.isNotNull() & (y > 0), text.try_cast("date"))
-    return F.datediff(day, F.lit("1970-01-01").cast("date"))
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    last = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    # Years begin in March, so that the leap day is their last.
+    year, month = y - F.when(m <= 2, 1).otherwise(0), (m + 9) % 12
+    whole = 365 * year + F.floor(year / 4) - F.floor(year / 100) + F.floor(year / 400)
+    days = whole + F.floor((153 * month + 2) / 5) + d - 1 - 719468
+    return F.when((y > 0) & m.between(1, 12) & (d >= 1) & (d <= last), days.cast("int"))
 
 
 def _time_of_day(h: Column, mi: Column, s: Column, half: Column) -> Column:
@@ -88,10 +95,16 @@ def _offset(zone: Column) -> Column:
     """Seconds east of UTC that a zone text states, null for none or an unknown one."""
     table = F.create_map(*[F.lit(x) for k, v in ZONE_MINUTES.items() for x in (k, v * 60)])
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
-    num = F.regexp_extract(zone, r"^[+-](\d{2})", 1), F.regexp_extract(zone, r"^[+-]\d{2}:?(\d{2})", 1)
-    minutes = F.coalesce(F.nullif(num[1], F.lit("")), F.lit("00"))
-    signed = F.when(zone.rlike(r"^[+-]\d{2}"), sign * (num[0].cast("int") * 3600 + minutes.cast("int") * 60))
-    return F.coalesce(signed, F.element_at(table, zone))
+    hours = _int(F.substring(zone, 2, 2))
+    minutes = F.when(F.length(zone) > 3, _int(F.substring(zone, -2, 2))).otherwise(0)
+    signed = zone.startswith("+") | zone.startswith("-")
+    return F.when(signed, sign * (hours * 3600 + minutes * 60)).otherwise(F.element_at(table, zone))
+
+
+def _also(zone: Column) -> Column:
+    """Further meanings of an abbreviation, in seconds east of UTC; null where it has one."""
+    table = F.create_map(*[x for k, v in ZONE_ALSO.items() for x in (F.lit(k), F.array(*[F.lit(m * 60) for m in v]))])
+    return F.element_at(table, zone)
 
 
 def _day_count(parts: Column, epoch_half_days: int) -> Column:
@@ -114,10 +127,11 @@ def _split(text: Column, shape: tuple[str, str]) -> Column:
 
 
 def with_readings(df: DataFrame, keep: list[str], text: Column, time_text: Column | None = None) -> DataFrame:
-    """keep and `__r`: array of the valid readings, struct(fmt, wall, offset, utc, minute).
+    """keep, `__r` and `__why`: array of the valid readings, struct(fmt, wall, offset, also, utc, minute), and why there is none.
 
     `utc` is set for counts since an epoch, `offset` where the text names a zone,
-    `wall` holds civil seconds; `minute` tells that seconds weren't written. A
+    `also` its other meanings; `wall` holds civil seconds; `minute` tells that
+    seconds weren't written. `__why` is no_text, blank, no_format, no_such_date, no_such_time (also none at all) or unknown_zone. A
     date without a time takes its time from `time_text`. A zone that isn't known
     makes a text unreadable rather than local; so does a region without an offset.
 
@@ -127,9 +141,10 @@ def with_readings(df: DataFrame, keep: list[str], text: Column, time_text: Colum
     clock = _clean(time_text) if time_text is not None else F.lit(None).cast("string")
     rows = df.select(*keep, _clean(text).alias("__t"), clock.alias("__c"))
     kind = F.coalesce(*[F.when(F.col("__t").rlike(pat), name) for name, (pat, _) in _SHAPES.items()])
-    rows = rows.select(*keep, "__t", F.when(F.col("__c").rlike(_CLOCK[0]), _split(F.col("__c"), _CLOCK)).alias("__c"), kind.alias("__k"))
+    empty = F.when(F.col("__t").isNull(), "no_text").when(F.col("__t") == "", "blank")
+    rows = rows.select(*keep, "__t", F.when(F.col("__c").rlike(_CLOCK[0]), _split(F.col("__c"), _CLOCK)).alias("__c"), kind.alias("__k"), empty.alias("__empty"))
     parts = F.coalesce(*[F.when(F.col("__k") == name, _split(F.col("__t"), s)) for name, s in _SHAPES.items()])
-    rows = rows.select(*keep, "__k", "__c", parts.alias("__p"))
+    rows = rows.select(*keep, "__k", "__c", "__empty", parts.alias("__p"))
     p, c = F.col("__p"), F.col("__c")
     civil = F.col("__k").isin("iso", "pair", "named", "compact")
     months = F.create_map(*[F.lit(x) for k, v in MONTHS.items() for x in (k, v)])
@@ -140,6 +155,7 @@ def with_readings(df: DataFrame, keep: list[str], text: Column, time_text: Colum
         *keep,
         "__k",
         "__p",
+        "__empty",
         F.when(civil, _int(_part(p, 0))).alias("__y"),
         F.when(F.col("__k") == "named", F.element_at(months, F.lower(F.substring(_part(p, 1), 1, 3)))).when(civil, _int(_part(p, 1))).alias("__a"),
         F.when(civil, _int(_part(p, 2))).alias("__b"),
@@ -150,14 +166,17 @@ def with_readings(df: DataFrame, keep: list[str], text: Column, time_text: Colum
         *keep,
         "__k",
         "__p",
+        "__empty",
         "__y",
         "__a",
         "__b",
         _time_of_day(_int(_part(s, 3)), _int(_part(s, 4)), _int(_part(s, 5)), _part(s, 6)).alias("__tod"),
         _part(s, 5).isNull().alias("__minute"),
-        _offset(_part(s, 7)).alias("__off"),
-        ((_part(s, 7).isNotNull() & _offset(_part(s, 7)).isNull()) | (_part(s, 7).isNull() & _part(s, 8).isNotNull())).alias("__odd"),
+        _part(s, 7).alias("__zone"),
+        _part(s, 8).alias("__region"),
     )
+    rows = rows.select("*", _offset(F.col("__zone")).alias("__off"), _also(F.col("__zone")).alias("__also"))
+    odd = (F.col("__zone").isNotNull() & F.col("__off").isNull()) | (F.col("__zone").isNull() & F.col("__region").isNotNull())
     k = F.col("__k")
     first = _days(F.col("__y"), F.col("__a"), F.col("__b"))
     second = F.when((k == "pair") & (F.col("__a") != F.col("__b")), _days(F.col("__y"), F.col("__b"), F.col("__a")))
@@ -168,7 +187,7 @@ def with_readings(df: DataFrame, keep: list[str], text: Column, time_text: Colum
         .when(k == "jd", _day_count(F.col("__p"), 2 * 2440587 + 1))
         .when(k == "mjd", _day_count(F.col("__p"), 2 * 40587))
     )
-    rows = rows.select(*keep, "__k", first.alias("__d1"), second.alias("__d2"), utc.cast("long").alias("__utc"), "__tod", "__minute", "__off", "__odd")
+    rows = rows.select(*keep, "__k", "__empty", first.alias("__d1"), second.alias("__d2"), utc.cast("long").alias("__utc"), "__tod", "__minute", "__off", "__also", odd.alias("__odd"))
     number = F.create_map(*[F.lit(x) for i, f in enumerate(FORMATS) for x in (f, i)])
 
     def reading(fmt: Column, day: Column) -> Column:
@@ -177,7 +196,7 @@ def with_readings(df: DataFrame, keep: list[str], text: Column, time_text: Colum
         return F.when(
             good,
             F.struct(
-                fmt.alias("fmt"), wall.alias("wall"), F.col("__off").alias("offset"), F.col("__utc").alias("utc"),
+                fmt.alias("fmt"), wall.alias("wall"), F.col("__off").alias("offset"), F.col("__also").alias("also"), F.col("__utc").alias("utc"),
                 (wall.isNotNull() & F.col("__minute")).alias("minute"),
             ),
         )
@@ -187,7 +206,12 @@ def with_readings(df: DataFrame, keep: list[str], text: Column, time_text: Colum
         reading(F.element_at(number, name), F.col("__d1")),
         F.when(F.col("__d2").isNotNull(), reading(F.lit(FORMATS.index("day_first")), F.col("__d2"))),
     )
-    return rows.select(*keep, F.array_compact(both).alias("__r"))
+    no_date = F.col("__d1").isNull() & F.col("__d2").isNull() & F.col("__utc").isNull()
+    why = F.coalesce(
+        "__empty",
+        F.when(k.isNull(), "no_format").when(no_date, "no_such_date").when(F.col("__utc").isNull() & F.col("__tod").isNull(), "no_such_time").when(F.col("__utc").isNull() & F.col("__odd"), "unknown_zone"),
+    )
+    return rows.select(*keep, F.array_compact(both).alias("__r"), why.alias("__why"))
 
 
 def _em(sig: pd.DataFrame, rounds: int, floor: float) -> pd.DataFrame:
@@ -224,15 +248,22 @@ def choose_readings(
     floor: float = 1e-3,
     ambiguous_below: float = 0.9,
 ) -> DataFrame:
-    """One reading per row: source, keep, fmt, wall, offset, utc, minute, posterior, ambiguous_format.
+    """One reading per row: source, keep, fmt, wall, offset, also, utc, minute, posterior, ambiguous_format, why.
 
     expected_day  days since 1970 the row should lie near (null: no evidence).
-    Rows without a valid reading have null fmt. `ambiguous_format` marks rows
-    whose best reading has a posterior under `ambiguous_below`. The counts the
-    EM sees are bounded by sources times reading patterns.
+    Rows without a valid reading have null fmt and the reason in `why`.
+    `ambiguous_format` marks rows whose best reading has a posterior under
+    `ambiguous_below`. The counts the EM sees are bounded by sources times
+    reading patterns. Only texts of a shape that several formats read the same
+    way are counted: what a source writes otherwise bears on no choice between
+    those formats.
     """
     named = df.withColumns({"__source": F.col(source), "__day": expected_day.cast("long")})
-    rows = with_readings(named, ["__source", *keep, "__day"], text, time_text).withColumnRenamed("__source", "source")
+
+    def parsed(part: DataFrame) -> DataFrame:
+        return with_readings(part, ["__source", *keep, "__day"], text, time_text).withColumnRenamed("__source", "source")
+
+    rows, contested = parsed(named), parsed(named.where(_clean(text).rlike(_SHAPES["pair"][0])))
 
     def near(r: Column) -> Column:
         at = F.coalesce(r["wall"] - F.coalesce(r["offset"], F.lit(0)), r["utc"])
@@ -242,8 +273,7 @@ def choose_readings(
     signature = F.array_join(
         F.transform("__r", lambda r: F.concat(r["fmt"].cast("string"), F.when(near(r), "+").otherwise("-"))), " "
     )
-    rows = rows.withColumn("__sig", signature)
-    counts = rows.groupBy("source", F.col("__sig").alias("sig")).agg(F.count("*").alias("n"))
+    counts = contested.groupBy("source", signature.alias("sig")).agg(F.count("*").alias("n"))
     # Patterns with one reading decide nothing by themselves but shape the weights.
     schema = f"source {dict(rows.dtypes)['source']}, weights array<double>"
     weights = counts.where("source is not null").groupBy("source").applyInPandas(lambda pdf: _em(pdf, rounds, floor), schema)
@@ -267,43 +297,48 @@ def choose_readings(
         best["r"]["fmt"].alias("fmt"),
         best["r"]["wall"].alias("wall"),
         best["r"]["offset"].alias("offset"),
+        best["r"]["also"].alias("also"),
         best["r"]["utc"].alias("utc"),
         best["r"]["minute"].alias("minute"),
         posterior.alias("posterior"),
         F.coalesce(posterior < ambiguous_below, F.lit(False)).alias("ambiguous_format"),
+        F.col("__why").alias("why"),
     )
 
 
-def to_instants(df: DataFrame, keep: list[str], clock_utc: Column, zone: Column) -> DataFrame:
-    """Candidate instants of chosen readings: keep, minute, wall, u1, u2.
+def to_instants(df: DataFrame, keep: list[str], clock_utc: Column, zone: Column, may: Column | None = None) -> DataFrame:
+    """Candidate instants of chosen readings: keep, minute, wall, fmt, posterior, ambiguous_format, u1, u2, unclear.
 
     u1 is the instant (the earlier one where a civil time occurs twice), u2 the
     later one, null where there is none. A civil time skipped by the clocks is
     read with the offset before the change. No zone and no clock: u1 is null.
+    An abbreviation with several meanings has the one that the source's own zone
+    shows at that time; if it shows none of them, the first meaning is taken and
+    `unclear` set. may: rows whose clocks may be set back (`may_fold`); others
+    get no u2.
     """
-    fixed = F.coalesce(F.col("utc"), F.col("wall") - F.col("offset"), F.when(clock_utc, F.col("wall")))
+
+    def shows(u: Column, tz: Column) -> Column:
+        return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(u), tz)) == F.col("wall")
+
+    several = F.col("also").isNotNull()
+    meant = F.filter(F.concat(F.array(F.col("offset")), "also"), lambda o: shows(F.col("wall") - o, zone))
+    rows = df.withColumn("__meant", F.when(several & zone.isNotNull(), F.get(meant, F.lit(0))))
+    offset = F.coalesce("__meant", "offset")
+    fixed = F.coalesce(F.col("utc"), F.col("wall") - offset, F.when(clock_utc, F.col("wall")))
     at = F.timestamp_seconds(F.col("wall"))
     tz = F.when(F.col("wall").isNotNull() & fixed.isNull(), zone)
     first = F.when(tz.isNotNull(), F.unix_seconds(F.to_utc_timestamp(at, tz)))
-    rows = df.select(*keep, "minute", "wall", "fmt", "posterior", "ambiguous_format", fixed.alias("__f"), tz.alias("__tz"), first.alias("__u"))
-
-    def shows(u: Column) -> Column:
-        return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(u), F.col("__tz"))) == F.col("wall")
-
+    folds = F.lit(True) if may is None else F.coalesce(may, F.lit(True))
+    told = ["minute", "wall", "fmt", "posterior", "ambiguous_format"]
+    rows = rows.select(
+        *keep, *told, fixed.alias("__f"), tz.alias("__tz"), first.alias("__u"), folds.alias("__folds"), (several & F.col("__meant").isNull()).alias("unclear")
+    )
     # Clocks are set back by an hour, on one island by half an hour.
     # The conversion takes the earlier instant of two.
     u = F.col("__u")
-    later = F.when(F.col("__tz").isNotNull(), F.coalesce(*[F.when(shows(u + k), u + k) for k in (3600, 1800)]))
-    return rows.select(
-        *keep,
-        "minute",
-        "wall",
-        "fmt",
-        "posterior",
-        "ambiguous_format",
-        F.coalesce("__f", "__u").alias("u1"),
-        later.alias("u2"),
-    )
+    later = F.when(F.col("__tz").isNotNull() & F.col("__folds"), F.coalesce(*[F.when(shows(u + k, F.col("__tz")), u + k) for k in (3600, 1800)]))
+    return rows.select(*keep, *told, F.coalesce("__f", "__u").alias("u1"), later.alias("u2"), F.coalesce("unclear", F.lit(False)).alias("unclear"))
 
 
 def may_fold(day: Column, zone: Column) -> Column:
@@ -333,10 +368,10 @@ def settle_folds(df: DataFrame, run: str, order: str, keep: list[str], candidate
     cols = list(dict.fromkeys([run, order, *keep]))
     may = F.col(candidate) if candidate else F.lit(True)
     # Read three times below; a few numbers a row.
-    base = cut(df.select(*cols, "minute", "wall", "fmt", "posterior", "ambiguous_format", "u1", "u2", may.alias("__may")))
+    base = cut(df.select(*cols, "minute", "wall", "fmt", "posterior", "ambiguous_format", "u1", "u2", "unclear", may.alias("__may")))
     is_open = F.coalesce("__may", F.lit(False)) & F.col("u2").isNotNull() & F.col(run).isNotNull() & F.col(order).isNotNull()
     plain = base.where(~is_open).select(
-        *cols, "fmt", "posterior", "ambiguous_format", F.col("u1").alias("utc_second"), F.col("u2").isNotNull().alias("ambiguous_zone")
+        *cols, "fmt", "posterior", "ambiguous_format", F.col("u1").alias("utc_second"), (F.col("u2").isNotNull() | F.col("unclear")).alias("ambiguous_zone")
     )
     open_runs = base.where(is_open).groupBy(run).agg(F.min("u1").alias("__lo"), F.max("u2").alias("__hi"))
     # Of the certain rows only those around the change can be evidence.
@@ -374,5 +409,5 @@ def settle_folds(df: DataFrame, run: str, order: str, keep: list[str], candidate
         .otherwise(u2)
     )
     unsure = can1 & can2 & (F.col("__fell") == F.col("__will"))
-    decided = marked.select(*cols, "fmt", "posterior", "ambiguous_format", pick.alias("utc_second"), unsure.alias("ambiguous_zone"))
+    decided = marked.select(*cols, "fmt", "posterior", "ambiguous_format", pick.alias("utc_second"), (unsure | F.col("unclear")).alias("ambiguous_zone"))
     return plain.unionByName(decided)

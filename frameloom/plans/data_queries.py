@@ -60,46 +60,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_fills(spark: SparkSession, d: str) -> DataFrame:
     """frame_id, field_name, value, fill_method, fill_distance, fill_level of every filled value."""
     lights = _lights(spark, d, "frame_id", "session_id", "device_id", "idx", "exptime", "gain", "xbinning", "xpixsz", "focallen", "received_at")
-    nights = read_table(spark, d, "sessions").groupBy("session_id").agg(F.min("night").alias("night"))
-    parts = []
+    nights = read_table(spark, d, "sessions").groupBy("session_id").agg(F.min(F.datediff("night", F.lit("1970-01-01").cast("date"))).alias("day"))
 
     def real(name: str):
-        return F.col(name).isNotNull() & ~F.isnan(name) & (F.col(name) > 0)
+        return ~F.isnan(name) & (F.col(name) > 0)
 
-    gain = fill.fill_ordered(
-        lights, ["session_id", "exptime"], "idx", "gain", F.col("gain") >= 0, numeric=False, keep=["frame_id"]
-    )
-    parts.append(
-        gain.where("fill_method not in ('observed', 'missing')").select(
-            "frame_id", F.lit("gain").alias("field_name"), F.col("gain").cast("double").alias("value"), "fill_method", "fill_distance", F.lit("session").alias("fill_level")
-        )
-    )
-    for name, same in (("xpixsz", ["device_id", "xbinning"]), ("focallen", ["device_id"])):
-        near = fill.fill_ordered(lights, ["session_id"], "idx", name, real(name), keep=["frame_id", *same])
-        parts.append(
-            near.where("fill_method not in ('observed', 'missing')").select(
-                "frame_id", F.lit(name).alias("field_name"), F.col(name).alias("value"), "fill_method", "fill_distance", F.lit("session").alias("fill_level")
-            )
-        )
-        # Sessions that know nothing: the nearest session of the device, one row per session.
-        keys = ["session_id", *same]
-        whole = (
-            lights.groupBy(*keys)
-            .agg(F.max_by(F.when(real(name), F.col(name)), F.when(real(name), F.struct("idx", name))).alias(name), F.min("received_at").alias("__got"))
-            .join(nights, "session_id", "left")
-        )
-        day = F.coalesce(F.col("night"), F.to_date("__got"))
-        whole = whole.withColumn("__day", F.datediff(day, F.lit("1970-01-01").cast("date")))
-        level = fill.fill_ordered(whole, same, "__day", name, numeric=False, keep=["session_id"]).where("fill_method not in ('observed', 'missing')")
-        level = level.select(*keys, F.col(name).alias("value"), "fill_method", "fill_distance")
-        rest = near.where("fill_method = 'missing'").select("frame_id", *keys)
-        parts.append(
-            rest.join(level, keys).select("frame_id", F.lit(name).alias("field_name"), "value", "fill_method", "fill_distance", F.lit("device").alias("fill_level"))
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.dropDuplicates(["frame_id", "field_name"])
+    fields = [
+        fill.Fill("gain", F.col("gain") >= 0, numeric=False, within=["exptime"]),
+        fill.Fill("xpixsz", real("xpixsz"), beyond=["device_id", "xbinning"]),
+        fill.Fill("focallen", real("focallen"), beyond=["device_id"]),
+    ]
+    return fill.fill_fields(lights, "session_id", "idx", "frame_id", fields, nights, "received_at")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +78,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_instants(spark: SparkSession, d: str) -> DataFrame:
-    """frame_id, utc_second, the format read, its posterior and what stayed ambiguous."""
+    """Every frame: frame_id, utc_second, the format read, its posterior, and a status.
+
+    status: resolved, ambiguous_format, ambiguous_zone (an instant was chosen but
+    another is as likely), or unread; `reason` tells why a card denotes no instant.
+    """
     frames = read_table(spark, d, "frames")
     sessions = read_table(spark, d, "sessions").dropDuplicates(["session_id"])
     devices = read_table(spark, d, "devices").select("device_id", "clock_mode", F.col("station_id").alias("home"))
@@ -122,24 +97,36 @@ def p5_instants(spark: SparkSession, d: str) -> DataFrame:
     time_text = F.coalesce(*[F.element_at("raw_cards", k) for k in ("TIME-OBS", "TIME_OBS", "UTSTART", "TIME")])
     rows = (
         frames.select("frame_id", "device_id", "session_id", "idx", "date_obs_card", time_text.alias("time_text"))
-        .where(F.col("date_obs_card").isNotNull())
         .join(clock, "session_id", "left")
         .join(device, "device_id", "left")
     )
     keep = ["frame_id", "session_id", "idx", "clock_mode", "tz_name", "home_tz", "fold"]
     chosen = timestamps.choose_readings(rows, "device_id", keep, F.col("date_obs_card"), F.col("day"), F.col("time_text"))
-    instants = timestamps.to_instants(
-        chosen.where("fmt is not null"), ["frame_id", "session_id", "idx", "fold"], F.col("clock_mode") == "utc", F.coalesce("tz_name", "home_tz")
-    )
-    settled = timestamps.settle_folds(instants, "session_id", "idx", ["frame_id"], "fold").where("utc_second is not null")
+    zone = F.coalesce("tz_name", "home_tz")
+    instants = timestamps.to_instants(chosen, ["frame_id", "session_id", "idx", "fold", "why"], F.col("clock_mode") == "utc", zone, F.col("fold"))
+    settled = timestamps.settle_folds(instants, "session_id", "idx", ["frame_id", "why"], "fold")
     names = F.array(*map(F.lit, timestamps.FORMATS))
+    read = F.col("utc_second").isNotNull()
+    status = F.when(~read, "unread").when(F.col("ambiguous_format"), "ambiguous_format").when(F.col("ambiguous_zone"), "ambiguous_zone").otherwise("resolved")
     return settled.select(
-        "frame_id", "utc_second", F.element_at(names, F.col("fmt") + 1).alias("format"), F.round("posterior", 6).alias("posterior"), "ambiguous_format", "ambiguous_zone"
-    ).dropDuplicates(["frame_id"])
+        "frame_id", "utc_second", F.get(names, F.col("fmt")).alias("format"), F.round("posterior", 6).alias("posterior"), status.alias("status"),
+        F.when(~read, F.coalesce("why", F.lit("no_zone"))).alias("reason"),
+    ).dropDuplicates(["frame_id"])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_instants(spark, d).select("frame_id", "utc_second")
+    return p5_instants(spark, d).where("utc_second is not null").select("frame_id", "utc_second")
+
+
+def p5_unread(spark: SparkSession, d: str) -> DataFrame:
+    """The frames whose card denotes no instant, with the reason."""
+    return p5_instants(spark, d).where("utc_second is null").select("frame_id", "reason")
+
+
+def p5_explicit(spark: SparkSession, d: str) -> DataFrame:
+    """frame_id, utc_second of the cards that SQL can read as well: ISO with Z and counts of seconds."""
+    plain = read_table(spark, d, "frames").where(F.col("date_obs_card").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$|^\d{10}$|^\d{13}$"))
+    return p5_found(spark, d).join(plain.select("frame_id"), "frame_id", "left_semi")
 
 
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
@@ -156,5 +143,5 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_table, p1_migrations, p1_versions, p3_found, p3_flags, p4_found, p4_fills, p5_found, p5_instants, p6_found, p6_items)
+    for f in (p1_found, p1_table, p1_migrations, p1_versions, p3_found, p3_flags, p4_found, p4_fills, p5_found, p5_instants, p5_unread, p5_explicit, p6_found, p6_items)
 }

@@ -65,4 +65,9 @@ SQL: dict[str, str] = {
   UNION ALL SELECT frame_id, 'xpixsz', coalesce(x.v, xd.v) FROM f LEFT JOIN x USING (session_id) LEFT JOIN xd USING (device_id, xbinning) WHERE {_BAD.replace('X', 'xpixsz')}
   UNION ALL SELECT frame_id, 'focallen', coalesce(l.v, ld.v) FROM f LEFT JOIN l USING (session_id) LEFT JOIN ld USING (device_id) WHERE {_BAD.replace('X', 'focallen')})
  SELECT frame_id, field_name, round(v * 1000)::BIGINT AS value_milli FROM o WHERE v IS NOT NULL""",
+    "p5_explicit": """SELECT DISTINCT frame_id, CASE WHEN date_obs_card LIKE '%Z' THEN epoch(left(date_obs_card, 19)::TIMESTAMP)::BIGINT WHEN length(date_obs_card) = 13 THEN date_obs_card::BIGINT // 1000 ELSE date_obs_card::BIGINT END AS utc_second
+ FROM frames WHERE regexp_full_match(date_obs_card, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?Z|\\d{10}|\\d{13}')""",
+    # What is no instant in these tables: no card, a blank one, placeholder words and the date of zeros.
+    "p5_unread": """SELECT DISTINCT frame_id, CASE WHEN date_obs_card IS NULL THEN 'no_text' WHEN trim(date_obs_card) = '' THEN 'blank' WHEN date_obs_card LIKE '0000-00-00%' THEN 'no_such_date' ELSE 'no_format' END AS reason
+ FROM frames WHERE date_obs_card IS NULL OR trim(date_obs_card) = '' OR date_obs_card LIKE '0000-00-00%' OR NOT regexp_matches(date_obs_card, '\\d')""",
 }
