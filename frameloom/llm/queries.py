@@ -98,6 +98,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_ids(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, starts, ends: the characters that each token touches."""
+    return tokens.encode_spans(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").drop("ids")
+
+
 def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, n_tokens, same: whether decoding the ids gives the text again."""
     docs = read_table(spark, d, "documents").select("doc_id", "text")
@@ -126,7 +131,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", most, overlap)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p2_exact, p7_ids, p7_roundtrip, p8_containers, p8_report, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p2_exact, p7_ids, p7_offsets, p7_roundtrip, p8_containers, p8_report, p9_pieces)}
 
 _COMPACT = "regexp_replace(lower(X), '[\\s_./-]+', '', 'g')"
 #: Typing errors and tokens can't be expressed in SQL; tests hold these queries against brute force.

@@ -10,8 +10,10 @@ tells how strong a boundary the text has behind that token:
 A regular expression with bounded quantifiers then extracts the pieces: its
 alternatives, ordered by boundary strength, each consume up to the limit, down
 to half of it for natural boundaries, and fall back to a bare character
-boundary. Ends, overlaps and texts follow by SQL array functions on the lengths
-of the matches; only the classes come from Python.
+boundary. Classes and the ends of the matches come from one pass over Arrow
+batches; overlaps, places and texts follow by SQL array functions on them. Texts
+and classes travel as bytes, of which a slice is taken without reading what lies
+before it, so the work grows with the length of a text and not with its square.
 
 A cut between two tokens of a text leaves the tokens on both sides as they are,
 so the size of a piece is the number of its tokens; encoding the piece by
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import MODEL, TOKENIZERS, Encoder, _slices, encoder
@@ -62,14 +64,14 @@ def _any(cp: np.ndarray, chars: str) -> np.ndarray:
     return out
 
 
-def classes(enc: Encoder, text: str, ids: bytes) -> tuple[str, np.ndarray]:
-    """Boundary class behind each token of a text, and the characters up to there.
+def classes(enc: Encoder, text: str, ids: bytes) -> tuple[str, np.ndarray, np.ndarray]:
+    """Boundary class behind each token of a text, and the characters and bytes up to there.
 
     Everything is looked up at once for all tokens: at a token's end lies the
     character before it, the one behind it, and the blanks and line ends between
     it and the last character that is neither.
     """
-    end, whole = enc.ends(text, ids)
+    end, whole, byte_end = enc.ends(text, ids)
     n = len(text)
     cp = np.frombuffer(text.encode("utf-32-le", errors="surrogatepass"), dtype=np.uint32)
     kind = _kinds(cp)
@@ -109,22 +111,23 @@ def classes(enc: Encoder, text: str, ids: bytes) -> tuple[str, np.ndarray]:
     # No cut within a character, nor in front of an apostrophe among other marks:
     # it would be read as the beginning of a contraction there.
     marks[~whole | ((before == _OTHER) & (code[end] == ord("'")))] = ord("y")
-    return marks.tobytes().decode(), end.astype(np.int32)
+    return marks.tobytes().decode(), end.astype(np.int32), byte_end.astype(np.int32)
 
 
 def piece_pattern(limit: int, first: int) -> str:
     """The bounded-quantifier expression over a string of classes.
 
     `first` is the limit of the first piece, `limit` that of later ones, which
-    also carry an overlap.
+    also carry an overlap. It matches at every place, so its matches follow each
+    other without gaps.
     """
 
     def ladder(n: int) -> str:
         low = n // 2 - 1
         strong = [f".{{{low},{n - 1}}}[{c}]" for c in ("H", "HP", "HPL", "HPLS", "HPLSW")]
-        return "|".join([rf".{{1,{n}}}\z", *strong, f".{{0,{n - 1}}}[HPLSWt]", f".{{0,{n - 1}}}[^y]", f".{{1,{n}}}"])
+        return "|".join([rf".{{1,{n}}}\Z", *strong, f".{{0,{n - 1}}}[HPLSWt]", f".{{0,{n - 1}}}[^y]", f".{{1,{n}}}"])
 
-    return rf"\A(?:{ladder(first)})|\G(?:{ladder(limit)})"
+    return rf"\A(?:{ladder(first)})|(?!\A)(?:{ladder(limit)})"
 
 
 def split_texts(
@@ -149,49 +152,67 @@ def split_texts(
     if not 0 <= overlap or max_tokens < 2 * (overlap + SLACK):
         raise ValueError("max_tokens must be at least twice the overlap plus ten")
 
+    step = max_tokens - overlap - SLACK
+    pattern = piece_pattern(step, max_tokens)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(root, model)
+        enc, find = encoder(root, model), re.compile(pattern).finditer
         for batch in batches:
             for part in _slices(batch):
                 texts = part.column(1).to_pylist()
                 coded = enc.encode(texts)
                 counts = [len(b) // 4 for b in coded]
-                laid = [classes(enc, t, b) if n > max_tokens else (None, None) for t, b, n in zip(texts, coded, counts)]
+                over = [n > max_tokens for n in counts]
+                laid = [classes(enc, t, b) if o else (None, None, None) for t, b, o in zip(texts, coded, over)]
+                cuts = [[0, *(m.end() for m in find(c))] if o else None for (c, _, _), o in zip(laid, over)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(counts, pa.int32()), pa.array([c for c, _ in laid], pa.string()), pa.array([e for _, e in laid], pa.list_(pa.int32()))],
-                    names=["key", "text", "n", "cls", "ends"],
+                    [
+                        part.column(0),
+                        pa.array([None if o else t for t, o in zip(texts, over)], pa.string()),
+                        pa.array([t.encode("utf-8", errors="surrogatepass") if o else None for t, o in zip(texts, over)], pa.binary()),
+                        pa.array(counts, pa.int32()),
+                        pa.array([c.encode() if o else None for (c, _, _), o in zip(laid, over)], pa.binary()),
+                        pa.array([e for _, e, _ in laid], pa.list_(pa.int32())),
+                        pa.array([b for _, _, b in laid], pa.list_(pa.int32())),
+                        pa.array(cuts, pa.list_(pa.int32())),
+                    ],
+                    names=["key", "text", "raw", "n", "cls", "ends", "bytes", "cuts"],
                 )
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    laid = rows.mapInArrow(run, f"key {dict(df.dtypes)[key]}, text string, n int, cls string, ends array<int>")
-    step = max_tokens - overlap - SLACK
-    found = F.regexp_extract_all("cls", F.lit(piece_pattern(step, max_tokens)), F.lit(0))
-    lens = laid.select("key", "text", "n", "cls", "ends", F.when(F.col("cls").isNotNull(), F.transform(found, F.length)).alias("lens"))
-    # Ends of the pieces, in tokens.
-    total = F.aggregate(
-        "lens",
-        F.array(F.lit(0)),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
-    )
-    cuts = lens.select("key", "text", "n", "cls", "ends", F.coalesce(total, F.array(F.lit(0), F.col("n"))).alias("cuts"))
-    each = cuts.select(
-        "key", "text", "n", "cls", "ends", "cuts",
-        F.posexplode(F.slice("cuts", F.lit(2), F.size("cuts") - 1)).alias("no", "end"),
-    )
-    prior = F.element_at("cuts", F.col("no") + 1)
-    # Where the piece before ended, less the overlap; back to a place where the text can be cut.
-    wish = F.greatest(prior - overlap, F.lit(0))
-    back = F.regexp_extract(F.substring(F.col("cls"), F.greatest(wish - SLACK, F.lit(0)) + 1, F.least(wish, F.lit(SLACK))), "^(.*[^y])", 1)
-    begin = F.when(F.col("no") == 0, 0).otherwise(F.greatest(wish - SLACK, F.lit(0)) + F.length(back))
-    placed = each.select("key", "text", "n", "cls", "ends", "no", "end", prior.alias("prior"), begin.cast("int").alias("begin"))
-    from_char = F.when(F.col("begin") > 0, F.element_at("ends", F.col("begin"))).otherwise(0)
-    to_char = F.when(F.col("ends").isNotNull(), F.element_at("ends", F.col("end")))
-    return placed.select(
-        F.col("key").alias(key),
-        (F.col("no") + 1).alias("piece_no"),
-        from_char.alias("start_char"),
-        (F.col("end") - F.col("begin")).alias("n_tokens"),
-        (F.col("prior") - F.col("begin")).alias("overlap_tokens"),
-        F.when((F.col("end") == F.col("n")) | F.col("cls").isNull(), "E").otherwise(F.substring(F.col("cls"), F.col("end"), F.lit(1))).alias("boundary"),
-        F.when(F.col("cls").isNull(), F.col("text")).otherwise(F.substring(F.col("text"), from_char + 1, to_char - from_char)).alias("piece"),
+    laid = rows.mapInArrow(run, f"key {dict(df.dtypes)[key]}, text string, raw binary, n int, cls binary, ends array<int>, bytes array<int>, cuts array<int>")
+
+    def upto(values: str, tokens: Column) -> Column:
+        """What the first so many tokens come to."""
+        return F.when(tokens > 0, F.get(F.col(values), tokens - 1)).otherwise(0)
+
+    # Each piece with its number, the end of the one before and its own, in tokens.
+    each = F.transform(
+        F.sequence(F.lit(0), F.size("cuts") - 2),
+        lambda i: F.struct(i.alias("no"), F.get("cuts", i).alias("prior"), F.get("cuts", i + 1).alias("end")),
     )
+
+    def begins(p: Column) -> Column:
+        # Where the piece before ended, less the overlap; back to a place where the text can be cut.
+        wish = F.greatest(p["prior"] - overlap, F.lit(0))
+        low = F.greatest(wish - SLACK, F.lit(0))
+        back = F.regexp_extract(F.substring(F.col("cls"), low + 1, wish - low).cast("string"), "^(.*[^y])", 1)
+        return F.when(p["no"] == 0, 0).otherwise(low + F.length(back)).cast("int")
+
+    placed = F.transform(each, lambda p: F.struct(p["no"].alias("no"), p["prior"].alias("prior"), p["end"].alias("end"), begins(p).alias("begin")))
+
+    def piece(p: Column) -> Column:
+        at = upto("bytes", p["begin"])
+        return F.struct(
+            (p["no"] + 1).alias("piece_no"),
+            upto("ends", p["begin"]).alias("start_char"),
+            (p["end"] - p["begin"]).alias("n_tokens"),
+            (p["prior"] - p["begin"]).alias("overlap_tokens"),
+            F.when(p["end"] == F.col("n"), "E").otherwise(F.substring(F.col("cls"), p["end"], F.lit(1)).cast("string")).alias("boundary"),
+            F.substring(F.col("raw"), at + 1, upto("bytes", p["end"]) - at).cast("string").alias("piece"),
+        )
+
+    zero = F.lit(0)
+    alone = F.array(F.struct(F.lit(1).alias("piece_no"), zero.alias("start_char"), F.col("n").alias("n_tokens"), zero.alias("overlap_tokens"), F.lit("E").alias("boundary"), F.col("text").alias("piece")))
+    pieces = laid.select("key", F.explode(F.when(F.col("cuts").isNotNull(), F.transform(placed, piece)).otherwise(alone)).alias("p"))
+    return pieces.select(F.col("key").alias(key), "p.*")

@@ -6,7 +6,9 @@ that are no blanks. Chunks recur all the time, so each worker puts a chunk's ids
 together once and then looks them up; what the tokenizers library encodes is the
 pre-tokens that a worker hasn't met yet. Concatenated, the ids of
 the chunks are exactly those of the text (tests hold them against the library's
-encoding of whole texts).
+encoding of whole texts). Only short chunks are remembered, and no more than a
+fixed number of bytes of them; long ones (texts without blanks) go straight to
+the library. The same holds for vocabulary files with another splitting pattern.
 
 Tokens are bytes in disguise: a token's string spells each byte as one printable
 character. Offsets count bytes through that table and are turned into characters
@@ -32,6 +34,8 @@ TOKENIZERS = "/opt/tokenizers"
 MODEL = "byte_bpe_50k"
 #: Chunks a worker remembers before it starts over.
 REMEMBERED = 500_000
+#: Bytes (as estimated) of chunks, pre-tokens and their ids that a worker remembers, and the longest remembered one.
+REMEMBERED_BYTES, SHORT = 96 << 20, 64
 
 
 # The splitting pattern of the vocabulary, for texts of printable ASCII, tabs and line ends.
@@ -96,13 +100,21 @@ class Encoder:
         path = os.path.join(root, f"{model}.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            doc = json.load(f)
+        pre = doc.get("pre_tokenizer") or {}
+        # Whether the file splits texts as the chunks here do, so that they may be used.
+        self.chunked = doc.get("normalizer") is None and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space")
         self.seen: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = 0
 
     @property
     @lru_cache(maxsize=1)  # noqa: B019 - one encoder per process
     def bytes_of(self) -> list[bytes]:
         """The bytes of each token id; special tokens stand for their own text."""
+        if not self.chunked:
+            raise ValueError("offsets and bytes need a byte-level vocabulary whose tokens spell the text as it is")
         table = byte_of_char()
         out = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
         special = {i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
@@ -110,31 +122,42 @@ class Encoder:
             out[i] = text.encode() if i in special else bytes(table[c] for c in text)
         return out
 
-    def _learn(self, split: list[list[str]]) -> None:
-        new = set().union(*split).difference(self.seen)
-        if len(self.seen) + len(new) > REMEMBERED:
+    def _library(self, texts: list[str]) -> Iterator[bytes]:
+        for k in range(0, len(texts), 4096):
+            for e in self.tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False):
+                yield array("i", e.ids).tobytes()
+
+    def _keep(self, memory: dict[str, bytes], found: dict[str, bytes]) -> None:
+        short = {c: b for c, b in found.items() if len(c) <= SHORT}
+        memory.update(short)
+        # A string and a bytes object take about 100 bytes beside what they hold.
+        self.held += sum(2 * len(c) + len(b) + 200 for c, b in short.items())
+
+    def _learn(self, split: list[list[str]]) -> dict[str, bytes]:
+        """Ids of the chunks that aren't remembered; short ones are from now on."""
+        if self.held > REMEMBERED_BYTES or len(self.seen) > REMEMBERED or len(self.parts) > REMEMBERED:
             self.seen.clear()
-            new = set().union(*split)
+            self.parts.clear()
+            self.held = 0
+        new = set().union(*split).difference(self.seen)
         # Chunks of plain characters are put together from their pre-tokens, of
         # which there are far fewer; others are left to the library as they are.
         parts = {c: _PLAIN.findall(c) if _IS_PLAIN(c) else [c] for c in new}
+        todo = list(set().union(*parts.values()).difference(self.parts))
+        fresh = dict(zip(todo, self._library(todo)))
         known = self.parts
-        if len(known) > REMEMBERED:
-            known.clear()
-        todo = list(set().union(*parts.values()).difference(known))
-        for k in range(0, len(todo), 4096):
-            part = todo[k : k + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[p] = array("i", e.ids).tobytes()
-        get = known.__getitem__
-        self.seen.update({c: b"".join(map(get, ps)) for c, ps in parts.items()})
+        found = {c: b"".join([fresh[p] if p in fresh else known[p] for p in ps]) for c, ps in parts.items()}
+        self._keep(self.parts, {p: b for p, b in fresh.items() if p not in found})
+        self._keep(self.seen, found)
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as 32-bit integers in a row; none for null and empty texts."""
+        if not self.chunked:
+            return list(self._library([t or "" for t in texts]))
         split = [chunks_of(t) if t else [] for t in texts]
-        self._learn(split)
-        get = self.seen.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        found, seen = self._learn(split), self.seen
+        return [b"".join([seen[c] if c in seen else found[c] for c in s]) for s in split]
 
     def count(self, texts: list[str | None]) -> list[int]:
         """Number of ids of each text."""
@@ -153,27 +176,28 @@ class Encoder:
         """The number of bytes of each token id."""
         return np.array([len(b) for b in self.bytes_of], dtype=np.int64)
 
-    def ends(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Characters begun before the end of each token, and whether a character ends there."""
+    def ends(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the end of each token: characters begun before it, whether a character ends there, and bytes up to it."""
         data = np.frombuffer(text.encode("utf-8", errors="surrogatepass"), dtype=np.uint8)
         starts = np.r_[(data & 0xC0) != 0x80, True]
         byte_ends = np.cumsum(self.lengths[np.frombuffer(ids, dtype=np.int32)])
         begun = np.r_[0, np.cumsum(starts[:-1])]
-        return begun[byte_ends], starts[byte_ends]
-
-    def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
-        """Characters [start, end) that each token touches.
+        return begun[byte_ends], starts[byte_ends], byte_ends
 
-        Tokens that share a character all have it within their offsets.
-        """
-        table, raw = self.bytes_of, text.encode("utf-8", errors="surrogatepass")
-        ends = np.cumsum([len(table[i]) for i in ids]) if len(ids) else np.zeros(0, dtype=int)
-        data = np.frombuffer(raw, dtype=np.uint8)
+    def spans(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Characters [start, end) that each token touches; tokens that share a character all have it."""
+        data = np.frombuffer(text.encode("utf-8", errors="surrogatepass"), dtype=np.uint8)
+        ends = np.cumsum(self.lengths[np.frombuffer(ids, dtype=np.int32)])
         # Characters that begin before each byte position.
         begun = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
         starts = np.r_[0, ends[:-1]] if len(ends) else ends
         first = np.where(starts < len(data), begun[np.minimum(starts + 1, len(data))] - 1, begun[-1])
-        return list(zip(first.tolist(), begun[ends].tolist()))
+        return first, begun[ends]
+
+    def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
+        """`spans` of a list of ids, as pairs."""
+        first, last = self.spans(text, array("i", ids).tobytes())
+        return list(zip(first.tolist(), last.tolist()))
 
 
 @lru_cache(maxsize=4)
@@ -198,15 +222,40 @@ def encode_ids(df: DataFrame, key: str, text: str, root: str = TOKENIZERS, model
         for batch in batches:
             for part in _slices(batch):
                 coded = enc.encode(part.column(1).to_pylist())
-                bounds = np.zeros(len(coded) + 1, dtype=np.int32)
-                np.cumsum([len(b) // 4 for b in coded], out=bounds[1:])
-                ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["key", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(coded)], names=["key", "ids"])
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"key {_field(df, key)}, ids array<int>").withColumnRenamed("key", key)
 
 
+def _lists(coded: list[bytes] | list[np.ndarray]) -> pa.ListArray:
+    """An Arrow list of 32-bit integers per entry."""
+    bounds = np.zeros(len(coded) + 1, dtype=np.int64)
+    np.cumsum([len(b) // 4 if isinstance(b, bytes) else len(b) for b in coded], out=bounds[1:])
+    flat = np.frombuffer(b"".join(coded), dtype=np.int32) if all(isinstance(b, bytes) for b in coded) else np.concatenate(coded).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
+
+
+def encode_spans(df: DataFrame, key: str, text: str, root: str = TOKENIZERS, model: str = MODEL) -> DataFrame:
+    """key, ids, starts, ends of every row: the characters [start, end) of the text that each token touches.
+
+    A null and an empty text give empty lists. Tokens within one character all
+    have that character. Only vocabularies whose tokens spell the text's bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(root, model)
+        for batch in batches:
+            for part in _slices(batch):
+                texts = part.column(1).to_pylist()
+                coded = enc.encode(texts)
+                pairs = [enc.spans(t or "", b) for t, b in zip(texts, coded)]
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(coded), _lists([a for a, _ in pairs]), _lists([b for _, b in pairs])], names=["key", "ids", "starts", "ends"])
+
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"key {_field(df, key)}, ids array<int>, starts array<int>, ends array<int>").withColumnRenamed("key", key)
+
+
 def _slices(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each."""
     n = batch.num_rows

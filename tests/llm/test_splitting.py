@@ -79,3 +79,18 @@ def test_documents(spark):
     for k, v in got.items():
         if docs[k]:
             check(sorted(v, key=lambda r: r.piece_no), docs[k], most, overlap)
+
+
+def test_the_work_grows_with_the_length_of_a_text(spark):
+    import time
+
+    line = "Ein längerer Satz über Sterne und Nebel, der immer wieder kommt. "
+    texts = [line * (n // len(line)) for n in (1_200_000, 2_400_000)]
+    frames = [spark.createDataFrame([(1, t)], "k long, t string").cache() for t in texts]
+    seconds = []
+    for df in [frames[0], *frames]:
+        df.count()
+        t = time.perf_counter()
+        splitting.split_texts(df, "k", "t", 512, 64).write.format("noop").mode("overwrite").save()
+        seconds.append(time.perf_counter() - t)
+    assert seconds[2] <= 2.2 * seconds[1] + 1

@@ -90,3 +90,55 @@ def test_the_memory_of_chunks_is_bounded(monkeypatch):
         text = " ".join(str(rnd.random()) for _ in range(30))
         assert np.frombuffer(enc.encode([text])[0], np.int32).tolist() == whole(text)
         assert len(enc.seen) <= 50 + 30
+
+
+def test_other_splitting_patterns_are_left_to_the_library():
+    enc = tokens.Encoder(model="word_bpe_49k")
+    texts = ["It's  a Test\n of 3 WORDS", "", None, "日本語 テキスト"]
+    got = [np.frombuffer(b, np.int32).tolist() for b in enc.encode(texts)]
+    assert got == [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts] and not enc.seen
+    with pytest.raises(ValueError):
+        enc.decode(got[0])
+    with pytest.raises(ValueError):
+        enc.spans(texts[0], b"")
+
+
+def test_long_chunks_are_not_remembered(monkeypatch):
+    enc = tokens.Encoder()
+    rnd = random.Random(2)
+    kana = [chr(c) for c in range(0x3041, 0x3090)]
+    texts = ["".join(rnd.choices(kana, k=300)) for _ in range(200)] + ["x" * 500 + str(i) for i in range(50)]
+    assert [np.frombuffer(b, np.int32).tolist() for b in enc.encode(texts)] == [whole(t) for t in texts]
+    assert not enc.seen and all(len(p) <= tokens.SHORT for p in enc.parts)
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 20_000)
+    for _ in range(20):
+        enc.encode([" ".join(str(rnd.random()) for _ in range(30))])
+        assert enc.held <= 20_000 + 30 * 2 * 300
+    assert len(enc.seen) < 200
+
+
+def test_offsets_of_rows(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD, None])], "k long, t string")
+    got = {r.k: r for r in tokens.encode_spans(df, "k", "t").collect()}
+    for i, t in enumerate(ODD):
+        assert list(got[i].ids) == whole(t) and list(zip(got[i].starts, got[i].ends)) == tokens.encoder().offsets(t, whole(t))
+    assert list(got[len(ODD)].starts) == [] and tokens.encode_spans(df.limit(0), "k", "t").count() == 0
+
+
+def test_memory_on_distinct_texts_without_blanks():
+    """A worker's memory stays bounded whatever the number of distinct texts."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from frameloom.llm import tokens
+enc = tokens.Encoder(); enc.bytes_of; enc.encode(["warm"])
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rnd = random.Random(1); kana = [chr(c) for c in range(0x3041, 0x3090)]
+for _ in range(100):
+    enc.encode(["".join(rnd.choices(kana, k=60)) + "x" * 20 for _ in range(300)])
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.getcwd(), env=os.environ, check=True)
+    assert int(out.stdout) < 200_000  # kB
