@@ -93,15 +93,9 @@ def fill_bad_pixels(tensors: DataFrame, bad: DataFrame, group: str, frame: str)
         mask = np.zeros(img.shape, bool)
         for p in positions:
             mask[p["y"], p["x"]] = True
-        pv, pm = np.pad(img, 2, mode="reflect"), np.pad(mask, 2, mode="reflect")
-        out = []
-        for p in positions:
-            y, x = p["y"], p["x"]
-            near = [(y + dy, x + dx) for dy in (0, 2, 4) for dx in (0, 2, 4) if (dy, dx) != (2, 2)]
-            vals, flags = np.array([pv[q] for q in near]), np.array([pm[q] for q in near])
-            good = int((~flags).sum())
-            out.append({"y": int(y), "x": int(x), "good": good, "value": float(np.median(vals[~flags] if good >= 2 else vals))})
-        return {"px": out}
+        _, values, good = kernels.fill_bad(img, mask)
+        y, x = np.nonzero(mask)
+        return {"px": [{"y": int(a), "x": int(b), "good": int(g), "value": float(v)} for a, b, g, v in zip(y, x, good, values)]}
 
     got = kernels.per_frame(both, [frame], "px array<struct<y:int,x:int,good:bigint,value:double>>", fill, ["__bad"])
     return got.select(frame, F.explode("px").alias("p")).select(frame, "p.y", "p.x", "p.good", "p.value")
@@ -170,6 +164,61 @@ def drizzle(px: DataFrame, group: list[str], scale: float, dy: Column, dx: Colum
     return hit.groupBy(*group, "oy", "ox").agg((F.sum(F.col("__v") * F.col("__w")) / F.sum("__w")).alias("value"), F.sum("__w").alias("weight"))
 
 
+def dither(frames: DataFrame, group: str, dy: str, dx: str, step: float = 0.5) -> DataFrame:
+    """group, frames, phases, pixfrac: distinct shifts in half pixels, and the drop size they allow.
+
+    Under four phases or ten frames drops are whole pixels, under 30 frames 0.7, else 0.5.
+    """
+    phase = [F.bround(F.col(c) / step) for c in (dy, dx)]
+    out = frames.groupBy(group).agg(F.count("*").alias("frames"), F.count_distinct(F.struct(*phase)).alias("phases"))
+    return out.withColumn("pixfrac", pixfrac_for(F.col("phases"), F.col("frames")))
+
+
+def pixfrac_for(phases: Column, frames: Column) -> Column:
+    return F.when((phases < 4) | (frames < 10), 1.0).when(frames < 30, 0.7).otherwise(0.5)
+
+
+def kernel_weight(d: Column, kind: str, reach: Column) -> Column:
+    """Weight at a distance d: lanczos3 (of d), gaussian (of half the reach) or tophat (up to the reach)."""
+    if kind == "lanczos3":
+        x = F.lit(3.141592653589793) * d
+        return F.when(F.abs(d) < 1e-9, 1.0).when(F.abs(d) < 3, 3 * F.sin(x) * F.sin(x / 3) / (x * x)).otherwise(0.0)
+    if kind == "gaussian":
+        return F.exp(-0.5 * F.pow(d / F.greatest(reach / 2, F.lit(1e-9)), F.lit(2.0)))
+    if kind == "tophat":
+        return F.when(F.abs(d) <= reach, 1.0).otherwise(0.0)
+    raise ValueError(f"kernel {kind!r} is none of lanczos3, gaussian, tophat")
+
+
+def drizzle_footprint(px: DataFrame, group: list[str], scale: float, dy: Column, dx: Column, pixfrac: Column, kernel: str = "tophat", value: str = "value", least: float = 1e-6) -> DataFrame:
+    """group, oy, ox, value, weight: pixels scattered as drops of pixfrac times their size by a kernel.
+
+    A pixel's centre lands at scale * position + shift; every cell whose centre is within
+    half the drop (pixfrac * scale / 2, at least half a cell) of it in y and x gets the kernel's
+    weight of both distances. Weights at or under `least`, negative lobes
+    included, are dropped. Map-side partial sums keep what is shuffled near the output's size.
+    """
+    reach = F.greatest(pixfrac * scale / 2, F.lit(0.5))
+    rows = px.select(*group, F.col(value).alias("__v"), (F.col("y") * scale + dy).alias("__ty"), (F.col("x") * scale + dx).alias("__tx"), reach.alias("__r"))
+
+    def cells(t: str) -> Column:
+        return F.sequence(F.ceil(F.col(t) - F.col("__r")).cast("int"), F.floor(F.col(t) + F.col("__r")).cast("int"))
+
+    hit = rows.select("*", F.explode(cells("__ty")).alias("oy")).select("*", F.explode(cells("__tx")).alias("ox"))
+    w = kernel_weight(F.col("oy") - F.col("__ty"), kernel, F.col("__r")) * kernel_weight(F.col("ox") - F.col("__tx"), kernel, F.col("__r"))
+    hit = hit.select(*group, "oy", "ox", "__v", w.alias("__w")).where(F.col("__w") > least)
+    return hit.groupBy(*group, "oy", "ox").agg((F.sum(F.col("__v") * F.col("__w")) / F.sum("__w")).alias("value"), F.sum("__w").alias("weight"))
+
+
+def weight_stats(drizzled: DataFrame, group: str, channel: str) -> DataFrame:
+    """group, weight_min, weight_median, hole_percent: holes are cells of the covered rectangle that no drop reached."""
+    one = drizzled.groupBy(group, channel).agg(
+        F.count("*").alias("__n"), ((F.max("oy") - F.min("oy") + 1).cast("long") * (F.max("ox") - F.min("ox") + 1)).alias("__all")
+    )
+    holes = one.groupBy(group).agg((100.0 * (1 - F.sum("__n") / F.sum("__all"))).alias("hole_percent"))
+    return drizzled.groupBy(group).agg(F.min("weight").alias("weight_min"), F.median("weight").alias("weight_median")).join(holes, group)
+
+
 def colour_excess(px: DataFrame, group: list[str], value: str = "value", fail_over: float = 15.0) -> DataFrame:
     """group, excess_percent, status: green of an RGGB mosaic over the mean of red and blue."""
     py, qx, v = F.col("y") % 2, F.col("x") % 2, F.col(value)

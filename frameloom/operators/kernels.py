@@ -55,6 +55,25 @@ def neighbour_median(img: np.ndarray) -> np.ndarray:
     return np.median(np.stack(near), axis=0)
 
 
+def fill_bad(img: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bad pixels by the median of good neighbours of their colour, of all eight if fewer than two are good.
+
+    Gives the repaired image and, per bad pixel in reading order, its value and
+    number of good neighbours. Edges reflected.
+    """
+    y, x = np.nonzero(bad)
+    pv, pm = np.pad(img, 2, mode="reflect"), np.pad(bad, 2, mode="reflect")
+    near = [(dy, dx) for dy in (0, 2, 4) for dx in (0, 2, 4) if (dy, dx) != (2, 2)]
+    values = np.stack([pv[y + dy, x + dx] for dy, dx in near]) if len(y) else np.zeros((8, 0))
+    flags = np.stack([pm[y + dy, x + dx] for dy, dx in near]) if len(y) else np.zeros((8, 0), dtype=bool)
+    good = (~flags).sum(axis=0)
+    masked = np.where(flags & (good >= 2), np.nan, values)
+    new = np.nanmedian(masked, axis=0) if len(y) else np.zeros(0)
+    out = img.copy()
+    out[y, x] = new
+    return out, new, good
+
+
 def hot_pixel_clip(img: np.ndarray, k: float = 5.0, most: int = 3) -> np.ndarray:
     """Single outliers to the image's median; clusters of more than `most` (3 × 3, with the pixel) stay. Wraps at the edges."""
     med = np.median(img)
@@ -139,26 +158,46 @@ def gaussian_blur(img: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def label_regions(mask: np.ndarray) -> np.ndarray:
-    """8-connected regions numbered from 1; 0 outside. Labels spread until nothing changes."""
-    lab = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    """8-connected regions numbered from 1 in reading order; 0 outside.
+
+    Rows are cut into runs; runs that touch in neighbouring rows are united, all
+    pairs at once, until each points to the first run of its region.
+    """
+    h, w = mask.shape
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, start = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]
+    n = len(row)
+    if n == 0:
+        return np.zeros((h, w), dtype=np.int64)
+    # Places of the row before that touch a run, diagonals included: runs ending at its start or later, beginning at its end or before.
+    wide = w + 2
+    first = np.searchsorted(row * wide + end, (row - 1) * wide + start, side="left")
+    last = np.searchsorted(row * wide + start, (row - 1) * wide + end, side="right")
+    many = np.maximum(last - first, 0)
+    below = np.repeat(np.arange(n), many)
+    above = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    root = np.arange(n)
     while True:
-        p = np.pad(lab, 1)
-        best = lab
-        for dy in (0, 1, 2):
-            for dx in (0, 1, 2):
-                best = np.maximum(best, p[dy : dy + lab.shape[0], dx : dx + lab.shape[1]])
-        best = np.where(mask, best, 0)
-        if (best == lab).all():
+        a, b = root[above], root[below]
+        if (a == b).all():
             break
-        lab = best
-    ids = np.unique(lab[lab > 0])
-    return np.where(lab > 0, np.searchsorted(ids, lab) + 1, 0)
+        low = np.minimum(a, b)
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        while (root[root] != root).any():
+            root = root[root]
+    number = np.unique(root, return_inverse=True)[1] + 1
+    flat = np.zeros(h * w + 1, dtype=np.int64)
+    np.add.at(flat, row * w + start, number)
+    np.add.at(flat, row * w + end, -number)
+    return np.cumsum(flat[:-1]).reshape(h, w)
 
 
 def detect_stars(img: np.ndarray, k: float = 5.0, floor: float = 2.0, min_area: int = 3) -> list[dict]:
     """Stars: regions over median + floor sigma that hold a strict local maximum over median + k sigma.
 
-    Each has x, y (flux-weighted), flux over the background, peak and fwhm
+    Each has x, y (flux-weighted), flux over the background, peak, area and fwhm
     (2.355 times the median distance of its pixels); brightest first.
     """
     med = np.median(img)
@@ -170,37 +209,39 @@ def detect_stars(img: np.ndarray, k: float = 5.0, floor: float = 2.0, min_area:
     around = np.stack([p[dy : dy + h, dx : dx + w] for dy in (0, 1, 2) for dx in (0, 1, 2) if (dy, dx) != (1, 1)])
     seeds = (img > around.max(axis=0)) & (img > med + k * sigma)
     lab = label_regions(img > med + floor * sigma)
+    wanted = np.zeros(int(lab.max()) + 1, dtype=bool)
+    wanted[lab[seeds]] = True
+    wanted[0] = False
+    at = np.flatnonzero(wanted[lab.ravel()])
+    at = at[np.argsort(lab.ravel()[at], kind="stable")]
     out = []
-    for i in np.unique(lab[seeds & (lab > 0)]):
-        y, x = np.nonzero(lab == i)
-        if len(y) < min_area:
+    for part in np.split(at, np.flatnonzero(np.diff(lab.ravel()[at])) + 1) if len(at) else []:
+        if len(part) < min_area:
             continue
+        y, x = np.divmod(part, w)
         v = img[y, x] - med
         flux = v.sum()
         cy, cx = (y * v).sum() / flux, (x * v).sum() / flux
-        out.append({"x": float(cx), "y": float(cy), "flux": float(flux), "peak": float(img[y, x].max()), "fwhm_est": float(2.355 * np.median(np.hypot(y - cy, x - cx)))})
+        out.append({"x": float(cx), "y": float(cy), "flux": float(flux), "peak": float(img[y, x].max()), "area": len(part), "fwhm_est": float(2.355 * np.median(np.hypot(y - cy, x - cx)))})
     return sorted(out, key=lambda s: (-s["flux"], s["y"], s["x"]))
 
 
-def elongation(img: np.ndarray, stars: list[dict], most: int = 50, reach: int = 10) -> float | None:
-    """Ratio of the shorter to the longer median half-maximum width of the brightest stars."""
-    med = np.median(img)
+def elongation(img: np.ndarray, stars: list[dict], min_stars: int = 10) -> float | None:
+    """Ratio of the shorter to the longer median width at half maximum over all stars; None under min_stars.
+
+    The widths are those of the maximum profiles of a box of 1.5 star widths
+    (at least 3 pixels) around each star.
+    """
     widths: list[tuple[int, int]] = []
-    for s in stars[:most]:
+    for s in stars:
         y, x = round(s["y"]), round(s["x"])
-        if not (0 <= y < img.shape[0] and 0 <= x < img.shape[1]):
+        r = max(round(1.5 * s["fwhm_est"]), 3)
+        box = img[max(0, y - r) : max(0, y + r + 1), max(0, x - r) : max(0, x + r + 1)]
+        if not box.size or box.max() <= 0:
             continue
-        half = (img[y, x] - med) / 2 + med
-        spans = []
-        for line, at in ((img[y, :], x), (img[:, x], y)):
-            lo = hi = at
-            while lo > 0 and at - lo < reach and line[lo - 1] >= half:
-                lo -= 1
-            while hi + 1 < len(line) and hi - at < reach and line[hi + 1] >= half:
-                hi += 1
-            spans.append(hi - lo + 1)
-        widths.append((spans[0], spans[1]))
-    if not widths:
+        along = [box.max(axis=axis) for axis in (0, 1)]
+        widths.append(tuple(int((p >= p.max() / 2).sum()) for p in along))
+    if len(widths) < min_stars:
         return None
     a, b = np.median(np.array(widths), axis=0)
     return float(min(a, b) / max(a, b))
@@ -380,10 +421,11 @@ def rotation_between(ref: np.ndarray, img: np.ndarray, most: float = 30.0) -> tu
     return float(best[2]), float(best[0])
 
 
-def match_triangles(a: list[dict], b: list[dict], most: int = 20, tolerance: float = 0.01) -> dict | None:
-    """Similarity that maps star list a onto b by triangles of the brightest stars.
+def match_triangles(a: list[dict], b: list[dict], most: int = 50, tolerance: float = 0.01) -> dict | None:
+    """Similarity that maps star list a onto b by triangles of the brightest stars (`most` control points).
 
-    Triangles agree if their side ratios do; votes for star pairs select control
+    Each star makes triangles with its five nearest neighbours, so their number
+    grows with the stars and not with their cube. Triangles agree if their side ratios do; votes for star pairs select control
     points, and a least-squares similarity is fitted to them. None with fewer
     than three pairs.
     """
@@ -392,7 +434,10 @@ def match_triangles(a: list[dict], b: list[dict], most: int = 20, tolerance: flo
     def triangles(stars: list[dict]) -> list[tuple[float, float, tuple[int, ...]]]:
         p = np.array([(s["x"], s["y"]) for s in stars[:most]])
         out = []
-        for idx in combinations(range(len(p)), 3):
+        near = np.argsort(np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1)), axis=1, kind="stable")[:, :6] if len(p) else []
+        # The ten brightest stars are joined to each other as well: they are in both lists most surely.
+        every = {c for own in near for c in combinations(sorted(own.tolist()), 3)} | set(combinations(range(min(len(p), 10)), 3))
+        for idx in sorted(every):
             sides = sorted((float(np.hypot(*(p[idx[i]] - p[idx[j]]))), 3 - i - j) for i, j in ((0, 1), (0, 2), (1, 2)))
             if sides[0][0] > 1e-9:
                 # Vertices in the order of their opposite sides.

@@ -9,12 +9,26 @@ from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any
 
 
+@dataclass
+class Calibration:
+    use_darks: bool = True
+    use_flats: bool = False
+    use_bias: bool = False
+
+
 @dataclass
 class Registration:
     method: str = "fft"
     max_rotation_deg: float = 2.0
     max_scale_dev: float = 0.02
     zero_shift_below: float = 0.05
+    high_pass: float = 30.0
+
+
+@dataclass
+class Debayer:
+    method: str = "superpixel"
+    pattern: str = "RGGB"
 
 
 @dataclass
@@ -61,7 +75,9 @@ class Drizzle:
     enabled: bool = False
     scale: float = 2.0
     pixfrac: float | None = None
+    kernel: str = "lanczos3"
     min_frames: int = 5
+    gate: bool = True
     min_stars: int = 3
 
 
@@ -76,6 +92,8 @@ class Display:
 
 @dataclass
 class Params:
+    calibration: Calibration = field(default_factory=Calibration)
+    debayer: Debayer = field(default_factory=Debayer)
     registration: Registration = field(default_factory=Registration)
     gradient: Gradient = field(default_factory=Gradient)
     cosmetic: Cosmetic = field(default_factory=Cosmetic)
@@ -84,7 +102,7 @@ class Params:
     merge: Merge = field(default_factory=Merge)
     drizzle: Drizzle = field(default_factory=Drizzle)
     display: Display = field(default_factory=Display)
-    steps: list = field(default_factory=lambda: ["calibrate", "cosmetic", "debayer", "register", "select", "stack", "gradient", "drizzle", "cross_register", "merge"])
+    steps: list = field(default_factory=lambda: ["calibrate", "cosmetic", "debayer", "register", "select", "stack", "gradient", "drizzle", "cross_register", "merge", "display"])
 
 
 def expand_env(value: Any, env: dict[str, str] | None = None) -> Any:

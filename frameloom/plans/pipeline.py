@@ -8,11 +8,11 @@ stage adds its tables to the context, with decisions as columns.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import groups, image, kernels, selection, stack
+from ..operators import calibration, groups, image, kernels, selection, stack
 from .config import Params, resolve
 from .steps import Context, FunctionStep, Registry, Result, run_steps
 
@@ -42,35 +42,66 @@ def _lights(c: Context) -> DataFrame:
     return c.tables["frames"].where("frame_type = 'light'").select("frame_id", "idx", "group_hash", "filter_name", "exptime")
 
 
-def master_darks(c: Context) -> DataFrame:
-    """group_hash, data: per-pixel median of a group's darks, as one array per group."""
-    darks = c.tables["frames"].where("frame_type = 'dark'").select("frame_id", "group_hash")
-    px = stack.to_pixels(c.tables["tensors"].join(darks, "frame_id"), ["group_hash"], channels="ch")
-    med = stack.stack(px, ["group_hash", "y", "x", "c"], "median").withColumnRenamed("stacked", "value")
-    return stack.to_tensors(med, ["group_hash"]).select("group_hash", F.col("data").alias("dark"))
+#: Parts that the images of a group are split into where they meet one reference image, which is repeated for each.
+SALTS = 32
 
 
-def calibrate(c: Context) -> dict[str, DataFrame]:
-    """Lights less the master dark of their group; `dark_mode` tells how."""
-    rows = c.tables["tensors"].join(_lights(c).select("frame_id", "group_hash"), "frame_id").join(master_darks(c), "group_hash", "left")
+def dark_tiers(c: Context) -> DataFrame:
+    """group_hash, dark_id, tier of each light group: darks by exposure, gain and temperature, whatever the filter.
+
+    Darks of the table `library` (frame_id, exptime, gain, ccd_temp) come after
+    the frames' own. A group's temperature is the median of its lights'.
+    """
+    lights = c.tables["frames"].where("frame_type = 'light'")
+    of_group = lights.groupBy("group_hash").agg(F.min("exptime").alias("exptime"), F.min("gain").alias("gain"), F.median("ccd_temp").alias("temp"))
 
-    def one(img, dark):
-        if dark is None or len(dark) != img.size:
-            return {"data": kernels.flat(img), "dark_mode": "none"}
-        d = np.asarray(dark, dtype=float).reshape(img.shape)
-        gap = np.median(d) - np.median(img)
-        rescue = gap > max(5.0, 0.04 * abs(np.median(img)))
-        out = img - (d - np.median(d)) if rescue else img - d
-        return {"data": kernels.flat(np.maximum(out, 0)), "dark_mode": "offset_rescue" if rescue else "full"}
+    def darks(df: DataFrame) -> DataFrame:
+        return df.select(F.col("frame_id").alias("dark_id"), "exptime", "gain", "ccd_temp")
 
-    done = kernels.per_frame(rows, ["frame_id", "h", "w", "ch"], "data array<double>, dark_mode string", one, ["dark"])
-    return _unregistered(c, done)
+    library = darks(c.tables["library"]) if "library" in c.tables else None
+    return calibration.match_darks(of_group, darks(c.tables["frames"].where("frame_type = 'dark'")), library)
+
+
+def calibrate(c: Context) -> dict[str, DataFrame]:
+    """Lights less the master dark of their group, and bias and flat where the parameters ask for them.
+
+    `dark_mode` tells how the dark was applied, `tier` of `dark_tiers` where it came from. A
+    group without a dark gets none of another group. The bias is the mean of all bias
+    frames, flats are averaged per filter and applied to lights of that filter.
+    """
+    p, frames, tensors = c.params.calibration, c.tables["frames"], c.tables["tensors"]
+    size = ["h", "w", "ch"]
+    rows = tensors.join(frames.where("frame_type = 'light'").select("frame_id", "group_hash", F.coalesce("filter_name", F.lit("")).alias("__f")), "frame_id")
+    out = {}
+    none = F.lit(None).cast("array<double>")
+    if p.use_darks:
+        tiers = dark_tiers(c)
+        of = tensors.join(tiers.where("dark_id is not null").select(F.col("dark_id").alias("frame_id"), "group_hash"), "frame_id")
+        rows = rows.join(calibration.master(of, ["group_hash"]).withColumnRenamed("data", "dark"), ["group_hash", *size], "left")
+        out["dark_tiers"] = tiers.groupBy("group_hash", "tier").agg(F.count("dark_id").alias("darks"))
+    else:
+        rows = rows.withColumn("dark", none)
+    if p.use_bias:
+        of = tensors.join(frames.where("frame_type = 'bias'").select("frame_id"), "frame_id")
+        rows = rows.join(calibration.master(of, [], "average").withColumnRenamed("data", "bias"), size, "left")
+    else:
+        rows = rows.withColumn("bias", none)
+    if p.use_flats:
+        flats = frames.where("frame_type = 'flat'").select("frame_id", F.coalesce("filter_name", F.lit("")).alias("__f"))
+        enough = flats.groupBy("__f").agg(F.count("*").alias("n")).where("n >= 2").select("__f")
+        of = tensors.join(flats.join(enough, "__f"), "frame_id")
+        rows = rows.join(calibration.master(of, ["__f"], "average", "mul").withColumnRenamed("data", "flat"), ["__f", *size], "left")
+    else:
+        rows = rows.withColumn("flat", none)
+    done = calibration.apply(rows, ["frame_id", *size])
+    return _unregistered(c, done) | out
 
 
 def cosmetic(c: Context) -> dict[str, DataFrame]:
-    """Bad pixels of a group's one-channel lights interpolated; other lights stay.
+    """Bad pixels of a group's one-channel lights interpolated from good neighbours; other lights stay.
 
-    Positions are counted among a group's frames of one size; fewer than n_frames such frames stay as they are.
+    A position is bad if it exceeds its neighbours in n_frames frames of the group and one size while the
+    group's master dark is normal there: under its median plus dark_tolerance. Fewer than n_frames such frames stay as they are.
     """
     p = c.params.cosmetic
     if not p.enabled:
@@ -78,36 +109,57 @@ def cosmetic(c: Context) -> dict[str, DataFrame]:
     rows = _images(c).join(_lights(c).select("frame_id", "group_hash"), "frame_id")
     like = ["group_hash", "h", "w"]
     bad = image.bad_pixels(rows.where("ch = 1"), like, "frame_id", "w", p.threshold, p.n_frames)
+    if "dark_tiers" in c.tables:
+        of = c.tables["tensors"].where("ch = 1").join(dark_tiers(c).where("dark_id is not null").select(F.col("dark_id").alias("frame_id"), "group_hash"), "frame_id")
+        dark = calibration.master(of, ["group_hash"])
+
+        def bright(img):
+            y, x = np.nonzero(img >= np.median(img) + p.dark_tolerance)
+            return {"at": [{"y": int(a), "x": int(b)} for a, b in zip(y, x)]}
+
+        known = kernels.per_frame(dark, like, "at array<struct<y:int,x:int>>", bright).select(*like, F.explode("at").alias("p"))
+        bad = bad.join(known.select(*like, "p.y", "p.x"), [*like, "y", "x"], "left_anti")
     where = bad.groupBy(*like).agg(F.collect_list(F.struct("y", "x")).alias("bad"))
 
     def fix(img, positions):
         if positions is None or img.ndim == 3:
-            return {"data": kernels.flat(img)}
-        near, out = kernels.neighbour_median(img), img.copy()
+            return {"data": kernels.flat(img), "fixed": 0}
+        mask = np.zeros(img.shape, dtype=bool)
         for q in positions:
-            out[q["y"], q["x"]] = near[q["y"], q["x"]]
-        return {"data": kernels.flat(out)}
+            mask[q["y"], q["x"]] = True
+        return {"data": kernels.flat(kernels.fill_bad(img, mask)[0]), "fixed": len(positions)}
+
+    done = kernels.per_frame(rows.join(where, like, "left"), ["frame_id", "h", "w", "ch"], "data array<double>, fixed int", fix, ["bad"])
+    return {**_unregistered(c, done.drop("fixed")), "bad_pixels": bad, "interpolated": done.select("frame_id", "fixed")}
 
-    done = kernels.per_frame(rows.join(where, like, "left"), ["frame_id", "h", "w", "ch"], "data array<double>", fix, ["bad"])
-    return {**_unregistered(c, done), "bad_pixels": bad}
+
+#: Demosaicing by debayer.method: superpixel halves the sides, the others keep them.
+DEBAYER = {"superpixel": lambda img, pattern: kernels.superpixel(img), "bilinear": kernels.bilinear, "malvar": kernels.malvar}
 
 
 def debayer(c: Context) -> dict[str, DataFrame]:
-    """Mosaics of one channel to half-size colour; other images stay."""
+    """Mosaics of one channel to colour; other images, and odd sides under superpixel, stay."""
+    p = c.params.debayer
+    if p.method not in DEBAYER:
+        raise ValueError(f"debayer.method {p.method!r} is none of {', '.join(DEBAYER)}")
     rows = _images(c)
 
     def one(img):
-        if img.ndim == 3 or img.shape[0] % 2 or img.shape[1] % 2:
+        if img.ndim == 3 or (p.method == "superpixel" and (img.shape[0] % 2 or img.shape[1] % 2)):
             a = img if img.ndim == 3 else img[:, :, None]
         else:
-            a = kernels.superpixel(img)
+            a = DEBAYER[p.method](img, p.pattern)
         return {"nh": a.shape[0], "nw": a.shape[1], "nch": a.shape[2], "data": kernels.flat(a)}
 
     out = kernels.per_frame(rows, ["frame_id"], "nh int, nw int, nch int, data array<double>", one)
     return {"images": out.select("frame_id", F.col("nh").alias("h"), F.col("nw").alias("w"), F.col("nch").alias("ch"), "data")}
 
 
-SHIFTS = {"fft": kernels.phase_shift, "rotation_fft": kernels.phase_shift, "upsampled_fft": kernels.upsampled_shift, "grid": lambda ref, img: tuple(map(float, kernels.grid_shift(ref, img)[:2]))}
+def _grid(ref: np.ndarray, img: np.ndarray) -> tuple[float, float]:
+    return tuple(map(float, kernels.grid_shift(ref, img)[:2]))
+
+
+SHIFTS = {"fft": kernels.phase_shift, "rotation_fft": kernels.phase_shift, "upsampled_fft": kernels.upsampled_shift, "grid": _grid, "stars": _grid}
 
 
 def _shift(method: str):
@@ -117,35 +169,65 @@ def _shift(method: str):
     return SHIFTS[method]
 
 
+def align(ref: np.ndarray, img: np.ndarray, p) -> dict:
+    """dy, dx, rotation_deg, scale, corr_hp, points and the way (`shift` or `stars`) that img goes onto ref.
+
+    Correlations are those of the high-passed images. The method's shift is
+    always measured. `rotation_fft` adds a rotation. `stars` matches star
+    triangles too and takes them if they correlate at most 0.05 worse and stay
+    within the rotation and scale allowed.
+    """
+    ha, hb = (x - kernels.gaussian_blur(x, p.high_pass) for x in (ref, img))
+    dy, dx = SHIFTS[p.method](ha, hb)
+    rot = kernels.rotation_between(ha, hb, p.max_rotation_deg)[0] if p.method == "rotation_fft" else 0.0
+    best = {"dy": dy, "dx": dx, "rotation_deg": rot, "scale": 1.0, "corr_hp": kernels.pearson(ha, kernels.transform(hb, dy, dx, rot)), "points": None, "way": "shift"}
+    if p.method == "stars" and (m := kernels.match_triangles(kernels.detect_stars(img), kernels.detect_stars(ref))):
+        # The similarity turns about the origin, transform about the centre.
+        c = complex((img.shape[1] - 1) / 2, (img.shape[0] - 1) / 2)
+        turn = m["scale"] * np.exp(1j * np.radians(m["rotation_deg"]))
+        off = turn * c + complex(m["dx"], m["dy"]) - c
+        corr = kernels.pearson(ha, kernels.transform(hb, off.imag, off.real, m["rotation_deg"], m["scale"]))
+        if abs(m["rotation_deg"]) <= p.max_rotation_deg and abs(m["scale"] - 1) <= p.max_scale_dev and corr >= best["corr_hp"] - 0.05:
+            best = {"dy": off.imag, "dx": off.real, "rotation_deg": m["rotation_deg"], "scale": m["scale"], "corr_hp": corr, "points": m["points"], "way": "stars"}
+    return best | {"plain": kernels.pearson(ha, hb)}
+
+
+def _moved(img: np.ndarray, m: dict) -> np.ndarray:
+    planes = img[:, :, None] if img.ndim == 2 else img
+    return np.dstack([kernels.transform(planes[:, :, k], m["dy"], m["dx"], m["rotation_deg"], m["scale"]) for k in range(planes.shape[2])])
+
+
+def _mono(x: np.ndarray) -> np.ndarray:
+    return x.mean(axis=2) if x.ndim == 3 else x
+
+
 def register(c: Context) -> dict[str, DataFrame]:
-    """Shift of each light onto its group's first frame, applied; weak correlations give no shift."""
+    """Each light aligned to its group's first frame; weak correlations give no shift.
+
+    A group's images are split by salt, and its reference is repeated for each
+    part, so that a large group spans many tasks. Only ids are aggregated to find
+    the references.
+    """
     p = c.params.registration
-    shift = _shift(p.method)
+    _shift(p.method)
     rows = _images(c).join(_lights(c).select("frame_id", "idx", "group_hash"), "frame_id")
-    first = rows.groupBy("group_hash").agg(F.min_by("data", F.struct("idx", "frame_id")).alias("ref"))
+    ids = rows.groupBy("group_hash").agg(F.min_by("frame_id", F.struct("idx", "frame_id")).alias("frame_id"))
+    first = _images(c).join(ids, "frame_id").select("group_hash", F.col("data").alias("ref"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("frame_id"), F.lit(SALTS)).cast("int"))
 
     def one(img, ref):
         r = np.asarray(ref, dtype=float)
+        none = {"dy": 0.0, "dx": 0.0, "rotation_deg": 0.0, "scale": 1.0, "points": None}
         if r.size != img.size:
-            return {"data": kernels.flat(img), "dy": None, "dx": None, "rotation_deg": None, "corr_hp": None, "status": "rejected"}
-        r = r.reshape(img.shape)
-        a, b = (x.mean(axis=2) if x.ndim == 3 else x for x in (r, img))
-        ha, hb = a - kernels.gaussian_blur(a, 3.0), b - kernels.gaussian_blur(b, 3.0)
-        dy, dx = shift(ha, hb)
-        rot = 0.0
-        if p.method == "rotation_fft":
-            rot, _ = kernels.rotation_between(ha, hb, p.max_rotation_deg)
-        moved = kernels.transform(hb, dy, dx, rot)
-        corr = kernels.pearson(ha, moved)
-        if corr < p.zero_shift_below or abs(rot) > p.max_rotation_deg:
-            return {"data": kernels.flat(img), "dy": 0.0, "dx": 0.0, "rotation_deg": 0.0, "corr_hp": kernels.pearson(ha, hb), "status": "zero_shift"}
-        planes = img[:, :, None] if img.ndim == 2 else img
-        out = np.dstack([kernels.transform(planes[:, :, k], dy, dx, rot) for k in range(planes.shape[2])])
-        return {"data": kernels.flat(out), "dy": dy, "dx": dx, "rotation_deg": rot, "corr_hp": corr, "status": "ok"}
+            return {"data": kernels.flat(img), "dy": None, "dx": None, "rotation_deg": None, "scale": None, "corr_hp": None, "points": None, "status": "rejected"}
+        m = align(_mono(r.reshape(img.shape)), _mono(img), p)
+        if m["corr_hp"] < p.zero_shift_below or abs(m["rotation_deg"]) > p.max_rotation_deg:
+            return none | {"data": kernels.flat(img), "corr_hp": m["plain"], "status": "zero_shift"}
+        return {k: m[k] for k in ("dy", "dx", "rotation_deg", "scale", "corr_hp", "points")} | {"data": kernels.flat(_moved(img, m)), "status": "ok"}
 
-    schema = "data array<double>, dy double, dx double, rotation_deg double, corr_hp double, status string"
-    done = kernels.per_frame(rows.join(first, "group_hash"), ["frame_id", "group_hash", "idx", "h", "w", "ch"], schema, one, ["ref"])
-    return {"images": done.select("frame_id", "h", "w", "ch", "data"), "registrations": done.select("frame_id", "group_hash", "idx", "h", "w", "ch", "dy", "dx", "rotation_deg", "corr_hp", "status")}
+    schema = "data array<double>, dy double, dx double, rotation_deg double, scale double, corr_hp double, points int, status string"
+    done = kernels.per_frame(rows.join(first, ["group_hash", "salt"]), ["frame_id", "group_hash", "idx", "h", "w", "ch"], schema, one, ["ref"])
+    return {"images": done.select("frame_id", "h", "w", "ch", "data"), "registrations": done.drop("data")}
 
 
 def measure(c: Context) -> DataFrame:
@@ -186,6 +268,9 @@ def stack_groups(c: Context) -> dict[str, DataFrame]:
     good = stack.usable_frames(px, "frame_id", drop_zero_median=p.normalise == "mul")
     norm = stack.normalise(good, ["frame_id"], p.normalise)
     enough = good.select("frame_id", "group_hash").distinct().groupBy("group_hash").agg(F.count("*").alias("frame_count")).where("frame_count >= 2")
+    chosen_lights = chosen.join(_lights(c).select("frame_id", "exptime", "filter_name"), "frame_id")
+    exposure = chosen_lights.groupBy("group_hash").agg(F.sum("exptime").alias("total_exposure"), F.min("filter_name").alias("filter"))
+    enough = enough.join(exposure, "group_hash", "left")
     out = stack.stack(norm.join(enough.select("group_hash"), "group_hash", "left_semi"), ["group_hash", "y", "x", "c"], p.method)
     return {"stacks": out.select("group_hash", "y", "x", "c", "n", F.col("stacked").alias("value")), "groups": enough}
 
@@ -218,6 +303,9 @@ def drizzle_groups(c: Context) -> dict[str, DataFrame]:
     The frames are those selected, as they were before debayering and
     registration; shifts measured on another size are scaled to theirs. Pixels
     of a mosaic that was registered in colour go to their own colour's channel.
+    Where quality was measured and the gate is on, frames with fewer than
+    min_stars stars are left out, unless no frame of the group has so many: stars say nothing there. Without a pixfrac it follows from the phases and
+    frames of a group; `drizzle_groups` has it, and why a group was left out.
     """
     p = c.params.drizzle
     if not p.enabled:
@@ -225,18 +313,68 @@ def drizzle_groups(c: Context) -> dict[str, DataFrame]:
     reg = c.tables["registrations"].where("status = 'ok'")
     if "selected" in c.tables:
         reg = reg.join(c.tables["selected"].select("frame_id"), "frame_id", "left_semi")
+    if p.gate and "quality" in c.tables:
+        enough_stars = F.max("star_count").over(Window.partitionBy("group_hash")) >= p.min_stars
+        starless = c.tables["quality"].select("frame_id", "star_count", enough_stars.alias("judged")).where(F.col("judged") & (F.col("star_count") < p.min_stars))
+        reg = reg.join(starless.select("frame_id"), "frame_id", "left_anti")
     reg = reg.select("frame_id", "group_hash", F.col("h").alias("rh"), F.col("w").alias("rw"), F.col("ch").alias("rch"), "dy", "dx")
-    enough = reg.groupBy("group_hash").agg(F.count("*").alias("frame_count")).where(F.col("frame_count") >= p.min_frames)
-    source = c.tables.get("unregistered", c.tables["tensors"]).join(reg.join(enough, "group_hash", "left_semi"), "frame_id")
+    source = c.tables.get("unregistered", c.tables["tensors"]).join(reg, "frame_id")
     source = source.withColumns({"dy": F.col("dy") * F.col("h") / F.col("rh"), "dx": F.col("dx") * F.col("w") / F.col("rw"), "mosaic": (F.col("ch") == 1) & (F.col("rch") == 3)})
-    px = stack.to_pixels(source, ["group_hash", "dy", "dx", "mosaic"], channels="ch")
+    facts = image.dither(source, "group_hash", "dy", "dx")
+    given = F.lit(p.pixfrac).cast("double") if p.pixfrac is not None else F.col("pixfrac")
+    facts = facts.withColumns({"pixfrac": given, "reason": F.when(F.col("frames") < p.min_frames, "too_few_frames")})
+    source = source.join(facts.where("reason is null").select("group_hash", "pixfrac"), "group_hash")
+    px = stack.to_pixels(source, ["group_hash", "dy", "dx", "mosaic", "pixfrac"], channels="ch")
     # RGGB: red where both coordinates are even, blue where both are odd.
     px = px.withColumn("c", F.when(F.col("mosaic"), F.col("y") % 2 + F.col("x") % 2).otherwise(F.col("c")))
-    out = image.drizzle(px, ["group_hash", "c"], p.scale, F.col("dy") * p.scale, F.col("dx") * p.scale)
-    stats = out.groupBy("group_hash").agg(F.min("weight").alias("weight_min"), F.median("weight").alias("weight_median"))
-    phase = lambda k: F.bround(F.col(k) / 0.5)
-    phases = source.groupBy("group_hash").agg(F.count_distinct(F.struct(phase("dy"), phase("dx"))).alias("phases"))
-    return {"drizzled": out.select("group_hash", F.col("oy").alias("y"), F.col("ox").alias("x"), "c", "value", "weight"), "drizzle_stats": stats.join(phases, "group_hash")}
+    if p.pixfrac is None and p.kernel == "lanczos3" or p.kernel == "point":
+        out = image.drizzle(px, ["group_hash", "c"], p.scale, F.col("dy") * p.scale, F.col("dx") * p.scale)
+    else:
+        out = image.drizzle_footprint(px, ["group_hash", "c"], p.scale, F.col("dy") * p.scale, F.col("dx") * p.scale, F.col("pixfrac"), p.kernel)
+    stats = image.weight_stats(out, "group_hash", "c")
+    return {
+        "drizzled": out.select("group_hash", F.col("oy").alias("y"), F.col("ox").alias("x"), "c", "value", "weight"),
+        "drizzle_stats": stats.join(facts.select("group_hash", "phases"), "group_hash"),
+        "drizzle_groups": facts,
+    }
+
+
+def _groups(c: Context) -> DataFrame:
+    """The groups with what the choice of a reference and the gate look at; unknown facts are null."""
+    reg = c.tables["registrations"].groupBy("group_hash").agg(
+        F.count("*").alias("frames_registered"), F.count(F.when(F.col("status") == "zero_shift", 1)).alias("zero_shift_count"), F.median("corr_hp").alias("corr_hp_median"),
+        *([F.median("points").cast("double").alias("n_cp_median")] if "points" in c.tables["registrations"].columns else []),
+    )
+    g = c.tables["groups"].join(reg, "group_hash", "left")
+    for name, kind in (("n_cp_median", "double"), ("filter", "string"), ("total_exposure", "double")):
+        if name not in g.columns:
+            g = g.withColumn(name, F.lit(None).cast(kind))
+    return g
+
+
+def reference(c: Context) -> DataFrame:
+    """group_hash, method of the reference group by merge.reference: quality, signal, largest or a group's own hash.
+
+    What can't be decided by quality or isn't a group falls back to the largest; ties go to the lesser hash.
+    """
+    if "reference" in c.tables:
+        return c.tables["reference"]
+    how, g = c.params.merge.reference, _groups(c)
+    largest = g.agg(F.max_by("group_hash", F.struct("frame_count", F.expr("transform(split(group_hash, ''), x -> -ascii(x))"))).alias("group_hash"), F.lit("largest").alias("method"))
+    if how == "quality":
+        best = groups.reference_by_quality(g, "group_hash")
+    elif how == "signal":
+        top = c.tables["stacks"].groupBy("group_hash").agg((F.percentile("value", 0.95) - F.median("value")).alias("score"))
+        rated = g.join(top, "group_hash")
+        best = rated.where("frame_count >= 3 and score > 0").agg(F.max_by("group_hash", F.struct("score", "group_hash")).alias("group_hash"), F.lit("signal").alias("method"))
+    else:
+        best = g.where(F.col("group_hash") == how).agg(F.max("group_hash").alias("group_hash"), F.lit("explicit").alias("method"))
+    # One row each.
+    both = best.select(F.struct(F.col("group_hash").isNotNull().alias("ok"), F.col("group_hash"), F.col("method")).alias("r")).unionByName(
+        largest.select(F.struct(F.lit(False).alias("ok"), F.col("group_hash"), F.col("method")).alias("r"))
+    )
+    rank = F.struct(F.col("r.ok"), F.col("r.group_hash").isNotNull())
+    return both.agg(F.max_by("r", rank).alias("r")).select("r.group_hash", "r.method")
 
 
 def cross_register(c: Context) -> dict[str, DataFrame]:
@@ -245,8 +383,8 @@ def cross_register(c: Context) -> dict[str, DataFrame]:
     A rotation is applied only where it beats the plain shift by 0.02 in correlation.
     """
     p = c.params.registration
-    shift = _shift(p.method)
-    ref = groups.reference_largest(c.tables["groups"].withColumn("ord", F.lit(0)), "group_hash")
+    _shift(p.method)
+    ref = reference(c)
     t = stack.to_tensors(c.tables["stacks"], ["group_hash"])
     base = t.join(F.broadcast(ref.select("group_hash")), "group_hash", "left_semi").select(F.col("data").alias("ref"), F.col("h").alias("rh"), F.col("w").alias("rw"))
     rows = t.crossJoin(base)  # one row: the reference picture travels to each group
@@ -254,47 +392,93 @@ def cross_register(c: Context) -> dict[str, DataFrame]:
     def one(img, r, rh, rw):
         a = np.asarray(r, dtype=float)
         if a.size != img.size:
-            return {"data": kernels.flat(img), "dy": None, "dx": None, "rotation_deg": None, "corr_hp": None, "ok": False}
-        a = a.reshape(img.shape)
-        x, y = (v.mean(axis=2) if v.ndim == 3 else v for v in (a, img))
-        hx, hy = x - kernels.gaussian_blur(x, 3.0), y - kernels.gaussian_blur(y, 3.0)
-        dy, dx = shift(hx, hy)
-        if max(abs(dy), abs(dx)) > max(x.shape) / 4:
-            dy = dx = 0.0
-        corr, rot = kernels.pearson(hx, kernels.transform(hy, dy, dx)), 0.0
-        if p.method == "rotation_fft":
-            turn, _ = kernels.rotation_between(hx, hy, p.max_rotation_deg)
-            turned = kernels.pearson(hx, kernels.transform(hy, dy, dx, turn))
-            if turned > corr + 0.02:
-                corr, rot = turned, turn
-        planes = img[:, :, None] if img.ndim == 2 else img
-        out = np.dstack([kernels.transform(planes[:, :, k], dy, dx, rot) for k in range(planes.shape[2])])
-        return {"data": kernels.flat(out), "dy": dy, "dx": dx, "rotation_deg": rot, "corr_hp": corr, "ok": bool(corr >= 0.3)}
-
-    schema = "data array<double>, dy double, dx double, rotation_deg double, corr_hp double, ok boolean"
+            return {"data": kernels.flat(img), "dy": None, "dx": None, "rotation_deg": None, "corr_hp": None, "n_control_points": None, "ok": False}
+        x, y = _mono(a.reshape(img.shape)), _mono(img)
+        m = align(x, y, p)
+        if m["way"] == "shift":
+            hx, hy = (v - kernels.gaussian_blur(v, p.high_pass) for v in (x, y))
+            if max(abs(m["dy"]), abs(m["dx"])) > max(x.shape) / 4:
+                m |= {"dy": 0.0, "dx": 0.0}
+            straight = kernels.pearson(hx, kernels.transform(hy, m["dy"], m["dx"]))
+            turned = kernels.pearson(hx, kernels.transform(hy, m["dy"], m["dx"], m["rotation_deg"])) if m["rotation_deg"] else straight
+            m |= {"corr_hp": turned} if turned > straight + 0.02 else {"corr_hp": straight, "rotation_deg": 0.0}
+        out = {k: m[k] for k in ("dy", "dx", "rotation_deg", "corr_hp")}
+        return out | {"data": kernels.flat(_moved(img, m)), "n_control_points": m["points"], "ok": bool(m["corr_hp"] >= 0.3)}
+
+    schema = "data array<double>, dy double, dx double, rotation_deg double, corr_hp double, n_control_points int, ok boolean"
     done = kernels.per_frame(rows, ["group_hash", "w", "ch"], schema, one, ["ref", "rh", "rw"])
-    return {"stacks": stack.to_pixels(done, ["group_hash"], channels="ch"), "cross_group": done.select("group_hash", "dy", "dx", "rotation_deg", "corr_hp", "ok")}
+    return {"stacks": stack.to_pixels(done, ["group_hash"], channels="ch"), "cross_group": done.drop("data", "w", "ch"), "reference": ref}
 
 
 def merge(c: Context) -> dict[str, DataFrame]:
-    """Reference group and the weighted merge of the groups; those that could not be aligned are left out and in `merge_skipped`."""
-    p = c.params.merge
-    g = c.tables["groups"].join(c.tables["registrations"].groupBy("group_hash").agg(
-        F.count("*").alias("frames_registered"), F.count(F.when(F.col("status") == "zero_shift", 1)).alias("zero_shift_count"), F.median("corr_hp").alias("corr_hp_median")), "group_hash")
-    g = g.withColumn("n_cp_median", F.lit(None).cast("double"))
-    ref = groups.reference_by_quality(g, "group_hash")
-    rows = c.tables["stacks"].join(c.tables["groups"], "group_hash")
+    """The weighted merge of the groups that pass the gate against the reference; the others are in `merge_skipped`.
+
+    merge.weight: frame_count, or total_exposure (frame_count where it is unknown). `merge_stats` has one row:
+    groups merged and skipped, the part of the integration that is lost with the
+    skipped ones, and the merged image's minimum, maximum, mean and median.
+    """
+    p, g, ref = c.params.merge, _groups(c), reference(c)
+    if p.weight not in ("frame_count", "total_exposure"):
+        raise ValueError(f"merge.weight {p.weight!r} is neither frame_count nor total_exposure")
     out = {"reference": ref}
     if "cross_group" in c.tables:
-        failed = c.tables["cross_group"].where(~F.coalesce("ok", F.lit(False)))
-        out["merge_skipped"] = failed.select("group_hash", F.when(F.col("corr_hp").isNull(), "other_size").otherwise("low_corr_hp").alias("reason"))
-        rows = rows.join(failed.select("group_hash"), "group_hash", "left_anti")
-    return out | {"merged": stack.merge(rows, ["y", "x", "c"], "value", "frame_count", p.method)}
+        cross = c.tables["cross_group"]
+        known = {"corr_hp": "double", "corr_roh": "double", "n_control_points": "int", "eqmode_majority": "int", "rotation_deg": "double", "ok": "boolean"}
+        facts = [F.col(n) if n in cross.columns else F.lit(None).cast(t).alias(n) for n, t in known.items()]
+        gated = groups.cross_group_gate(g.join(cross.select("group_hash", *facts), "group_hash", "left"), "group_hash", ref, p.min_correlation)
+        lost = F.when(F.col("corr_hp").isNull(), "other_size").when(~F.coalesce("ok", F.lit(False)), "low_corr_hp")
+        own = F.col("group_hash") == F.col("__ref")
+        judged = gated.crossJoin(F.broadcast(ref.select(F.col("group_hash").alias("__ref"))))  # one row
+        reason = F.when(F.col("skip"), F.col("reasons")).when(~own, lost)
+        skipped = judged.select("group_hash", reason.alias("reason")).where("reason is not null")
+    else:
+        skipped = g.select("group_hash", F.lit(None).cast("string").alias("reason")).where("reason is not null")
+    out["merge_skipped"] = skipped
+    weight = F.coalesce("total_exposure", "frame_count", F.lit(1)) if p.weight == "total_exposure" else F.coalesce("frame_count", F.lit(1))
+    use = g.join(skipped, "group_hash", "left_anti").select("group_hash", weight.cast("double").alias("__w"))
+    merged = stack.merge(c.tables["stacks"].join(use, "group_hash"), ["y", "x", "c"], "value", "__w", p.method)
+    amount = F.coalesce("total_exposure", F.lit(0.0)).alias("e"), F.coalesce("frame_count", F.lit(0)).cast("double").alias("n")
+    parts = g.join(skipped, "group_hash", "left").select(*amount, F.col("reason").isNull().alias("kept"))
+    total = F.when(F.sum("e") > 0, F.sum("e")).otherwise(F.sum("n"))
+    kept = F.when(F.sum("e") > 0, F.sum(F.when(F.col("kept"), F.col("e")))).otherwise(F.sum(F.when(F.col("kept"), F.col("n"))))
+    integration = parts.agg(
+        F.count_if("kept").alias("groups_merged"), F.count_if(~F.col("kept")).alias("groups_skipped"),
+        F.when(total > 0, F.round((1 - F.coalesce(kept, F.lit(0.0)) / total) * 100, 1)).alias("integration_lost_percent"),
+    )
+    figures = merged.agg(*[f("merged").alias(n) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("median", F.median))])
+    return out | {"merged": merged, "merge_stats": integration.crossJoin(figures)}  # one row each
+
+
+def display(c: Context) -> dict[str, DataFrame]:
+    """The merged image as shown: y, x and r, g, b in 0..1; one channel is shown as grey.
+
+    Background neutralised, stretched (asinh, linear or none), green noise
+    suppressed and saturated by the parameters, in this order.
+    """
+    p = c.params.display
+    if p.stretch not in ("asinh", "linear", "none"):
+        raise ValueError(f"display.stretch {p.stretch!r} is none of asinh, linear, none")
+    if "merged" not in c.tables:
+        return {}
+    v = F.col("merged")
+    rgb = c.tables["merged"].groupBy("y", "x").agg(*[F.coalesce(F.max(F.when(F.col("c") == i, v)), F.max(F.when(F.col("c") == 0, v))).alias(n) for i, n in enumerate("rgb")])
+    if p.neutralise:
+        levels = rgb.agg(*[F.median(n).alias(f"__{n}") for n in "rgb"])
+        rgb = rgb.crossJoin(levels).select("y", "x", *[F.greatest(F.col(n) - F.col(f"__{n}"), F.lit(0.0)).alias(n) for n in "rgb"])  # one row
+    top = rgb.agg(*[F.max(n).alias(f"__{n}") for n in "rgb"])
+    rgb = rgb.crossJoin(top)  # one row
+    m = F.greatest(*[F.col(f"__{n}") for n in "rgb"])
+    if p.stretch != "none":
+        shown = {n: F.when(m > 0, F.asinh(F.col(n) * p.a) / F.asinh(m * p.a) if p.stretch == "asinh" else F.col(n) / m).otherwise(0.0) for n in "rgb"}
+        rgb = rgb.select("y", "x", *[F.greatest(e, F.lit(0.0)).alias(n) for n, e in shown.items()])
+    rgb = rgb.withColumn("g", image.scnr_green(F.col("r"), F.col("g"), F.col("b"), p.scnr))
+    s = image.saturate(F.col("r"), F.col("g"), F.col("b"), p.saturation)
+    return {"display": rgb.select("y", "x", s.alias("s")).select("y", "x", "s.r", "s.g", "s.b")}
 
 
 def default_registry() -> Registry:
     r = Registry()
-    for name, f in (("calibrate", calibrate), ("cosmetic", cosmetic), ("debayer", debayer), ("register", register), ("select", select), ("stack", stack_groups), ("gradient", gradient), ("drizzle", drizzle_groups), ("cross_register", cross_register), ("merge", merge)):
+    for name, f in (("calibrate", calibrate), ("cosmetic", cosmetic), ("debayer", debayer), ("register", register), ("select", select), ("stack", stack_groups), ("gradient", gradient), ("drizzle", drizzle_groups), ("cross_register", cross_register), ("merge", merge), ("display", display)):
         r.add(FunctionStep(name, f))
     return r
 
