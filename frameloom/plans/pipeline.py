@@ -341,12 +341,14 @@ def drizzle_groups(c: Context) -> dict[str, DataFrame]:
 
 def _groups(c: Context) -> DataFrame:
     """The groups with what the choice of a reference and the gate look at; unknown facts are null."""
-    reg = c.tables["registrations"].groupBy("group_hash").agg(
-        F.count("*").alias("frames_registered"), F.count(F.when(F.col("status") == "zero_shift", 1)).alias("zero_shift_count"), F.median("corr_hp").alias("corr_hp_median"),
-        *([F.median("points").cast("double").alias("n_cp_median")] if "points" in c.tables["registrations"].columns else []),
-    )
-    g = c.tables["groups"].join(reg, "group_hash", "left")
-    for name, kind in (("n_cp_median", "double"), ("filter", "string"), ("total_exposure", "double")):
+    g = c.tables["groups"]
+    if "registrations" in c.tables:
+        reg = c.tables["registrations"].groupBy("group_hash").agg(
+            F.count("*").alias("frames_registered"), F.count(F.when(F.col("status") == "zero_shift", 1)).alias("zero_shift_count"), F.median("corr_hp").alias("corr_hp_median"),
+            *([F.median("points").cast("double").alias("n_cp_median")] if "points" in c.tables["registrations"].columns else []),
+        )
+        g = g.join(reg, "group_hash", "left")
+    for name, kind in (("frames_registered", "long"), ("zero_shift_count", "long"), ("corr_hp_median", "double"), ("n_cp_median", "double"), ("filter", "string"), ("total_exposure", "double")):
         if name not in g.columns:
             g = g.withColumn(name, F.lit(None).cast(kind))
     return g
@@ -473,7 +475,7 @@ def display(c: Context) -> dict[str, DataFrame]:
         rgb = rgb.select("y", "x", *[F.greatest(e, F.lit(0.0)).alias(n) for n, e in shown.items()])
     rgb = rgb.withColumn("g", image.scnr_green(F.col("r"), F.col("g"), F.col("b"), p.scnr))
     s = image.saturate(F.col("r"), F.col("g"), F.col("b"), p.saturation)
-    return {"display": rgb.select("y", "x", s.alias("s")).select("y", "x", "s.r", "s.g", "s.b")}
+    return {"display": rgb.select("y", "x", s.alias("s")).select("y", "x", *[F.greatest(F.col(f"s.{n}"), F.lit(0.0)).alias(n) for n in "rgb"])}
 
 
 def default_registry() -> Registry:

@@ -105,3 +105,69 @@ def test_labels_and_enhancement_and_kernels():
     assert K.kernel_weight(np.array([0.0, 3.0]), "lanczos3", 1).tolist() == [1.0, 0.0]
     assert K.kernel_weight(np.array([0.0, 9.0]), "tophat", 1).tolist() == [1.0, 0.0]
     assert K.pearson(flat, img[:8, :8]) == 0.0
+
+
+def flood(mask):
+    out, n = np.zeros(mask.shape, int), 0
+    for y, x in zip(*np.nonzero(mask)):
+        if not out[y, x]:
+            n += 1
+            todo = [(y, x)]
+            while todo:
+                a, b = todo.pop()
+                if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and not out[a, b]:
+                    out[a, b] = n
+                    todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    return out
+
+
+def test_regions_equal_a_flood_fill():
+    rnd = np.random.default_rng(4)
+    for h, w, share in ((1, 1, 1), (7, 9, 0.4), (30, 41, 0.3), (30, 41, 0.5), (25, 25, 0.7), (5, 5, 0), (40, 3, 0.6)):
+        mask = rnd.random((h, w)) < share
+        assert (K.label_regions(mask) == flood(mask)).all()
+    spiral = np.zeros((21, 21), bool)
+    for k in range(0, 10, 2):
+        spiral[k, k : 21 - k] = spiral[k : 21 - k, 20 - k] = spiral[20 - k, k : 21 - k] = spiral[k + 2 : 21 - k, k] = True
+    assert (K.label_regions(spiral) == flood(spiral)).all()
+
+
+def test_regions_of_a_large_frame_are_quick():
+    import time
+
+    mask = np.random.default_rng(5).random((540, 960)) < 0.5
+    t = time.perf_counter()
+    K.label_regions(mask)
+    assert time.perf_counter() - t < 1.0  # 0.1 s on an idle machine
+
+
+def test_elongation_needs_ten_stars():
+    img = np.zeros((60, 120))
+    y, x = np.indices(img.shape)
+    for i in range(12):
+        img += 100 * np.exp(-(((y - 10 - 20 * (i // 6)) / 1.3) ** 2) - ((x - 10 - 20 * (i % 6)) / 2.6) ** 2)
+    stars = K.detect_stars(img + np.random.default_rng(6).normal(0, 0.5, img.shape))
+    assert len(stars) >= 12 and K.elongation(img, stars) == 0.6
+    assert K.elongation(img, stars[:9]) is None
+
+
+def test_bad_pixels_take_good_neighbours():
+    img = np.arange(100, dtype=float).reshape(10, 10)
+    bad = np.zeros(img.shape, bool)
+    bad[4, 4] = bad[4, 6] = True
+    img[bad] = 1e6
+    out, values, good = K.fill_bad(img, bad)
+    assert good.tolist() == [7, 7] and out.max() < 100 and (out[~bad] == img[~bad]).all()
+    whole = np.ones((4, 4), bool)
+    assert K.fill_bad(np.full((4, 4), 3.0), whole)[0].tolist() == np.full((4, 4), 3.0).tolist()
+
+
+def test_stars_align_turned_and_shifted_scenes():
+    from frameloom.plans.config import Registration
+    from frameloom.plans.pipeline import align
+
+    img, _ = scene(96, 96, 18, 3)
+    moved = K.transform(img, 3.0, -2.0, 1.2)
+    m = align(img, moved, Registration(method="stars"))
+    back = K.transform(moved, m["dy"], m["dx"], m["rotation_deg"], m["scale"])
+    assert K.pearson(img[12:-12, 12:-12], back[12:-12, 12:-12]) > 0.9

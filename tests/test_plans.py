@@ -185,3 +185,98 @@ def test_streaming_counts_each_frame_once(spark, tmp_path):
     q = ingest.run(ingest.hourly_counts(ingest.delivered(spark, str(tmp_path / "in"), batch.schema)), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert q.exception() is None and spark.read.parquet(str(tmp_path / "out")).columns == ["start", "device_id", "frames", "exposure"]
+
+FRAME = "frame_id string, idx int, frame_type string, exptime double, gain int, object_name string, ccd_temp double, filter_name string"
+TENSOR = "frame_id string, h int, w int, ch int, data array<double>"
+
+
+def flats_of(values):
+    return [float(v) for v in values]
+
+
+def test_darks_reach_filtered_lights_by_tier(spark):
+    """Headerless darks have no filter; exposure, gain and temperature decide."""
+    frames = [("l1", 0, "light", 60.0, 40, "x", -5.0, "Duo-Band"), ("l2", 1, "light", 60.0, 40, "x", -5.0, None), ("l3", 2, "light", 30.0, 40, "x", 20.0, "VIS"), ("l4", 3, "light", 5.0, 80, "x", -5.0, None)]
+    frames += [("d1", 4, "dark", 60.4, 40, None, -4.0, None), ("d2", 5, "dark", 60.0, 80, None, -5.0, None)]
+    data = {"l1": 100, "l2": 100, "l3": 100, "l4": 100, "d1": 10, "d2": 90, "k1": 30}
+    t = spark.createDataFrame([(k, 2, 2, 1, flats_of([v] * 4)) for k, v in data.items()], TENSOR)
+    c = steps.Context({"frames": pipeline.discover(spark.createDataFrame(frames, FRAME)), "tensors": t, "library": spark.createDataFrame([("k1", 30.0, 40, 12.0)], "frame_id string, exptime double, gain int, ccd_temp double")}, config.resolve())
+    out = pipeline.calibrate(c)
+    got = {r.frame_id: (r.dark_mode, r.data[0]) for r in out["images"].collect()}
+    assert got == {"l1": ("full", 90.0), "l2": ("full", 90.0), "l3": ("full", 70.0), "l4": ("none", 100.0)}
+    assert rows(out["dark_tiers"]) == [("30s40_vis", "library_nearest", 1), ("5s80", "none", 0), ("60s40", "local", 1), ("60s40_duo-band", "local", 1)]
+
+
+def test_flats_and_bias(spark):
+    frames = [("l1", 0, "light", 60.0, 40, "x", -5.0, "VIS"), ("l2", 1, "light", 60.0, 40, "x", -5.0, "Red"), ("b", 2, "bias", 0.0, 40, None, None, None)]
+    frames += [(f"f{i}", 3 + i, "flat", 1.0, 40, None, None, "VIS") for i in range(2)] + [("f9", 9, "flat", 1.0, 40, None, None, "Red")]
+    data = {"l1": [110, 60, 110, 110], "l2": [110, 60, 110, 110], "b": [10] * 4, "f0": [20, 10, 20, 20], "f1": [40, 20, 40, 40], "f9": [1, 2, 3, 4]}
+    t = spark.createDataFrame([(k, 2, 2, 1, flats_of(v)) for k, v in data.items()], TENSOR)
+    c = steps.Context({"frames": pipeline.discover(spark.createDataFrame(frames, FRAME)), "tensors": t}, config.resolve({"calibration": {"use_bias": True, "use_flats": True}}))
+    got = {r.frame_id: r.data for r in pipeline.calibrate(c)["images"].collect()}
+    # A filter with one flat has no master.
+    assert got == {"l1": [100.0] * 4, "l2": [100.0, 50.0, 100.0, 100.0]}
+
+
+def test_bad_pixels_where_the_dark_is_normal(spark):
+    frames = [(f"l{i}", i, "light", 60.0, 40, "x", -5.0, None) for i in range(3)] + [("d", 9, "dark", 60.0, 40, None, -5.0, None)]
+    img, dark = np.full((8, 8), 100.0), np.full((8, 8), 10.0)
+    img[2, 2] = img[5, 5] = 900.0
+    dark[5, 5] = 400.0
+    t = spark.createDataFrame([(f"l{i}", 8, 8, 1, img.ravel().tolist()) for i in range(3)] + [("d", 8, 8, 1, dark.ravel().tolist())], TENSOR)
+    c, results = pipeline.process(spark.createDataFrame(frames, FRAME), t, {"steps": ["calibrate", "cosmetic"], "cosmetic": {"enabled": True}})
+    assert all(r.ok for r in results), [r.notes for r in results]
+    assert rows(c.tables["bad_pixels"].select("y", "x", "hits")) == [(2, 2, 3)]
+    assert {r.fixed for r in c.tables["interpolated"].collect()} == {1}
+    got = np.array(c.tables["images"].first().data).reshape(8, 8)
+    assert got[2, 2] == 90.0 and got[5, 5] == 500.0
+
+
+def gate_tables(spark, cross, exposure=None):
+    groups = [("a", 9, exposure and exposure[0]), ("b", 5, exposure and exposure[1]), ("d", 4, exposure and exposure[2])]
+    return {
+        "stacks": spark.createDataFrame([(g, 0, 0, 0, 1, v) for g, v in (("a", 1.0), ("b", 4.0), ("d", 70.0))], "group_hash string, y int, x int, c int, n long, value double"),
+        "groups": spark.createDataFrame(groups, "group_hash string, frame_count long, total_exposure double"),
+        "registrations": spark.createDataFrame([(g, "ok", q) for g, q in (("a", 0.9), ("b", 0.8), ("d", 0.7)) for _ in range(3)], "group_hash string, status string, corr_hp double"),
+        "cross_group": spark.createDataFrame(cross, "group_hash string, corr_hp double, rotation_deg double, n_control_points int, ok boolean"),
+    }
+
+
+def test_the_merge_heeds_gate_weight_and_reference(spark):
+    cross = [("a", 1.0, 0.0, None, True), ("b", 0.5, 0.0, 40, True), ("d", 0.4, 0.0, 12, True)]
+    tables = gate_tables(spark, cross, (90.0, 10.0, 100.0))
+    out = pipeline.merge(steps.Context(dict(tables), config.resolve({"merge": {"weight": "total_exposure"}})))
+    assert rows(out["merge_skipped"]) == [("d", "few_control_points")]
+    assert [round(r.merged, 9) for r in out["merged"].collect()] == [round((90 * 1 + 10 * 4) / 100, 9)]
+    s = out["merge_stats"].first()
+    assert (s.groups_merged, s.groups_skipped, s.integration_lost_percent, s.min, s.max) == (2, 1, 50.0, 1.3, 1.3)
+    out = pipeline.merge(steps.Context(dict(tables), config.resolve({"merge": {"min_correlation": 0.6, "reference": "b"}})))
+    assert rows(out["reference"]) == [("b", "explicit")] and [r[0] for r in rows(out["merge_skipped"])] == ["d"]
+    for how, want in (("quality", ("a", "quality")), ("largest", ("a", "largest")), ("no such group", ("a", "largest")), ("signal", ("a", "largest"))):
+        assert rows(pipeline.reference(steps.Context(dict(tables), config.resolve({"merge": {"reference": how}})))) == [want]
+
+
+def test_display_and_other_debayering(spark):
+    f, t, _ = observation(spark)
+    p = {"steps": ["debayer", "stack", "merge", "display"], "debayer": {"method": "bilinear"}, "stacking": {"method": "average", "normalise": "none"}}
+    c, results = pipeline.process(f, t, p)
+    tables = dict(c.tables)
+    assert results[0].ok and results[1].ok
+    c = steps.Context(tables | {"merged": tables["stacks"].groupBy("y", "x", "c").agg(F.avg("value").alias("merged"))}, config.resolve({"display": {"saturation": 1.2}}))
+    shown = pipeline.display(c)["display"]
+    assert shown.count() == 32 * 32 and shown.where("least(r, g, b) < 0 or greatest(r, g, b) > 1.000001").count() == 0
+    with pytest.raises(ValueError):
+        pipeline.debayer(steps.Context(tables, config.resolve({"debayer": {"method": "other"}})))
+
+
+def test_drizzle_drops(spark):
+    """A drop of pixfrac times a pixel covers the cells within half of it; weights sum up, values are kept."""
+    from frameloom.operators import image
+
+    px = spark.createDataFrame([("g", y, x, 7.0) for y in range(4) for x in range(4)], "g string, y int, x int, value double")
+    for kernel in ("tophat", "gaussian", "lanczos3"):
+        out = image.drizzle_footprint(px, ["g"], 2.0, F.lit(0.3), F.lit(-0.2), F.lit(1.0), kernel).collect()
+        assert all(abs(r.value - 7.0) < 1e-9 and r.weight > 0 for r in out)
+    assert {(r.oy, r.ox): r.weight for r in image.drizzle_footprint(px, ["g"], 2.0, F.lit(0.0), F.lit(0.0), F.lit(0.5), "tophat").collect()} == {(2 * y, 2 * x): 1.0 for y in range(4) for x in range(4)}
+    d = spark.createDataFrame([("g", float(i % 5), 0.0) for i in range(12)], "g string, dy double, dx double")
+    assert rows(image.dither(d, "g", "dy", "dx")) == [("g", 12, 5, 0.7)]
