@@ -145,9 +145,13 @@ class Encoder:
         parts = {c: _PLAIN.findall(c) if _IS_PLAIN(c) else [c] for c in new}
         todo = list(set().union(*parts.values()).difference(self.parts))
         fresh = dict(zip(todo, self._library(todo)))
-        known = self.parts
-        found = {c: b"".join([fresh[p] if p in fresh else known[p] for p in ps]) for c, ps in parts.items()}
-        self._keep(self.parts, {p: b for p, b in fresh.items() if p not in found})
+        self._keep(self.parts, fresh)
+        get, found = self.parts.__getitem__, {}
+        for c, ps in parts.items():
+            try:
+                found[c] = b"".join(map(get, ps))
+            except KeyError:  # with long pre-tokens
+                found[c] = b"".join([fresh[p] if p in fresh else get(p) for p in ps])
         self._keep(self.seen, found)
         return found
 
@@ -156,8 +160,13 @@ class Encoder:
         if not self.chunked:
             return list(self._library([t or "" for t in texts]))
         split = [chunks_of(t) if t else [] for t in texts]
-        found, seen = self._learn(split), self.seen
-        return [b"".join([seen[c] if c in seen else found[c] for c in s]) for s in split]
+        found, get, out = self._learn(split), self.seen.__getitem__, []
+        for s in split:
+            try:
+                out.append(b"".join(map(get, s)))
+            except KeyError:  # with long chunks
+                out.append(b"".join([found[c] if c in found else get(c) for c in s]))
+        return out
 
     def count(self, texts: list[str | None]) -> list[int]:
         """Number of ids of each text."""
