@@ -110,22 +110,31 @@ def resolve_name(names: DataFrame, name: str, asked: DataFrame, most: int = 3) -
     """asked, match, candidates: exact name, else the only one with that prefix (case doesn't count), else null.
 
     candidates lists up to `most` close names by edit distance where there is no
-    match. asked (column `asked`) holds names typed by a person: over 1,000 of
-    them are refused, so that they may be sent to the names, however many those
-    are. Counts asked (an action).
+    match. Prefixes of names are join keys. Only for the names asked in vain
+    is every name compared, by the asked names sent along with each batch; the best
+    few are kept while aggregating, so no list of all names of an asked one is ever held.
     """
-    if asked.count() > 1000:
-        raise ValueError("more than 1,000 names were asked for")
     n = names.select(F.col(name).alias("n")).where("n is not null").distinct()
     q = asked.select("asked").where("asked is not null").distinct()
-    start = lambda c: F.lower(F.substring(F.col(c), 1, 1)).alias("__s")
-    pairs = n.select("n", start("n")).join(F.broadcast(q.select("asked", start("asked"))), "__s").where(F.lower("n").startswith(F.lower("asked")))
+    lengths = q.agg(F.array_sort(F.collect_set(F.length("asked"))).alias("__l"))
+    starts = n.crossJoin(lengths).select("n", F.explode(F.coalesce("__l", F.array().cast("array<int>"))).alias("__k")).where(F.length("n") >= F.col("__k"))  # one row
+    starts = starts.select("n", F.lower(F.substring(F.col("n"), F.lit(1), F.col("__k"))).alias("__p"))
+    pairs = q.select("asked", F.lower("asked").alias("__p")).join(starts, "__p")
     hit = pairs.groupBy("asked").agg(F.count("n").alias("k"), F.max("n").alias("only"), F.max(F.when(F.lower("n") == F.lower("asked"), F.col("n"))).alias("exact"))
     match = F.coalesce("exact", F.when(F.col("k") == 1, F.col("only")))
     found = q.join(hit, "asked", "left").select("asked", match.alias("match"))
     lost = found.where("match is null").select("asked")
-    d = F.levenshtein(F.lower("n"), F.lower("asked"))
-    near = n.crossJoin(F.broadcast(lost)).select("asked", "n", d.alias("d"))
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy("d", "n"))).where(F.col("r") <= most)
-    listed = best.groupBy("asked").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "n"))), lambda s: s["n"]), ",").alias("candidates"))
+    # A stated query set against all names, in blocks.
+    blocks = lost.select("asked", F.pmod(F.xxhash64("asked"), F.lit(ASKED_BLOCKS)).alias("__b")).groupBy("__b").agg(F.collect_list("asked").alias("__q"))
+    spread = n.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(ASKED_BLOCKS - 1)))).withColumn("__salt", F.pmod(F.xxhash64("n"), F.lit(64)))
+    salted = blocks.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    near = spread.join(salted, ["__b", "__salt"]).select("__salt", "n", F.explode("__q").alias("asked"))
+    scored = near.select("asked", "__salt", F.struct(F.levenshtein(F.lower("n"), F.lower("asked")).alias("d"), F.col("n").alias("n")).alias("c"))
+    best = F.slice(F.array_sort(F.collect_list("c")), 1, most)
+    part = scored.groupBy("asked", "__salt", F.pmod(F.xxhash64("c.n"), F.lit(4096)).alias("__p")).agg(best.alias("c")).groupBy("asked", "__salt").agg(F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, most).alias("c"))
+    listed = part.groupBy("asked").agg(F.array_join(F.transform(F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, most), lambda s: s["n"]), ",").alias("candidates"))
     return found.join(listed, "asked", "left")
+
+
+#: Parts that the names asked in vain are split into.
+ASKED_BLOCKS = 4

@@ -9,31 +9,6 @@ from ..functions import robust
 from . import kernels
 
 
-def display_stretch(px: DataFrame, frame: list[str], value: str = "value", a: float = 0.01) -> DataFrame:
-    """px with `asinh` (the maximum stays) and `linear` (maximum 1), both 0 for a frame without signal."""
-    mx = F.max(value).over(Window.partitionBy(*frame))
-    v = F.col(value)
-    asinh = F.when(mx > 0, F.asinh(v * a) / F.asinh(mx * a) * mx).otherwise(0.0)
-    return px.withColumns({"asinh": F.greatest(asinh, F.lit(0.0)), "linear": F.when(mx > 0, F.greatest(v / mx, F.lit(0.0))).otherwise(0.0)})
-
-
-def auto_stretch(px: DataFrame, frame: list[str], value: str = "value", k: float = 3.0) -> DataFrame:
-    """px with value stretched by the frame's noise: median off, over k sigma, asinh, maximum 1."""
-    w = Window.partitionBy(*frame)
-    m = px.withColumn("__m", F.median(value).over(w))
-    s = m.withColumn("__s", F.median(F.abs(F.col(value) - F.col("__m"))).over(w) * robust.MAD_SCALE)
-    scale = F.greatest(F.when(F.col("__s") > 0, F.col("__s")).otherwise(1.0) * k, F.lit(1e-10))
-    s = s.withColumn("__a", F.asinh(F.greatest(F.col(value) - F.col("__m"), F.lit(0.0)) / scale))
-    top = F.max("__a").over(w)
-    return s.withColumn(value, F.when(top > 0, F.col("__a") / top).otherwise(F.col("__a"))).drop("__m", "__s", "__a")
-
-
-def neutralise(rgb: DataFrame, frame: list[str]) -> DataFrame:
-    """r, g, b less their median, not below 0."""
-    w = Window.partitionBy(*frame)
-    return rgb.withColumns({c: F.greatest(F.col(c) - F.median(c).over(w), F.lit(0.0)) for c in "rgb"})
-
-
 def scnr_green(r: Column, g: Column, b: Column, amount: float = 0.5) -> Column:
     return g - amount * F.greatest(F.lit(0.0), g - F.greatest(r, b))
 
@@ -120,7 +95,8 @@ def shift_pixels(px: DataFrame, frame: list[str], dy: int, dx: int, h: int, w: i
 def best_flip(px: DataFrame, ref: DataFrame, frame: str, group: str, h: int, w: int, value: str = "value") -> DataFrame:
     """frame, flip, ncc, gap: the flip of the frame that correlates best with the reference (group, y, x, ref).
 
-    gap is the lead over the second best. All flips are tried in one join, as
+    gap is the lead over the second best. For frames that exist as pixels only;
+    tensors.best_flip needs no shuffle of pixels. All flips are tried in one join, as
     five places per pixel.
     """
     y, x = F.col("y"), F.col("x")
@@ -133,12 +109,6 @@ def best_flip(px: DataFrame, ref: DataFrame, frame: str, group: str, h: int, w:
     return top.where("__n = 1").select(frame, "flip", "ncc", "gap")
 
 
-def bright_centroid(px: DataFrame, frame: list[str], quantile: float, value: str = "value") -> DataFrame:
-    """frame, n, cy, cx of the pixels at or over the frame's quantile."""
-    q = F.percentile(value, quantile).over(Window.partitionBy(*frame))
-    return px.withColumn("__q", q).where(F.col(value) >= F.col("__q")).groupBy(*frame).agg(F.count("*").alias("n"), F.avg("y").alias("cy"), F.avg("x").alias("cx"))
-
-
 def cell_medians(px: DataFrame, frame: list[str], cell_h: int, cell_w: int, value: str = "value") -> DataFrame:
     """frame, cell_y, cell_x, n, value."""
     cell = lambda c, n: F.floor(F.col(c) / n).cast("int")

@@ -20,17 +20,6 @@ DEFAULT_METRICS = ("snr", "star_count", "fwhm_median", "elongation_ratio")
 THRESHOLD_ORDER = {"star_count": "star_count", "fwhm": "fwhm_median", "snr": "snr", "correlation": "correlation", "double_rate": "double_rate"}
 
 
-def frame_stats(pixels: DataFrame, frame: str, value: str = "value") -> DataFrame:
-    """Per frame: median, sigma (scaled MAD), signal (p95 - median), snr (0 without noise or signal)."""
-    v = finite(F.col(value))
-    w = Window.partitionBy(frame)
-    centred = pixels.select(frame, v.alias("v"), F.median(v).over(w).alias("m"))
-    stats = centred.groupBy(frame).agg(
-        F.max("m").alias("median"), (F.median(F.abs(F.col("v") - F.col("m"))) * MAD_SCALE).alias("sigma"), (F.percentile("v", 0.95) - F.max("m")).alias("signal")
-    )
-    return stats.withColumn("snr", F.when(F.col("sigma") > 1e-12, F.greatest(F.col("signal") / F.col("sigma"), F.lit(0.0))).otherwise(0.0))
-
-
 def mad_outliers(df: DataFrame, group: str, metrics: list[str], k: float = 3.0) -> DataFrame:
     """df with `outlier` and `outlier_reason`: |v - median| > k sigma within the group.
 

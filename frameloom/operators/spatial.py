@@ -58,16 +58,35 @@ def nearest_on_sky(stars: DataFrame, catalog: DataFrame, star: str, entry: str,
     """star, entry, chord: the nearest catalogue entry within a radius (chord on the unit sphere).
 
     Both sides have `ra` and `dec` in degrees. Zones of declination as high as
-    the radius are joined with their neighbours, so neither right ascension's
-    wrap-around nor the poles need care. Ties go to the lesser entry. Stars
-    without an entry near are left out; null positions match nothing.
+    the radius are cut into cells of right ascension at least as wide as the radius is in that zone,
+    which are joined with their neighbours across the wrap-around; zones that reach a pole
+    are one cell. So candidates grow with the density on the sky and not with a
+    whole ring. Ties go to the lesser entry. Stars without an entry near are left
+    out; null positions match nothing.
     """
     far = 2.0 * F.sin(F.radians(F.lit(radius_deg)) / 2.0)
     height = max(radius_deg * 1.001, 1e-9)
-    s = stars.select(star, *[v.alias(f"__s{i}") for i, v in enumerate(unit_vector(F.col("ra"), F.col("dec")))], _neighbours(F.col("dec"), height).alias("__z"))
-    c = catalog.select(entry, *[v.alias(f"__c{i}") for i, v in enumerate(unit_vector(F.col("ra"), F.col("dec")))], F.floor(F.col("dec") / height).alias("__z"))
+
+    def cells(zone: Column) -> Column:
+        """Number of cells around a zone: the widest difference in right ascension of a circle about its narrowest parallel."""
+        top = F.least(F.greatest(F.abs(zone * height), F.abs((zone + 1) * height)), F.lit(90.0))
+        part = F.sin(F.radians(F.lit(min(height, 90.0)))) / F.greatest(F.cos(F.radians(top)), F.lit(1e-12))
+        wide = F.degrees(F.asin(F.least(part, F.lit(1.0)))) * 1.001
+        return F.when(part >= 1.0, 1).otherwise(F.greatest(F.floor(360.0 / wide), F.lit(1))).cast("long")
+
+    def cell(ra: Column, n: Column) -> Column:
+        turn = ra / 360.0
+        return F.least(F.floor((turn - F.floor(turn)) * n), n - 1).cast("long")
+
+    s = stars.select(star, "ra", *[v.alias(f"__s{i}") for i, v in enumerate(unit_vector(F.col("ra"), F.col("dec")))], _neighbours(F.col("dec"), height).alias("__z"))
+    s = s.withColumn("__n", cells(F.col("__z")))
+    at = cell(F.col("ra"), F.col("__n"))
+    around = F.array_distinct(F.transform(F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)]), lambda k: F.pmod(at + k, F.col("__n"))))
+    s = s.withColumn("__a", F.explode(around)).drop("ra", "__n")
+    c = catalog.select(entry, "ra", *[v.alias(f"__c{i}") for i, v in enumerate(unit_vector(F.col("ra"), F.col("dec")))], F.floor(F.col("dec") / height).alias("__z"))
+    c = c.withColumn("__a", cell(F.col("ra"), cells(F.col("__z")))).drop("ra")
     chord = F.sqrt(sum((F.pow(F.col(f"__s{i}") - F.col(f"__c{i}"), F.lit(2.0)) for i in range(3)), F.lit(0.0)))
-    near = s.join(c, "__z").select(star, entry, chord.alias("chord")).where(F.col("chord") <= far)
+    near = s.join(c, ["__z", "__a"]).select(star, entry, chord.alias("chord")).where(F.col("chord") <= far)
     return near.groupBy(star).agg(F.min(F.struct("chord", entry)).alias("__n")).select(star, F.col(f"__n.{entry}").alias(entry), F.col("__n.chord").alias("chord"))
 
 
@@ -104,17 +123,18 @@ def double_rate(stars: DataFrame, frame: str, radius: float = 5.0, min_stars: in
 def profile_match(items: DataFrame, key: str, text: str, profiles: DataFrame) -> DataFrame:
     """key, profile: exact beats substring, longer beats shorter, first beats later; else `default`.
 
-    profiles has name, pattern and ord. It is a configuration table: over 10,000
-    rows are refused (counted, an action), so that it may be broadcast. The
-    distinct texts are matched against it, not the items.
+    profiles has name, pattern and ord. The distinct texts are matched against
+    it, not the items: every part of a text that is as long as some pattern is
+    an equi-join key, so neither side is multiplied by the other.
     """
-    if profiles.count() > 10_000:
-        raise ValueError("more than 10,000 profiles")
-    texts = items.select(F.lower(text).alias("__t")).distinct()
-    p = profiles.select("name", F.lower("pattern").alias("pattern"), "ord")
+    texts = items.select(F.lower(text).alias("__t")).where("__t is not null").distinct()
+    p = profiles.select("name", F.lower("pattern").alias("pattern"), "ord").where("pattern <> ''")
+    # Lengths of patterns: few, whatever the number of profiles.
+    lengths = p.agg(F.array_sort(F.collect_set(F.length("pattern"))).alias("__l"))
+    parts = texts.crossJoin(lengths).select("__t", F.explode(F.coalesce("__l", F.array().cast("array<int>"))).alias("__k")).where(F.length("__t") >= F.col("__k"))  # one row
+    parts = parts.select("__t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__t") - F.col("__k") + 1), lambda i: F.substring(F.col("__t"), i, F.col("__k"))))).alias("pattern"))
     rank = F.struct((F.col("__t") == F.col("pattern")).alias("exact"), F.length("pattern").alias("len"), (-F.col("ord")).alias("o"))
-    hits = texts.join(F.broadcast(p), F.col("__t").contains(F.col("pattern")) & (F.col("pattern") != ""))
-    best = hits.groupBy("__t").agg(F.max_by("name", rank).alias("profile"))
+    best = parts.join(p, "pattern").groupBy("__t").agg(F.max_by("name", rank).alias("profile"))
     return items.select(key, F.lower(text).alias("__t")).join(best, "__t", "left").select(key, F.coalesce("profile", F.lit("default")).alias("profile"))
 
 

@@ -107,37 +107,3 @@ def merge(stacks: DataFrame, at: list[str], value: str, weight: str | None = Non
         total = F.sum(w)
         m = F.when(total > 0, F.sum(v * w) / F.when(total > 0, total)).otherwise(F.avg(v))
     return stacks.groupBy(*at).agg(F.count(v).alias("groups"), F.greatest(m, F.lit(0.0)).alias("merged"))
-
-
-def calibrate(
-    lights: DataFrame,
-    darks: DataFrame,
-    frame: str,
-    group: str,
-    at: list[str],
-    value: str = "value",
-    flat: str | None = None,
-    bias: str | None = None,
-) -> DataFrame:
-    """Calibrated pixels: frame, group, at, value, `dark_mode`.
-
-    darks has group, at and `dark`. Where the master dark's median lies more than
-    max(5, 4 % of the light's) above the light's median, only the dark's
-    structure is subtracted (`offset_rescue`), else all of it (`full`); groups
-    without a dark stay as they are (`none`). flat and bias name columns of
-    `lights`; results are never below 0.
-    """
-    wd = Window.partitionBy(group)
-    dark = darks.select(group, *at, F.col("dark").cast("double").alias("__d"), F.median("dark").over(wd).alias("__dm"))
-    raw = F.col(value).cast("double") - (F.col(bias) if bias else F.lit(0.0))
-    rows = lights.select(frame, group, *at, raw.alias("__v"), *([F.col(flat).alias("__f")] if flat else []))
-    rows = rows.withColumn("__lm", F.median("__v").over(Window.partitionBy(frame)))
-    j = rows.join(dark, [group, *at], "left")
-    rescue = (F.col("__dm") - F.col("__lm")) > F.greatest(F.lit(5.0), 0.04 * F.abs("__lm"))
-    out = F.when(F.col("__d").isNull(), F.col("__v")).when(rescue, F.col("__v") - (F.col("__d") - F.col("__dm"))).otherwise(F.col("__v") - F.col("__d"))
-    if flat:
-        out = F.coalesce(F.try_divide(out, F.col("__f")), out)
-    mode = F.when(F.col("__d").isNull(), "none").when(rescue, "offset_rescue").otherwise("full")
-    return j.select(frame, group, *at, F.greatest(out, F.lit(0.0)).alias("value"), mode.alias("dark_mode"))
-
-

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import robust
-from ..operators import image, kernels, stack
+from ..operators import calibration, image, kernels, stack
+from ..operators import tensors as T
 from ..session import read_table
 from .catalog import query
 
@@ -32,9 +33,7 @@ def tensors(spark: SparkSession, d: str) -> DataFrame:
 SELECT vec_id, round(median, 6) AS median, round(sigma, 6) AS sigma, round(signal, 6) AS signal, round(CASE WHEN sigma > 1e-12 THEN greatest(signal / sigma, 0) ELSE 0 END, 6) AS snr FROM s""")
 def frame_stats(spark: SparkSession, d: str) -> DataFrame:
     """Median, noise, signal and signal-to-noise of each frame."""
-    from ..operators.selection import frame_stats as stats
-
-    s = stats(pixels(spark, d), "vec_id")
+    s = T.frame_stats(tensors(spark, d), "vec_id")
     return s.select("vec_id", *[R6(c).alias(c) for c in ("median", "sigma", "signal", "snr")])
 
 
@@ -93,7 +92,8 @@ def stack_weighted_literal(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PX}, k AS (SELECT *, v - median(v) OVER (PARTITION BY vec_id) AS u FROM px) SELECT label, y, x, count(u) AS n, round(avg(u), 6) AS stacked FROM k GROUP BY ALL")
 def stack_normalised(spark: SparkSession, d: str) -> DataFrame:
     """Average of frames whose median was subtracted."""
-    out = stack.stack(stack.normalise(pixels(spark, d), ["vec_id"], "add"), AT)
+    even = T.normalise(tensors(spark, d), ["vec_id", "label"], "add")
+    out = stack.stack(stack.to_pixels(even, ["label"]), AT)
     return out.select(*AT, "n", R6("stacked").alias("stacked"))
 
 
@@ -147,11 +147,16 @@ SELECT vec_id, l.label, l.y, l.x, round(greatest(CASE WHEN dark IS NULL THEN v W
  CASE WHEN dark IS NULL THEN 'none' WHEN dm - lm > greatest(5.0, 0.04 * abs(lm)) THEN 'offset_rescue' ELSE 'full' END AS dark_mode FROM l LEFT JOIN dm ON l.label = dm.label AND l.y = dm.y AND l.x = dm.x""")
 def calibrate_pixels(spark: SparkSession, d: str) -> DataFrame:
     """Frames less their group's master dark; only its structure where the dark is too bright."""
-    px = pixels(spark, d)
-    lights = px.withColumn("value", F.col("value") * 100 + F.when(F.col("label") % 2 == 0, 0).otherwise(-40))
-    darks = stack.stack(px.where("label <> 3"), AT, "median").select(*AT, (F.col("stacked") * 50 + 3).alias("dark"))
-    out = stack.calibrate(lights, darks, "vec_id", "label", ["y", "x"])
-    return out.select("vec_id", *AT, F.round("value", 5).alias("value"), "dark_mode")
+    offset = F.when(F.col("label") % 2 == 0, 0.0).otherwise(-40.0)
+    lights = tensors(spark, d).withColumn("data", F.transform("data", lambda v: v.cast("double") * 100 + offset))
+    darks = stack.stack(pixels(spark, d).where("label <> 3"), AT, "median").withColumn("value", F.col("stacked") * 50 + 3).withColumn("c", F.lit(0))
+    cell = F.struct("y", "x", "value")
+    master = darks.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(cell)), lambda p: p["value"]).alias("dark"))
+    none = F.lit(None).cast("array<double>")
+    rows = lights.join(master, "label", "left").withColumns({"flat": none, "bias": none})
+    out = calibration.apply(rows, ["vec_id", "label", "h", "w", "ch"])
+    px = stack.to_pixels(out, ["vec_id", "label", "dark_mode"])
+    return px.select("vec_id", *AT, F.round("value", 5).alias("value"), "dark_mode")
 
 
 # The planes of a colour image: px % 3 as channel.
@@ -171,9 +176,11 @@ def colours(spark: SparkSession, d: str) -> DataFrame:
 SELECT vec_id, y, x, round(greatest(CASE WHEN mx > 0 THEN asinh(abs(v) * 0.01) / asinh(mx * 0.01) * mx ELSE 0 END, 0), 6) AS asinh_value, round(CASE WHEN mx > 0 THEN abs(v) / mx ELSE 0 END, 6) AS linear_value FROM m""")
 def asinh_display(spark: SparkSession, d: str) -> DataFrame:
     """Display stretch with the frame's maximum kept, and linear."""
-    px = pixels(spark, d).withColumn("value", F.abs("value"))
-    out = image.display_stretch(px, ["vec_id"], "value", 0.01)
-    return out.select("vec_id", "y", "x", R6("asinh").alias("asinh_value"), R6("linear").alias("linear_value"))
+    shown = tensors(spark, d).withColumn("data", F.transform("data", lambda v: F.abs(v.cast("double"))))
+    asinh = T.stretch(shown, ["vec_id"], "asinh", 0.01)
+    both = T.stretch(shown, ["vec_id"], "linear").withColumnRenamed("data", "linear").join(asinh.select("vec_id", F.col("data").alias("asinh")), "vec_id")
+    cells = both.select("vec_id", "w", F.posexplode(F.arrays_zip("asinh", "linear")).alias("i", "v"))
+    return cells.select("vec_id", F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), (F.col("i") % F.col("w")).cast("int").alias("x"), R6("v.asinh").alias("asinh_value"), R6("v.linear").alias("linear_value"))
 
 
 @query(f"""WITH {PX}, m AS (SELECT *, median(v) OVER w AS m FROM px WINDOW w AS (PARTITION BY vec_id)), s AS (SELECT *, 1.4826 * median(abs(v - m)) OVER (PARTITION BY vec_id) AS mad FROM m),
@@ -181,7 +188,7 @@ def asinh_display(spark: SparkSession, d: str) -> DataFrame:
 SELECT vec_id, y, x, round(CASE WHEN max(a) OVER (PARTITION BY vec_id) > 0 THEN a / max(a) OVER (PARTITION BY vec_id) ELSE a END, 6) AS value FROM a""")
 def asinh_auto(spark: SparkSession, d: str) -> DataFrame:
     """Display stretch scaled by the frame's own noise."""
-    out = image.auto_stretch(pixels(spark, d), ["vec_id"], "value", 3.0)
+    out = stack.to_pixels(T.stretch(tensors(spark, d), ["vec_id"], "auto", k=3.0), ["vec_id"])
     return out.select("vec_id", "y", "x", R6("value").alias("value"))
 
 
@@ -189,7 +196,10 @@ def asinh_auto(spark: SparkSession, d: str) -> DataFrame:
 SELECT vec_id, p, round(greatest(r - mr, 0), 6) AS r, round(greatest(g - mg, 0), 6) AS g, round(greatest(b - mb, 0), 6) AS b FROM m""")
 def background_neutral(spark: SparkSession, d: str) -> DataFrame:
     """Channels less their median."""
-    out = image.neutralise(colours(spark, d), ["vec_id"])
+    # The first 63 values as a row of 21 colour pixels.
+    rgb = read_table(spark, d, "embeddings").select("vec_id", F.lit(1).alias("h"), F.lit(21).alias("w"), F.lit(3).alias("ch"), F.transform(F.slice("embedding", 1, 63), lambda v: F.abs(v.cast("double"))).alias("data"))
+    px = stack.to_pixels(T.neutralise(rgb, ["vec_id"]), ["vec_id"], channels="ch")
+    out = px.groupBy("vec_id", F.col("x").alias("p")).agg(*[F.max(F.when(F.col("c") == i, F.col("value"))).alias(n) for i, n in enumerate("rgb")])
     return out.select("vec_id", "p", *[R6(c).alias(c) for c in "rgb"])
 
 
@@ -291,16 +301,16 @@ def _flip_sql() -> str:
 @query(_flip_sql())
 def flip_ncc(spark: SparkSession, d: str) -> DataFrame:
     """The flip under which a frame fits its group's mean best, and how clearly."""
-    px = pixels(spark, d)
-    ref = px.groupBy("label", "y", "x").agg(F.avg("value").alias("ref"))
-    out = image.best_flip(px, ref, "vec_id", "label", 8, 8)
+    mean = pixels(spark, d).groupBy(*AT).agg(F.avg("value").alias("value"))
+    ref = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "value"))), lambda p: p["value"]).alias("ref"))
+    out = T.best_flip(T.with_reference(tensors(spark, d), ref, "label", "vec_id"), "vec_id")
     return out.select("vec_id", "flip", R6("ncc").alias("ncc"), R6("gap").alias("gap"))
 
 
 @query(f"""WITH {PX}, q AS (SELECT vec_id, quantile_cont(v, 0.9) AS q FROM px GROUP BY vec_id) SELECT vec_id, count(*) AS n, round(avg(y), 6) AS cy, round(avg(x), 6) AS cx FROM px JOIN q USING (vec_id) WHERE v >= q GROUP BY vec_id""")
 def centroid(spark: SparkSession, d: str) -> DataFrame:
     """Centre of the brightest tenth of the pixels."""
-    out = image.bright_centroid(pixels(spark, d), ["vec_id"], 0.9)
+    out = T.bright_centroid(tensors(spark, d), "vec_id", 0.9)
     return out.select("vec_id", "n", R6("cy").alias("cy"), R6("cx").alias("cx"))
 
 
@@ -373,7 +383,7 @@ def select_and_stack(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import selection
 
     px = pixels(spark, d)
-    stats = selection.frame_stats(px, "vec_id").join(read_table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    stats = T.frame_stats(tensors(spark, d), "vec_id").join(read_table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
     scored = stats.withColumn("score", F.round("snr", 9))
     kept = selection.percentile_keep(scored, "label", "score", "vec_id").where("keep").select("vec_id")
     out = stack.stack(px.join(kept, "vec_id", "left_semi"), AT, "median")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import calibration, groups, image, kernels, selection, stack
+from ..operators import calibration, groups, image, kernels, selection, stack, tensors
 from .config import Params, resolve
 from .steps import Context, FunctionStep, Registry, Result, run_steps
 
@@ -69,27 +69,27 @@ def calibrate(c: Context) -> dict[str, DataFrame]:
     group without a dark gets none of another group. The bias is the mean of all bias
     frames, flats are averaged per filter and applied to lights of that filter.
     """
-    p, frames, tensors = c.params.calibration, c.tables["frames"], c.tables["tensors"]
+    p, frames, images = c.params.calibration, c.tables["frames"], c.tables["tensors"]
     size = ["h", "w", "ch"]
-    rows = tensors.join(frames.where("frame_type = 'light'").select("frame_id", "group_hash", F.coalesce("filter_name", F.lit("")).alias("__f")), "frame_id")
+    rows = images.join(frames.where("frame_type = 'light'").select("frame_id", "group_hash", F.coalesce("filter_name", F.lit("")).alias("__f")), "frame_id")
     out = {}
     none = F.lit(None).cast("array<double>")
     if p.use_darks:
         tiers = dark_tiers(c)
-        of = tensors.join(tiers.where("dark_id is not null").select(F.col("dark_id").alias("frame_id"), "group_hash"), "frame_id")
+        of = images.join(tiers.where("dark_id is not null").select(F.col("dark_id").alias("frame_id"), "group_hash"), "frame_id")
         rows = rows.join(calibration.master(of, ["group_hash"]).withColumnRenamed("data", "dark"), ["group_hash", *size], "left")
         out["dark_tiers"] = tiers.groupBy("group_hash", "tier").agg(F.count("dark_id").alias("darks"))
     else:
         rows = rows.withColumn("dark", none)
     if p.use_bias:
-        of = tensors.join(frames.where("frame_type = 'bias'").select("frame_id"), "frame_id")
+        of = images.join(frames.where("frame_type = 'bias'").select("frame_id"), "frame_id")
         rows = rows.join(calibration.master(of, [], "average").withColumnRenamed("data", "bias"), size, "left")
     else:
         rows = rows.withColumn("bias", none)
     if p.use_flats:
         flats = frames.where("frame_type = 'flat'").select("frame_id", F.coalesce("filter_name", F.lit("")).alias("__f"))
         enough = flats.groupBy("__f").agg(F.count("*").alias("n")).where("n >= 2").select("__f")
-        of = tensors.join(flats.join(enough, "__f"), "frame_id")
+        of = images.join(flats.join(enough, "__f"), "frame_id")
         rows = rows.join(calibration.master(of, ["__f"], "average", "mul").withColumnRenamed("data", "flat"), ["__f", *size], "left")
     else:
         rows = rows.withColumn("flat", none)
@@ -264,9 +264,9 @@ def stack_groups(c: Context) -> dict[str, DataFrame]:
     """One image per group of at least two usable frames."""
     p = c.params.stacking
     chosen = c.tables.get("selected", _lights(c).select("frame_id", "group_hash"))
-    px = stack.to_pixels(_images(c).join(chosen, "frame_id"), ["frame_id", "group_hash"], channels="ch")
-    good = stack.usable_frames(px, "frame_id", drop_zero_median=p.normalise == "mul")
-    norm = stack.normalise(good, ["frame_id"], p.normalise)
+    even = tensors.normalise(_images(c).join(chosen, "frame_id"), ["frame_id", "group_hash"], p.normalise)
+    good = even.where("whole" if p.normalise != "mul" else "whole and median <> 0")
+    norm = stack.to_pixels(good, ["frame_id", "group_hash"], channels="ch")
     enough = good.select("frame_id", "group_hash").distinct().groupBy("group_hash").agg(F.count("*").alias("frame_count")).where("frame_count >= 2")
     chosen_lights = chosen.join(_lights(c).select("frame_id", "exptime", "filter_name"), "frame_id")
     exposure = chosen_lights.groupBy("group_hash").agg(F.sum("exptime").alias("total_exposure"), F.min("filter_name").alias("filter"))
@@ -485,10 +485,10 @@ def default_registry() -> Registry:
     return r
 
 
-def process(frames: DataFrame, tensors: DataFrame, params: Params | dict | None = None, registry: Registry | None = None) -> tuple[Context, list[Result]]:
-    """All stages over frames and their tensors; the context has every table, still lazy."""
+def process(frames: DataFrame, images: DataFrame, params: Params | dict | None = None, registry: Registry | None = None) -> tuple[Context, list[Result]]:
+    """All stages over frames and their images (tensor rows); the context has every table, still lazy."""
     p = params if isinstance(params, Params) else resolve(params)
-    c = Context({"frames": discover(frames), "tensors": tensors}, p)
+    c = Context({"frames": discover(frames), "tensors": images}, p)
     return c, run_steps(p.steps, registry or default_registry(), c)
 
 

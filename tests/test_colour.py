@@ -36,3 +36,24 @@ def test_chain_of_sources(spark):
     every = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "g string")
     got = {r.g: (r.source, r.r_factor, r.status) for r in colour.first_success([("one", first), ("two", second)], "g", every).collect()}
     assert got == {"a": ("one", 1.1, "ok"), "b": ("two", 1.2, "ok"), "c": ("gray_world", None, "rejected"), "d": ("gray_world", None, "no_match")}
+
+
+def test_nearest_on_sky_equals_all_pairs(spark):
+    """Over the whole sky, the wrap-around and the poles, for radii small and large."""
+    import numpy as np
+
+    rnd = np.random.default_rng(8)
+    for radius in (0.5, 3.0, 25.0):
+        ra = np.r_[rnd.uniform(0, 360, 150), [0.0, 359.99, 0.01, 180.0, 10.0, 200.0]]
+        dec = np.r_[np.degrees(np.arcsin(rnd.uniform(-1, 1, 150))), [0.0, 0.1, -0.1, 89.9, -90.0, 90.0]]
+        rb, db = (ra + rnd.normal(0, radius / 2, len(ra))) % 360, np.clip(dec + rnd.normal(0, radius / 2, len(ra)), -90, 90)
+        s = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(ra, dec))], "star int, ra double, dec double")
+        c = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rb, db))], "entry int, ra double, dec double")
+
+        def unit(a, b):
+            a, b = np.radians(a), np.radians(b)
+            return np.stack([np.cos(b) * np.cos(a), np.cos(b) * np.sin(a), np.sin(b)], axis=1)
+
+        chord = np.linalg.norm(unit(ra, dec)[:, None] - unit(rb, db)[None], axis=2)
+        want = {i: int(chord[i].argmin()) for i in range(len(ra)) if chord[i].min() <= 2 * np.sin(np.radians(radius) / 2)}
+        assert {r.star: r.entry for r in spatial.nearest_on_sky(s, c, "star", "entry", radius).collect()} == want
