@@ -46,6 +46,20 @@ def channel_factors(stars: DataFrame, catalog: DataFrame, group: str, radius_deg
     return f.select(group, "matched", *[F.when(enough, F.col(f"{c}_factor")).alias(f"{c}_factor") for c in "rb"], status.alias("status"))
 
 
+def gray_world(pixels: DataFrame, group: str, channel: str = "c", value: str = "value", quantile: float = 0.99) -> DataFrame:
+    """group, channel, factor: brings the channels' 99th percentiles of positive pixels to their mean."""
+    q = pixels.groupBy(group, channel).agg(F.percentile(F.when(F.col(value) > 0, F.col(value)), quantile).alias("__p"))
+    return q.select(group, channel, (F.avg("__p").over(Window.partitionBy(group)) / F.col("__p")).alias("factor"))
+
+
+def header_scale(frames: DataFrame, keep: list[str], width: int) -> DataFrame:
+    """keep, scale, cdelt1, unbinned, crpix1 of frames with xpixsz (of binned pixels), xbinning and focallen."""
+    ok = (F.col("xpixsz") > 0) & ~F.isnan("xpixsz")
+    size, focal = F.when(ok, F.col("xpixsz")), F.when(~F.isnan("focallen"), F.col("focallen"))
+    scale = pixel_scale(size, F.lit(1), focal)
+    return frames.select(*keep, scale.alias("scale"), (-scale / 3600 + 0.0).alias("cdelt1"), (size / F.col("xbinning")).alias("unbinned"), F.lit((width + 1) / 2).alias("crpix1"))
+
+
 def first_success(attempts: list[tuple[str, DataFrame]], group: str, every: DataFrame, fallback: str = "gray_world") -> DataFrame:
     """Per group the first source whose factors are ok; a rejection ends the chain, else the fallback.
 

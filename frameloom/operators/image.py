@@ -148,6 +148,12 @@ def pixfrac_for(phases: Column, frames: Column) -> Column:
     return F.when((phases < 4) | (frames < 10), 1.0).when(frames < 30, 0.7).otherwise(0.5)
 
 
+def expected_phases(frames: Column, exptime: Column) -> Column:
+    """Phases that so many frames should show: one in ten frames from 60 s or of unknown exposure, else one in six; 0 without frames."""
+    cadence = F.when(exptime < 60, 6).otherwise(10)
+    return F.when(frames <= 0, 0).otherwise(F.greatest(F.lit(1), F.ceil(frames / cadence))).cast("long")
+
+
 def kernel_weight(d: Column, kind: str, reach: Column) -> Column:
     """Weight at a distance d: lanczos3 (of d), gaussian (of half the reach) or tophat (up to the reach)."""
     if kind == "lanczos3":

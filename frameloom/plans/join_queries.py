@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import colour, groups, spatial
+from ..operators import colour, equipment, groups, image, reports, spatial
 from ..session import read_table
 from .catalog import query
 from .meta_queries import FRAMES_SQL, frames
@@ -124,6 +124,7 @@ def _groups(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("frame_count"), F.count("correlation").alias("frames_registered"), F.count(F.when(F.col("correlation") < 0.6, 1)).alias("zero_shift_count"),
         F.median("star_count").alias("n_cp_median"), F.median("correlation").alias("corr_hp_median"), F.round(F.median(snr), 6).alias("score"),
     )
+    # One row per group hash, of which there are a few hundred: exposures times gains times filters.
     return g.withColumn("ord", F.row_number().over(Window.orderBy("group_hash")))
 
 
@@ -180,9 +181,8 @@ def plausible_factors(spark: SparkSession, d: str) -> DataFrame:
 SELECT l_suppkey, c, round(t / p99, 6) AS factor FROM q JOIN m USING (l_suppkey)""")
 def gray_world(spark: SparkSession, d: str) -> DataFrame:
     """Factors that bring the channels' 99th percentiles to their mean."""
-    p = read_table(spark, d, "lineitem").select("l_suppkey", (F.col("l_linenumber") % 3).alias("c"), F.col("l_extendedprice").alias("v"))
-    q = p.groupBy("l_suppkey", "c").agg(F.percentile(F.when(F.col("v") > 0, F.col("v")), 0.99).alias("p99"))
-    return q.select("l_suppkey", "c", R6(F.avg("p99").over(Window.partitionBy("l_suppkey")) / F.col("p99")).alias("factor"))
+    p = read_table(spark, d, "lineitem").select("l_suppkey", (F.col("l_linenumber") % 3).alias("c"), F.col("l_extendedprice").alias("value"))
+    return colour.gray_world(p, "l_suppkey").withColumn("factor", R6("factor"))
 
 
 @query("""WITH s AS (SELECT p_partkey, p_size, ((p_partkey % 41) - 20) / 4.0 AS sy, ((p_partkey % 29) - 14) / 4.0 AS sx FROM part), r AS (SELECT p_size, count(*) AS n, count(DISTINCT (round_even(sy / 0.5, 0), round_even(sx / 0.5, 0))) AS phases FROM s GROUP BY p_size)
@@ -191,11 +191,8 @@ def phases(spark: SparkSession, d: str) -> DataFrame:
     """Distinct sub-pixel phases of a group, the number expected and the drop size that follows."""
     p = read_table(spark, d, "part")
     sy, sx = (F.col("p_partkey") % 41 - 20) / 4.0, (F.col("p_partkey") % 29 - 14) / 4.0
-    r = p.groupBy("p_size").agg(F.count("*").alias("n"), F.count_distinct(F.struct(F.bround(sy / 0.5), F.bround(sx / 0.5))).alias("phases"))
-    n = F.col("n")
-    expected = F.when(n <= 0, 0).otherwise(F.greatest(F.lit(1), F.ceil(n / F.when(F.col("p_size") >= 25, 10).otherwise(6))))
-    frac = F.when((F.col("phases") < 4) | (n < 10), 1.0).when(n < 30, 0.7).otherwise(0.5)
-    return r.select("p_size", "n", "phases", expected.cast("long").alias("expected"), frac.alias("pixfrac"))
+    r = image.dither(p.select("p_size", sy.alias("sy"), sx.alias("sx")), "p_size", "sy", "sx")
+    return r.select("p_size", F.col("frames").alias("n"), "phases", image.expected_phases(F.col("frames"), F.when(F.col("p_size") >= 25, 60.0).otherwise(10.0)).alias("expected"), "pixfrac")
 
 
 _ST = "s AS (SELECT session_id, CASE WHEN snr < 8 THEN 'FAIL' WHEN fwhm_median IS NULL THEN 'SKIPPED' ELSE 'PASS' END AS status FROM (SELECT DISTINCT * FROM quality) q JOIN (SELECT DISTINCT frame_id, session_id FROM frames) f USING (frame_id))"
@@ -218,31 +215,22 @@ def gate_rollup(spark: SparkSession, d: str) -> DataFrame:
 SELECT device_id, max(code) AS worst, count(*) AS runs FROM o JOIN sessions USING (session_id) GROUP BY device_id""")
 def runs_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Worst status over the sessions of a device."""
-    o = groups.overall_status(_checks(spark, d), ["session_id"]).join(read_table(spark, d, "sessions").select("session_id", "device_id"), "session_id")
-    return o.groupBy("device_id").agg(F.max("code").alias("worst"), F.count("*").alias("runs"))
+    c = _checks(spark, d).join(read_table(spark, d, "sessions").select("session_id", "device_id"), "session_id")
+    return reports.worst_runs(c, "session_id", "device_id")
 
 
 @query(f"""WITH {FRAMES_SQL} SELECT frame_id, concat_ws(',', CASE WHEN NOT list_contains(map_keys(raw_cards), 'OBJECT') THEN 'OBJECT' END, CASE WHEN NOT list_contains(map_keys(raw_cards), 'EXPTIME') THEN 'EXPTIME' END, CASE WHEN NOT list_contains(map_keys(raw_cards), 'FOCALLEN') THEN 'FOCALLEN' END,
  CASE WHEN NOT coalesce(abs(try_cast(raw_cards['XPIXSZ'] AS DOUBLE) - 3.84) <= 0.05 OR abs(try_cast(raw_cards['XPIXSZ'] AS DOUBLE) - 2.31) <= 0.05, false) THEN 'XPIXSZ' END) AS missing FROM fr""")
 def header_check(spark: SparkSession, d: str) -> DataFrame:
     """Mandatory cards that a header lacks, and a pixel size off the expected ones."""
-    f = frames(spark, d, "raw_cards")
-    x = F.element_at("raw_cards", "XPIXSZ").try_cast("double")
-    size = F.coalesce((F.abs(x - 3.84) <= 0.05) | (F.abs(x - 2.31) <= 0.05), F.lit(False))
-    parts = [F.when(~F.map_contains_key("raw_cards", c), c) for c in ("OBJECT", "EXPTIME", "FOCALLEN")] + [F.when(~size, "XPIXSZ")]
-    return f.select("frame_id", F.concat_ws(",", *parts).alias("missing"))
+    return reports.header_gaps(frames(spark, d, "raw_cards"), ["frame_id"], "raw_cards", ["OBJECT", "EXPTIME", "FOCALLEN"], (3.84, 2.31)).select("frame_id", "missing")
 
 
 @query("""WITH m AS (SELECT *, median(l_extendedprice) OVER (PARTITION BY l_suppkey) m FROM lineitem), s AS (SELECT *, 1.4826 * median(abs(l_extendedprice - m)) OVER (PARTITION BY l_suppkey) s FROM m)
 SELECT l_suppkey, sum((l_extendedprice > m + 1.5 * s)::INT)::BIGINT AS hot, sum((l_extendedprice > m + 1.5 * s)::INT) > 60 AS recommend FROM s GROUP BY l_suppkey""")
 def preflight_hot(spark: SparkSession, d: str) -> DataFrame:
     """Values far over the median, and whether a correction is advised."""
-    w = Window.partitionBy("l_suppkey")
-    v = F.col("l_extendedprice")
-    m = read_table(spark, d, "lineitem").select("l_suppkey", v, F.median(v).over(w).alias("m"))
-    s = m.withColumn("s", F.median(F.abs(v - F.col("m"))).over(w) * 1.4826)
-    hot = F.count(F.when(v > F.col("m") + 1.5 * F.col("s"), 1))
-    return s.groupBy("l_suppkey").agg(hot.alias("hot"), (hot > 60).alias("recommend"))
+    return reports.hot_counts(read_table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice", 1.5, 60)
 
 
 @query(f"""WITH {FRAMES_SQL}, g AS (SELECT exptime, gain, filter_name AS filter, eq_mode, count(*) AS frames FROM fr WHERE frame_type = 'light' AND exptime IS NOT NULL AND gain IS NOT NULL GROUP BY ALL), n AS (SELECT *, count(*) OVER (PARTITION BY exptime, gain, filter) AS n FROM g)
@@ -260,12 +248,7 @@ SELECT a.session_id, lights, seconds, target, eq_mode, filters FROM a LEFT JOIN
 def context_summary(spark: SparkSession, d: str) -> DataFrame:
     """First target and mount by order of capture, filters as first seen, totals."""
     light = frames(spark, d, "session_id", "idx", "frame_type", "exptime", "object_name", "eq_mode", "filter_name").where("frame_type = 'light'")
-    first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("idx")))
-    a = light.groupBy("session_id").agg(F.count("*").alias("lights"), F.round(F.sum(F.when(F.col("exptime") > 0, F.col("exptime"))), 3).alias("seconds"), first("object_name").alias("target"), first("eq_mode").alias("eq_mode"))
-    seen = light.where("filter_name is not null").groupBy("session_id", "filter_name").agg(F.min("idx").alias("i"))
-    order = F.array_sort(F.collect_list(F.struct("i", "filter_name")))
-    g = seen.groupBy("session_id").agg(F.array_join(F.transform(order, lambda s: s["filter_name"]), "|").alias("filters"))
-    return a.join(g, "session_id", "left")
+    return reports.session_summary(light, "session_id")
 
 
 @query(f"""WITH c AS (SELECT {_RADEC.format(k='c_custkey', a='c_acctbal')}, 5 + abs(c_acctbal) / 800 AS mag FROM customer), h AS (SELECT *, degrees(2 * asin(sqrt(least(pow(sin((radians(dec) - radians(10.0)) / 2), 2) + cos(radians(dec)) * cos(radians(10.0)) * pow(sin(radians(ra - 180.0) / 2), 2), 1.0)))) AS sep FROM c)
@@ -297,9 +280,7 @@ SELECT l_orderkey, count(*) AS n, sum(ok::INT)::BIGINT AS registered, CASE WHEN
 def sanity_guard(spark: SparkSession, d: str) -> DataFrame:
     """Registrations within bounds per group, and what follows from their number."""
     scale, rot = 1 + (F.col("l_discount") - 0.05), (F.col("l_tax") - 0.04) * 60
-    ok = (F.abs(scale - 1) <= 0.02) & (F.abs(rot) <= 2)
-    r = F.count(F.when(ok, 1))
-    return read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), r.alias("registered"), F.when(r >= 3, "candidate").when(F.count("*") < 2, "skip").otherwise("fallback").alias("branch"))
+    return reports.sound_registrations(read_table(spark, d, "lineitem"), "l_orderkey", scale, rot)
 
 
 @query("""SELECT entry_id, translate(replace(catalog_number, ' ', '_'), '()', '') AS safe, regexp_replace(regexp_extract(catalog_number, '^([A-Za-z0-9][A-Za-z0-9 ._-]*)', 1), '[.\\-_ ]+$', '') AS short,
@@ -315,9 +296,8 @@ def name_strings(spark: SparkSession, d: str) -> DataFrame:
 def pixel_scale_header(spark: SparkSession, d: str) -> DataFrame:
     """Pixel scale in arc seconds and the header values that follow from it."""
     f = frames(spark, d, "frame_type", "xpixsz", "focallen", "xbinning").where("frame_type = 'light'")
-    ok = lambda c: (F.col(c) > 0) & ~F.isnan(c)
-    scale = F.when(ok("xpixsz") & ok("focallen"), 206.265 * F.col("xpixsz") / F.when(ok("focallen"), F.col("focallen"))).otherwise(0.0)
-    return f.select("frame_id", R6(scale).alias("scale"), F.round(-scale / 3600 + 0.0, 9).alias("cdelt1"), R6(F.when(ok("xpixsz"), F.col("xpixsz") / F.col("xbinning"))).alias("unbinned"), F.lit((1080 + 1) / 2).alias("crpix1"))
+    out = colour.header_scale(f, ["frame_id"], 1080)
+    return out.select("frame_id", R6("scale").alias("scale"), F.round("cdelt1", 9).alias("cdelt1"), R6("unbinned").alias("unbinned"), "crpix1")
 
 
 @query("""WITH k AS (SELECT DISTINCT p_size, p_size / 10.0 AS d FROM part) SELECT p_size, round(CASE WHEN d < 3 THEN sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) ELSE 0 END, 6) + 0.0 AS lanczos3, round(exp(-0.5 * pow(d / 1.0, 2)), 6) AS gaussian,
@@ -325,9 +305,8 @@ def pixel_scale_header(spark: SparkSession, d: str) -> DataFrame:
 def kernel_weights(spark: SparkSession, d: str) -> DataFrame:
     """Weights of the drizzle kernels by distance."""
     sizes = read_table(spark, d, "part").select("p_size").distinct().withColumn("d", F.col("p_size") / 10.0)
-    x = F.col("d") * F.pi()
-    lan = F.when(F.col("d") < 3, F.sin(x) / x * F.sin(x / 3) / (x / 3)).otherwise(0.0)
-    return sizes.select("p_size", R6(lan).alias("lanczos3"), R6(F.exp(-0.5 * F.pow(F.col("d"), F.lit(2.0)))).alias("gaussian"), (F.col("d") <= 2).cast("double").alias("tophat"), F.greatest(F.least("p_size", F.lit(30)), F.lit(5)).alias("clamped"))
+    w = {k: image.kernel_weight(F.col("d"), k, F.lit(2.0)) for k in ("lanczos3", "gaussian", "tophat")}
+    return sizes.select("p_size", *[R6(c).alias(k) for k, c in w.items()], F.greatest(F.least("p_size", F.lit(30)), F.lit(5)).alias("clamped"))
 
 
 @query(f"""WITH {FRAMES_SQL}, e AS (SELECT frame_id, CASE WHEN eq_mode IS NOT NULL THEN eq_mode = 1 WHEN exptime <= 60 THEN false END AS eq, CASE WHEN eq_mode IS NOT NULL THEN 'header' WHEN exptime <= 60 THEN 'az_fallback' ELSE 'unknown' END AS source, exptime, contains(lower(coalesce(filter_name, '')), 'duo') OR contains(lower(coalesce(filter_name, '')), 'dual') AS duo FROM fr WHERE frame_type = 'light')
@@ -335,16 +314,9 @@ SELECT frame_id, eq, source, CASE WHEN NOT eq THEN 'astroalign' WHEN exptime > 1
 def ladders(spark: SparkSession, d: str) -> DataFrame:
     """Mount, preferred registration and advice for each light frame."""
     f = frames(spark, d, "frame_type", "eq_mode", "exptime", "filter_name").where("frame_type = 'light'")
-    eq = F.when(F.col("eq_mode").isNotNull(), F.col("eq_mode") == 1).when(F.col("exptime") <= 60, False)
-    source = F.when(F.col("eq_mode").isNotNull(), "header").when(F.col("exptime") <= 60, "az_fallback").otherwise("unknown")
-    low = F.lower(F.coalesce("filter_name", F.lit("")))
-    e = f.select("frame_id", eq.alias("eq"), source.alias("source"), "exptime", (low.contains("duo") | low.contains("dual")).alias("duo"))
-    az = F.coalesce(~F.col("eq"), F.lit(False))
-    open_ = F.col("eq").isNull()
-    return e.select(
-        "frame_id", "eq", "source", F.when(az | (F.col("exptime") > 120), "astroalign").otherwise("fft").alias("preferred"),
-        F.when(az | F.col("duo"), "astroalign").alias("advice"), F.when(az | (open_ & F.col("duo")), 30).alias("max_rotation"),
-    )
+    e = f.select("*", equipment.eq_flag(F.col("eq_mode"), F.col("exptime")).alias("e")).select("*", "e.eq", "e.source")
+    a = equipment.registration_advice(F.col("eq"), F.col("filter_name"))
+    return e.select("frame_id", "eq", "source", equipment.preferred_registration(~F.col("eq"), F.col("exptime")).alias("preferred"), a.alias("a")).select("frame_id", "eq", "source", "preferred", "a.*")
 
 
 @query(f"""WITH {FRAMES_SQL}, l AS (SELECT session_id, device_id, idx, focallen, xpixsz FROM fr WHERE frame_type = 'light'), h AS (SELECT session_id, min(device_id) device_id, arg_min(focallen, idx) FILTER (focallen > 0 AND NOT isnan(focallen)) AS fl FROM l GROUP BY session_id),
@@ -352,29 +324,26 @@ def ladders(spark: SparkSession, d: str) -> DataFrame:
 def provenance(spark: SparkSession, d: str) -> DataFrame:
     """Focal length of a session from its headers, else from the device, with its source."""
     light = frames(spark, d, "session_id", "device_id", "idx", "frame_type", "focallen").where("frame_type = 'light'")
-    ok = (F.col("focallen") > 0) & ~F.isnan("focallen")
-    h = light.groupBy("session_id").agg(F.min("device_id").alias("device_id"), F.min_by(F.when(ok, F.col("focallen")), F.when(ok, F.col("idx"))).alias("fl"))
-    p = light.groupBy("device_id").agg(F.median(F.when(ok, F.col("focallen"))).alias("pf"))
-    return h.join(p, "device_id").select("session_id", F.coalesce("fl", "pf").alias("focal_length"), F.when(F.col("fl").isNotNull(), "header").when(F.col("pf").isNotNull(), "profile").otherwise("none").alias("source"))
+    known = F.when((F.col("focallen") > 0) & ~F.isnan("focallen"), F.col("focallen"))
+    h = equipment.first_known(light, "session_id", "idx", {"fl": known}).join(light.groupBy("session_id").agg(F.min("device_id").alias("device_id")), "session_id")
+    p = light.groupBy("device_id").agg(F.median(known).alias("pf"))
+    both = equipment.with_source({"header": F.col("fl"), "profile": F.col("pf")})
+    return h.join(p, "device_id").select("session_id", both["value"].alias("focal_length"), both["source"].alias("source"))
 
 
 @query(f"""WITH {FRAMES_SQL}, c AS (SELECT session_id, count(*) AS frames, sum((frame_type = 'light')::INT)::BIGINT AS lights, round(avg(CASE WHEN frame_type = 'light' AND ccd_temp BETWEEN -60 AND 60 THEN ccd_temp END) - avg(CASE WHEN frame_type = 'dark' THEN ccd_temp END), 6) AS gap FROM fr GROUP BY session_id)
 SELECT device_id, s.session_id, back, frames, lights, coalesce(abs(gap) > 5, false) AS temp_mismatch FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY night DESC, session_id DESC) AS back FROM sessions) s LEFT JOIN c USING (session_id) WHERE back <= 2""")
 def inventory(spark: SparkSession, d: str) -> DataFrame:
     """The last two sessions of each device with counts and a check of dark temperatures."""
-    f = frames(spark, d, "session_id", "frame_type", "ccd_temp")
-    light, t = F.col("frame_type") == "light", F.col("ccd_temp")
-    gap = F.avg(F.when(light & t.between(-60, 60), t)) - F.avg(F.when(F.col("frame_type") == "dark", t))
-    c = f.groupBy("session_id").agg(F.count("*").alias("frames"), F.count(F.when(light, 1)).alias("lights"), F.round(gap, 6).alias("gap"))
+    c = reports.temperature_gap(frames(spark, d, "session_id", "frame_type", "ccd_temp"), "session_id")
     last = groups.last_runs(read_table(spark, d, "sessions").select("session_id", "device_id", "night"), "device_id", ["night", "session_id"])
-    return last.join(c, "session_id", "left").select("device_id", "session_id", "back", "frames", "lights", F.coalesce(F.abs("gap") > 5, F.lit(False)).alias("temp_mismatch"))
+    return last.join(c, "session_id", "left").select("device_id", "session_id", "back", "frames", "lights", F.coalesce("mismatch", F.lit(False)).alias("temp_mismatch"))
 
 
 @query(f"""WITH {FRAMES_SQL}, n AS (SELECT frame_id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY idx, frame_id) AS k FROM fr) SELECT a.frame_id, q.frame_id IS NOT NULL AS has_quality, a.k AS ordinal FROM n a LEFT JOIN (SELECT DISTINCT frame_id FROM quality) q USING (frame_id)""")
 def positional_vs_key(spark: SparkSession, d: str) -> DataFrame:
     """Frames with their quality by key; their ordinal is data, never the join."""
-    f = frames(spark, d, "session_id", "idx")
-    n = f.withColumn("ordinal", F.row_number().over(Window.partitionBy("session_id").orderBy("idx", "frame_id")).cast("long"))
+    n = equipment.position(frames(spark, d, "session_id", "idx"), "session_id", ["idx", "frame_id"])
     q = read_table(spark, d, "quality").select("frame_id", F.lit(True).alias("q")).distinct()
     return n.join(q, "frame_id", "left").select("frame_id", F.coalesce("q", F.lit(False)).alias("has_quality"), "ordinal")
 
@@ -417,3 +386,52 @@ def colour_factors(spark: SparkSession, d: str) -> DataFrame:
     cat = sky(read_table(spark, d, "supplier"), "s_suppkey", "s_acctbal", "entry", (10 + s % 3 / 10.0).alias("mag_r"), F.lit(10.0).alias("mag_g"), (10 + s % 4 / 10.0).alias("mag_b"))
     out = colour.channel_factors(stars, cat, "c_mktsegment", 6.0)
     return out.select("c_mktsegment", "matched", R6("r_factor").alias("r_factor"), R6("b_factor").alias("b_factor"), "status")
+
+
+@query(f"""WITH {FRAMES_SQL}, c AS (SELECT frame_id, eq_mode, upper(coalesce(raw_cards['EQUAT'], '')) AS e, upper(coalesce(raw_cards['MOUNT'], '')) AS m, upper(coalesce(raw_cards['TELESCOP'], '')) AS t FROM fr WHERE frame_type = 'light'),
+ s AS (SELECT *, CASE WHEN eq_mode IN (0, 1) THEN 'mode' WHEN contains(e, 'AZ') THEN 'equat' WHEN contains(m, 'AZ') THEN 'mount' WHEN contains(t, 'SEESTAR') OR contains(t, 'DWARF II') OR contains(t, 'ZWO ASIAIR') OR contains(t, 'SMARTTELESCOPE') OR contains(t, 'DWARF') AND contains(t, 'MINI') THEN 'telescope' WHEN trim(t) = '' THEN 'unknown' ELSE 'default' END AS source FROM c)
+SELECT frame_id, CASE WHEN eq_mode = 0 OR (eq_mode IS NULL OR eq_mode NOT IN (0, 1)) AND (source IN ('equat', 'mount', 'telescope')) THEN 'az' ELSE 'eq' END AS mount, source FROM s""")
+def mount_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Mount of each light frame by mode, words and telescope, with its source."""
+    f = frames(spark, d, "frame_type", "eq_mode", "raw_cards").where("frame_type = 'light'")
+    card = lambda c: F.element_at("raw_cards", c)
+    m = equipment.mount_type(F.col("eq_mode"), card("EQUAT"), card("MOUNT"), card("TELESCOP"))
+    return f.select("frame_id", m["mount"].alias("mount"), m["source"].alias("source"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN p_size / 10.0 WHEN p_size % 7 = 0 THEN 1.5 WHEN p_size % 3 = 0 OR p_partkey % 4 IN (1, 2) THEN 1.0 ELSE 2.0 END::DOUBLE AS factor,
+ CASE WHEN p_size % 10 = 0 THEN 'explicit' WHEN p_size % 7 = 0 THEN 'preset' WHEN p_size % 3 = 0 OR p_partkey % 4 < 3 THEN 'auto_data' ELSE 'default' END AS source FROM part""")
+def debayer_scale(spark: SparkSession, d: str) -> DataFrame:
+    """Scale factor by precedence: explicit, preset, colour input, method."""
+    p = read_table(spark, d, "part")
+    method = F.element_at(F.array(*map(F.lit, ("superpixel", "bilinear", "malvar", "other"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    size = F.col("p_size")
+    f = equipment.debayer_factor(method, size % 3 == 0, F.when(size % 10 == 0, size / 10.0), F.when(size % 7 == 0, 1.5))
+    return p.select("p_partkey", f["factor"].alias("factor"), f["source"].alias("source"))
+
+
+@query(f"""WITH {FRAMES_SQL}, l AS (SELECT * FROM fr WHERE frame_type = 'light' AND exptime IS NOT NULL), g AS (SELECT session_id, exptime, trim(arg_min_null(object_name, idx), ' ') AS o FROM l GROUP BY ALL),
+ e AS (SELECT session_id, o, count(*) AS n, min(exptime) AS g FROM g WHERE o <> '' GROUP BY ALL)
+SELECT session_id, arg_min(o, (-n, g, o)) AS object, string_agg(o, '|' ORDER BY g, o) AS objects, count(*) > 1 AS mixed FROM e GROUP BY session_id""")
+def object_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Targets named by the first frame of each exposure group of a session."""
+    light = frames(spark, d, "session_id", "idx", "frame_type", "exptime", "object_name").where("frame_type = 'light'")
+    return reports.object_scan(light, "session_id", "exptime", "idx")
+
+
+@query(f"""WITH {FRAMES_SQL}, c AS (SELECT object_name, count(*) AS lights FROM fr WHERE frame_type = 'light' AND object_name IS NOT NULL GROUP BY 1 ORDER BY lights DESC, object_name LIMIT 5)
+SELECT object_name, lights, row_number() OVER (ORDER BY lights DESC, object_name)::INTEGER AS place FROM c""")
+def busiest_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The five targets with most light frames."""
+    return reports.busiest(frames(spark, d, "frame_type", "object_name").where("frame_type = 'light'"), "object_name")
+
+
+@query(f"""WITH {_GROUPS}, b AS (SELECT max(score) AS b FROM go WHERE frame_count >= 3 AND score > 0), t AS (SELECT group_hash, count(*) OVER () AS n FROM go, b WHERE frame_count >= 3 AND score > 0 AND abs(score - b) <= 1e-12),
+ l AS (SELECT group_hash FROM go ORDER BY frame_count DESC, ord LIMIT 1), m AS (SELECT coalesce((SELECT max(n) FROM t), 0) = 1 AS single)
+SELECT 'signal' AS asked, CASE WHEN single THEN 'signal' ELSE 'largest' END AS method, CASE WHEN single THEN (SELECT min(group_hash) FROM t) ELSE l.group_hash END AS reference, (SELECT count(score) FROM go)::BIGINT AS scored, CASE WHEN NOT single THEN 'signal gave no single group' END AS fallback FROM l, m""")
+def score_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """The report on the choice of a reference by signal."""
+    g = _groups(spark, d)
+    out = reports.selection_report(g, "group_hash", groups.reference_by_signal(g, "group_hash"), "signal")
+    scored = F.size(F.map_keys(F.map_filter(F.from_json("scores", "map<string,double>"), lambda k, v: v.isNotNull()))).cast("long")
+    return out.select("asked", "method", "reference", scored.alias("scored"), "fallback")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import selection
+from ..operators import equipment, reports, selection
 from ..session import read_table
 from .catalog import query
 
@@ -64,8 +64,8 @@ def total_integration(spark: SparkSession, d: str) -> DataFrame:
 def limit_per_group(spark: SparkSession, d: str) -> DataFrame:
     """The first five light frames of each acquisition group of a session."""
     light = frames(spark, d, "session_id", "idx", "frame_type", "exptime", "gain", "filter_name").where("frame_type = 'light'")
-    w = Window.partitionBy("session_id", "exptime", "gain", "filter_name").orderBy("idx", "frame_id")
-    return light.select("frame_id", "session_id", F.row_number().over(w).cast("long").alias("ordinal")).where("ordinal <= 5")
+    first = reports.first_of_each(light, ["session_id", "exptime", "gain", "filter_name"], ["idx", "frame_id"], 5)
+    return first.select("frame_id", "session_id", "ordinal")
 
 
 # Spellings of the sensor temperature, in the order they are tried.
@@ -151,12 +151,8 @@ SELECT missing, count(*) AS frames, sum(w)::BIGINT AS without_filter, missing <>
 def mandatory_check(spark: SparkSession, d: str) -> DataFrame:
     """Light frames by the mandatory columns they lack; missing filters only warn."""
     light = frames(spark, d, "frame_type", "exptime", "gain", "object_name", "ccd_temp", "filter_name").where("frame_type = 'light'")
-    parts = [F.when(F.col(c).isNull(), n) for c, n in (("exptime", "exptime"), ("gain", "gain"), ("object_name", "object"), ("ccd_temp", "ccd_temp"))]
-    return (
-        light.groupBy(F.concat_ws(",", *parts).alias("missing"))
-        .agg(F.count("*").alias("frames"), F.sum(F.col("filter_name").isNull().cast("long")).alias("without_filter"))
-        .withColumn("aborts", F.col("missing") != "")
-    )
+    out = reports.mandatory(light, {"exptime": "exptime", "gain": "gain", "object_name": "object", "ccd_temp": "ccd_temp"}, "filter_name")
+    return out.withColumnRenamed("without", "without_filter")
 
 
 #: A filter list as a user states it; the second entry is misspelt.
@@ -168,18 +164,15 @@ _ASKED = "(VALUES " + ", ".join(f"({i}, '{f}')" for i, f in enumerate(ASKED_FILT
  AND lower(trim(coalesce(filter_name, ''), ' ')) IN (SELECT lower(trim(f, ' ')) FROM {_ASKED} WHERE trim(f, ' ') <> '')""")
 def filter_match(spark: SparkSession, d: str) -> DataFrame:
     """Light frames of the filters asked for, whatever their case and blanks."""
-    wanted = sorted({f.strip().lower() for f in ASKED_FILTERS if f.strip()})
     light = frames(spark, d, "frame_type", "filter_name").where("frame_type = 'light'")
-    return light.where(F.lower(F.trim(F.coalesce("filter_name", F.lit("")))).isin(wanted)).select("frame_id", "filter_name")
+    return reports.of_filters(light, "filter_name", ASKED_FILTERS).select("frame_id", "filter_name")
 
 
 @query(f"""SELECT lower(trim(f, ' ')) AS asked, min(i)::INTEGER AS position FROM {_ASKED} WHERE trim(f, ' ') <> ''
  AND lower(trim(f, ' ')) NOT IN (SELECT lower(trim(filter_name, ' ')) FROM frames WHERE frame_type = 'light' AND filter_name IS NOT NULL) GROUP BY 1""")
 def filter_typos(spark: SparkSession, d: str) -> DataFrame:
     """Filters asked for that no frame has, in the order they were asked for."""
-    asked = spark.createDataFrame([(i, f.strip().lower()) for i, f in enumerate(ASKED_FILTERS) if f.strip()], "i int, asked string")
-    have = read_table(spark, d, "frames").where("frame_type = 'light'").select(F.lower(F.trim("filter_name")).alias("asked")).distinct()
-    return asked.groupBy("asked").agg(F.min("i").alias("position")).join(have, "asked", "left_anti")
+    return reports.unknown_filters(read_table(spark, d, "frames").where("frame_type = 'light'"), "filter_name", ASKED_FILTERS)
 
 
 @query("""SELECT s.session_id, s.device_id FROM sessions s WHERE NOT EXISTS (SELECT 1 FROM frames f WHERE f.session_id = s.session_id AND f.frame_type = 'light' AND f.exptime > 200)""")
@@ -194,10 +187,9 @@ c AS (SELECT min(entry_id) entry_id, regexp_replace(lower(regexp_replace(trim(n,
 SELECT frame_id, entry_id FROM fr JOIN c ON regexp_replace(lower(regexp_replace(trim(object_name, ' '), '\\s+', ' ', 'g')), '[ -]', '', 'g') = c.key WHERE frame_type = 'light'""")
 def target_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Targets found in the cache by compact name; the first entry of a key wins."""
-    names = read_table(spark, d, "target_cache").select("entry_id", F.explode(F.array("catalog_number", "simbad_name")).alias("n")).where("n is not null")
-    cache = names.groupBy(keys.compact_key(F.col("n")).alias("key")).agg(F.min("entry_id").alias("entry_id"))
-    light = frames(spark, d, "frame_type", "object_name").where("frame_type = 'light'").select("frame_id", keys.compact_key(F.col("object_name")).alias("key"))
-    return light.join(cache, "key").select("frame_id", "entry_id")
+    names = read_table(spark, d, "target_cache").select("entry_id", F.explode(F.array("catalog_number", "simbad_name")).alias("name"))
+    light = frames(spark, d, "frame_type", "object_name").where("frame_type = 'light'")
+    return light.join(reports.target_lookup(light, "object_name", names), "object_name").select("frame_id", "entry_id")
 
 
 _CLASS_SQL = """CASE WHEN t IN ('galaxy','nebula','planetary','snr','dark_nebula','globular','open_cluster','star') THEN t WHEN contains(t, 'galax') THEN 'galaxy' WHEN contains(t, 'planetar') THEN 'planetary'
@@ -320,10 +312,5 @@ def quality_summary(spark: SparkSession, d: str) -> DataFrame:
 def majority_first_seen(spark: SparkSession, d: str) -> DataFrame:
     """Mount mode by majority (tie: null) and the most frequent gain (tie: first seen) of a session."""
     light = frames(spark, d, "session_id", "frame_type", "eq_mode", "gain", "idx").where("frame_type = 'light'")
-    mode = light.groupBy("session_id").agg(
-        F.count(F.when(F.col("eq_mode") == 1, 1)).alias("eq"), F.count(F.when(F.col("eq_mode") == 0, 1)).alias("az"), F.count(F.when(F.col("eq_mode").isNull(), 1)).alias("unknown")
-    )
-    seen = light.where("gain is not null").groupBy("session_id", "gain").agg(F.count("*").alias("n"), F.min("idx").alias("first"))
-    main = seen.groupBy("session_id").agg(F.max_by("gain", F.struct("n", -F.col("first"))).alias("main_gain"), F.count("*").alias("gains"))
-    majority = F.when(F.col("eq") > F.col("az"), 1).when(F.col("az") > F.col("eq"), 0)
-    return mode.join(main, "session_id", "left").select("session_id", "eq", "az", "unknown", majority.alias("majority"), ((F.col("eq") == 0) | (F.col("az") == 0)).alias("consistent"), "main_gain", "gains")
+    main = equipment.majority_value(light, "session_id", "gain", "idx").select("session_id", F.col("gain").alias("main_gain"), F.col("different").alias("gains"))
+    return equipment.mode_majority(light, "session_id").join(main, "session_id", "left")
\ No newline at end of file
