@@ -264,8 +264,24 @@ def gradient_cells(img: np.ndarray, cells: int) -> list[tuple[float, float, floa
     return out
 
 
+def _stands_out(at: np.ndarray, value: np.ndarray, use: np.ndarray, k: float) -> np.ndarray:
+    """Cells in use more than k local sigma off the median of the used cells around them (3 × 3): rims of soft objects.
+
+    Fewer than two neighbours, or neighbours without spread, judge nothing.
+    """
+    xs, ys = (np.unique(at[:, i], return_inverse=True)[1] for i in (0, 1))
+    grid = np.full((ys.max() + 3, xs.max() + 3), np.nan)
+    grid[ys[use] + 1, xs[use] + 1] = value[use]
+    near = np.stack([grid[ys + dy, xs + dx] for dy in (0, 1, 2) for dx in (0, 1, 2) if (dy, dx) != (1, 1)])
+    many = (~np.isnan(near)).sum(axis=0) >= 2
+    near[:, ~many] = 0.0
+    middle = np.nanmedian(near, axis=0)
+    sigma = MAD_SCALE * np.nanmedian(np.abs(near - middle), axis=0)
+    return use & many & (sigma > 1e-12) & (np.abs(value - middle) > k * sigma)
+
+
 def gradient_fit(img: np.ndarray, degree: int = 2, cells: int = 16, k: float = 3.0, rounds: int = 5) -> dict:
-    """Polynomial background fitted to cell medians; cells off by more than k sigma leave the fit.
+    """Polynomial background fitted to cell medians; cells off by more than k sigma leave the fit, and those that stand out from the cells around them.
 
     Gives coefficients, cells used and rms; null coefficients with too few cells.
     """
@@ -283,6 +299,7 @@ def gradient_fit(img: np.ndarray, degree: int = 2, cells: int = 16, k: float = 3
         res = pts[:, 2] - design @ coef
         s = MAD_SCALE * np.median(np.abs(res[use] - np.median(res[use])))
         keep = use & (np.abs(res) <= k * s) if s > 1e-12 else use
+        keep = keep & ~_stands_out(pts[:, :2], pts[:, 2], keep, k)
         if (keep == use).all():
             break
         use = keep
@@ -485,11 +502,41 @@ def structure_enhancement(img: np.ndarray, amount: float = 0.5, radius: float =
 
 
 def aperture_fluxes(img: np.ndarray, stars: list[dict], radius: float) -> list[list[float]]:
-    """Sum per channel within a circle around each star, background (median) removed."""
+    """Sum per channel within a circle around each star, background (median) removed; only a box around each is looked at."""
     planes = img[:, :, None] if img.ndim == 2 else img
-    y, x = np.indices(planes.shape[:2])
+    h, w = planes.shape[:2]
     med = np.median(planes.reshape(-1, planes.shape[2]), axis=0)
-    return [((planes - med)[np.hypot(y - s["y"], x - s["x"]) <= radius]).sum(axis=0).tolist() for s in stars]
+    out = []
+    for s in stars:
+        y0, y1 = max(0, int(np.floor(s["y"] - radius))), min(h, int(np.ceil(s["y"] + radius)) + 1)
+        x0, x1 = max(0, int(np.floor(s["x"] - radius))), min(w, int(np.ceil(s["x"] + radius)) + 1)
+        y, x = np.mgrid[y0:y1, x0:x1]
+        inside = np.hypot(y - s["y"], x - s["x"]) <= radius
+        out.append((planes[y0:y1, x0:x1] - med)[inside].sum(axis=0).tolist())
+    return out
+
+
+def photometry(img: np.ndarray, k: float = 3.0, min_area: int = 5, min_stars: int = 5) -> list[dict]:
+    """x, y, r, g, b of the stars of a colour image; none with fewer than min_stars.
+
+    Stars are found on the mean of the channels; the aperture's radius is the root of their median area, at least 3.
+    """
+    stars = detect_stars(img.mean(axis=2), k, k, min_area)
+    if len(stars) < min_stars:
+        return []
+    radius = max(3.0, float(np.sqrt(np.median([s["area"] for s in stars]))))
+    return [{"x": s["x"], "y": s["y"], **dict(zip("rgb", f))} for s, f in zip(stars, aperture_fluxes(img, stars, radius))]
+
+
+def centroid_shift(ref: np.ndarray, img: np.ndarray, quantile: float = 0.999, least: int = 10) -> tuple[float, float, str]:
+    """dy, dx that move img onto ref by the centres of their brightest pixels; by phase correlation if either has too few."""
+    ends = []
+    for a in (ref, img):
+        y, x = np.nonzero(a >= np.quantile(a, quantile))
+        if len(y) < least:
+            return (*phase_shift(ref, img), "phase")
+        ends.append((y.mean(), x.mean()))
+    return float(ends[0][0] - ends[1][0]), float(ends[0][1] - ends[1][1]), "centroid"
 
 
 def kernel_weight(d: np.ndarray, kind: str, radius: float) -> np.ndarray:

@@ -174,9 +174,11 @@ def with_reference(images: DataFrame, reference: DataFrame, group: str, key: str
 
 
 def best_flip(images: DataFrame, frame: str, ref: str = "ref") -> DataFrame:
-    """frame, flip, ncc, gap: the flip of the frame that correlates best with its array `ref`, and its lead over the second best.
+    """frame, flip, ncc, gap, confidence: the flip of the frame that correlates best with its array `ref`, and its lead over the second best.
 
     Correlations are compared to nine digits; ties go to the first of FLIPS.
+    confidence, 0 to 1: a third of 1 + |ncc| + lead, at least 0.9 where ncc is over 0.7 and leads by over 0.2,
+    at least 0.7 where it is over 0.5 and leads by over 0.1.
     """
 
     def one(frames, refs):
@@ -192,6 +194,9 @@ def best_flip(images: DataFrame, frame: str, ref: str = "ref") -> DataFrame:
         ncc = np.stack(found, axis=1)
         order = np.argsort(-np.round(ncc, 9), axis=1, kind="stable")
         first, second = (np.take_along_axis(ncc, order[:, [k]], axis=1)[:, 0] for k in (0, 1))
-        return {"flip": np.array(FLIPS, dtype=object)[order[:, 0]], "ncc": first, "gap": first - second}
+        gap = first - second
+        least = np.where((first > 0.7) & (gap > 0.2), 0.9, np.where((first > 0.5) & (gap > 0.1), 0.7, 0.0))
+        sure = np.clip(np.maximum((1 + np.abs(first) + gap) / 3, least), 0, 1)
+        return {"flip": np.array(FLIPS, dtype=object)[order[:, 0]], "ncc": first, "gap": gap, "confidence": sure}
 
-    return per_shape(images, [frame], {"flip": "string", "ncc": "double", "gap": "double"}, one, [ref])
+    return per_shape(images, [frame], {"flip": "string", "ncc": "double", "gap": "double", "confidence": "double"}, one, [ref])

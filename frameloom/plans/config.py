@@ -70,6 +70,17 @@ class Merge:
     min_correlation: float = 0.1
 
 
+@dataclass
+class Colour:
+    enabled: bool = False
+    sources: list = field(default_factory=lambda: ["catalog"])
+    radius_arcsec: float = 3.0
+    min_stars: int = 5
+    low: float = 0.5
+    high: float = 2.0
+    fallback: str = "gray_world"
+
+
 @dataclass
 class Drizzle:
     enabled: bool = False
@@ -99,10 +110,11 @@ class Params:
     cosmetic: Cosmetic = field(default_factory=Cosmetic)
     selection: Selection = field(default_factory=Selection)
     stacking: Stacking = field(default_factory=Stacking)
+    colour: Colour = field(default_factory=Colour)
     merge: Merge = field(default_factory=Merge)
     drizzle: Drizzle = field(default_factory=Drizzle)
     display: Display = field(default_factory=Display)
-    steps: list = field(default_factory=lambda: ["calibrate", "cosmetic", "debayer", "register", "select", "stack", "gradient", "drizzle", "cross_register", "merge", "display"])
+    steps: list = field(default_factory=lambda: ["calibrate", "cosmetic", "debayer", "register", "select", "stack", "gradient", "colour", "drizzle", "cross_register", "merge", "display"])
 
 
 def expand_env(value: Any, env: dict[str, str] | None = None) -> Any:

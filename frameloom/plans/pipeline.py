@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import calibration, groups, image, kernels, selection, stack, tensors
+from ..operators import calibration, colour, groups, image, kernels, selection, stack, tensors
 from .config import Params, resolve
 from .steps import Context, FunctionStep, Registry, Result, run_steps
 
@@ -297,6 +297,44 @@ def gradient(c: Context) -> dict[str, DataFrame]:
     return {"stacks": stack.to_pixels(done, ["group_hash"], channels="ch"), "gradients": done.select("group_hash", "status")}
 
 
+def colour_step(c: Context) -> dict[str, DataFrame]:
+    """Colour stacks calibrated against catalogues: stars measured, placed on the sky, matched, and the factors applied.
+
+    The tables named in colour.sources (entry, ra, dec, mag_r, mag_g, mag_b) are tried in order; the first whose
+    factors are plausible counts, an implausible one ends the search. `wcs` has
+    group_hash, ra0, dec0 (degrees of the centre) and scale (arc seconds a pixel). Groups
+    without factors take the fallback: gray_world, skip (left as they are) or fail.
+    `colour` has source, factors and status per group.
+    """
+    p = c.params.colour
+    if not p.enabled:
+        return {}
+    if p.fallback not in ("gray_world", "skip", "fail"):
+        raise ValueError(f"colour.fallback {p.fallback!r} is none of gray_world, skip, fail")
+    t = stack.to_tensors(c.tables["stacks"], ["group_hash"]).where("ch = 3")
+    every = t.select("group_hash")
+    attempts = []
+    sources = [s for s in p.sources if s in c.tables]
+    if "wcs" in c.tables and sources:
+        found = kernels.per_frame(t, ["group_hash", "h", "w"], "stars array<struct<x:double,y:double,r:double,g:double,b:double>>", lambda img: {"stars": kernels.photometry(img, min_stars=p.min_stars)})
+        each = found.select("group_hash", "h", "w", F.posexplode("stars").alias("i", "s")).join(c.tables["wcs"], "group_hash")
+        ra, dec = colour.pixel_to_sky(F.col("s.x"), F.col("s.y"), F.col("w"), F.col("h"), F.col("ra0"), F.col("dec0"), F.col("scale"))
+        stars = each.select("group_hash", F.concat_ws(" ", "group_hash", "i").alias("star"), ra.alias("ra"), dec.alias("dec"), "s.r", "s.g", "s.b")
+        attempts = [(s, colour.channel_factors(stars, c.tables[s], "group_hash", p.radius_arcsec / 3600, p.min_stars, p.low, p.high)) for s in sources]
+    if attempts:
+        chosen = colour.first_success(attempts, "group_hash", every, p.fallback)
+    else:
+        none = F.lit(None).cast("double")
+        chosen = every.select("group_hash", F.lit(p.fallback).alias("source"), none.alias("r_factor"), none.alias("b_factor"), F.lit("no_catalogue").alias("status"))
+    if p.fallback == "fail":
+        chosen = chosen.withColumn("status", F.when(F.col("source") == "fail", F.raise_error(F.concat(F.lit("no colour factors for "), "group_hash"))).otherwise(F.col("status")))
+    gray = colour.gray_world(c.tables["stacks"], "group_hash").withColumnRenamed("factor", "__gray")
+    rows = c.tables["stacks"].join(chosen, "group_hash", "left").join(gray, ["group_hash", "c"], "left")
+    own = F.when(F.col("c") == 0, F.col("r_factor")).when(F.col("c") == 2, F.col("b_factor"))
+    factor = F.coalesce(own, F.when((F.col("source") == "gray_world") & F.col("r_factor").isNull(), F.col("__gray")), F.lit(1.0))
+    return {"stacks": rows.select(*c.tables["stacks"].columns[:-1], (F.col("value") * factor).alias("value")), "colour": chosen}
+
+
 def drizzle_groups(c: Context) -> dict[str, DataFrame]:
     """Stacks by scattering each registered frame onto a finer grid; groups under min_frames are left to the other path.
 
@@ -480,7 +518,7 @@ def display(c: Context) -> dict[str, DataFrame]:
 
 def default_registry() -> Registry:
     r = Registry()
-    for name, f in (("calibrate", calibrate), ("cosmetic", cosmetic), ("debayer", debayer), ("register", register), ("select", select), ("stack", stack_groups), ("gradient", gradient), ("drizzle", drizzle_groups), ("cross_register", cross_register), ("merge", merge), ("display", display)):
+    for name, f in (("calibrate", calibrate), ("cosmetic", cosmetic), ("debayer", debayer), ("register", register), ("select", select), ("stack", stack_groups), ("gradient", gradient), ("colour", colour_step), ("drizzle", drizzle_groups), ("cross_register", cross_register), ("merge", merge), ("display", display)):
         r.add(FunctionStep(name, f))
     return r
 

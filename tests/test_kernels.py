@@ -171,3 +171,26 @@ def test_stars_align_turned_and_shifted_scenes():
     m = align(img, moved, Registration(method="stars"))
     back = K.transform(moved, m["dy"], m["dx"], m["rotation_deg"], m["scale"])
     assert K.pearson(img[12:-12, 12:-12], back[12:-12, 12:-12]) > 0.9
+
+
+def test_centroids_and_photometry():
+    img, _ = scene(64, 64, 8, 9)
+    moved = K.shift_integer(img, 3, -4)
+    blob = np.zeros((40, 40))
+    blob[10:14, 20:24] = 50.0
+    assert K.centroid_shift(blob, K.shift_integer(blob, -3, 5)) == (3.0, -5.0, "centroid")
+    assert K.centroid_shift(img, moved, least=10_000)[2] == "phase"
+    assert K.photometry(np.dstack([img] * 3), min_stars=500) == []
+
+
+def test_cells_that_stand_out_locally_leave_the_fit():
+    y, x = np.mgrid[0:128, 0:128]
+    plane = 100 + 0.2 * x + 0.1 * y
+    img = plane + np.random.default_rng(3).normal(0, 0.2, plane.shape)
+    img[40:48, 64:72] += 6  # one cell, less than the slope over the picture
+    pts = np.array(K.gradient_cells(img, 16))
+    out = K._stands_out(pts[:, :2], pts[:, 2], np.ones(len(pts), bool), 3.0)
+    assert out[5 * 16 + 8] and out.sum() < 8
+    assert not K._stands_out(pts[:, :2], np.ones(len(pts)), np.ones(len(pts), bool), 3.0).any()
+    fit = K.gradient_fit(img, 1, 16)
+    assert np.abs(K.gradient_model(img.shape, fit["coefficients"], 1) - plane).max() < 0.5 and fit["cells_used"] < 256

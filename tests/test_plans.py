@@ -280,3 +280,31 @@ def test_drizzle_drops(spark):
     assert {(r.oy, r.ox): r.weight for r in image.drizzle_footprint(px, ["g"], 2.0, F.lit(0.0), F.lit(0.0), F.lit(0.5), "tophat").collect()} == {(2 * y, 2 * x): 1.0 for y in range(4) for x in range(4)}
     d = spark.createDataFrame([("g", float(i % 5), 0.0) for i in range(12)], "g string, dy double, dx double")
     assert rows(image.dither(d, "g", "dy", "dx")) == [("g", 12, 5, 0.7)]
+
+
+def test_colour_against_a_catalogue(spark):
+    """A scene whose red is twice and blue half of the catalogue's; the factors bring it back."""
+    rnd = np.random.default_rng(2)
+    h, w, scale = 80, 90, 2.0
+    y, x = np.indices((h, w))
+    spots = [(12 + 16 * (i // 4), 12 + 20 * (i % 4)) for i in range(16)]
+    one = sum(200 * np.exp(-((y - a) ** 2 + (x - b) ** 2) / 4.0) for a, b in spots)
+    img = np.dstack([one * 1.6, one, one * 0.7]) + 10 + rnd.normal(0, 0.3, (h, w, 3))
+    px = [("g", i, j, k, 1, float(img[i, j, k])) for i in range(h) for j in range(w) for k in range(3)]
+    sky = [(n, 150.0 + (b - (w - 1) / 2) * scale / 3600 / np.cos(np.radians(20.0)), 20.0 + ((h - 1) / 2 - a) * scale / 3600, 10.0, 10.0, 10.0) for n, (a, b) in enumerate(spots)]
+    tables = {
+        "stacks": spark.createDataFrame(px, "group_hash string, y int, x int, c int, n long, value double"),
+        "wcs": spark.createDataFrame([("g", 150.0, 20.0, scale)], "group_hash string, ra0 double, dec0 double, scale double"),
+        "catalog": spark.createDataFrame([(int(r[0]), *map(float, r[1:])) for r in sky], "entry int, ra double, dec double, mag_r double, mag_g double, mag_b double"),
+    }
+    out = pipeline.colour_step(steps.Context(dict(tables), config.resolve({"colour": {"enabled": True}})))
+    r = out["colour"].first()
+    assert r.source == "catalog" and r.status == "ok" and abs(r.r_factor - 1 / 1.6) < 0.03 and abs(r.b_factor - 1 / 0.7) < 0.06
+    means = {m.c: m.v for m in out["stacks"].groupBy("c").agg(F.max("value").alias("v")).collect()}
+    assert abs(means[0] / means[1] - 1) < 0.05 and abs(means[2] / means[1] - 1) < 0.08
+    far = dict(tables, catalog=tables["catalog"].withColumn("mag_r", F.lit(13.0)))
+    for how, want in (("gray_world", "gray_world"), ("skip", "skip")):
+        got = pipeline.colour_step(steps.Context(dict(far), config.resolve({"colour": {"enabled": True, "fallback": how}})))["colour"].first()
+        assert (got.source, got.status) == (want, "rejected")
+    none = pipeline.colour_step(steps.Context({"stacks": tables["stacks"]}, config.resolve({"colour": {"enabled": True}})))
+    assert none["colour"].first().status == "no_catalogue" and none["stacks"].count() == len(px)
