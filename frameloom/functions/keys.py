@@ -120,10 +120,17 @@ FILE_PATTERNS = [
 ]
 
 
-def file_metadata(name: Column) -> Column:
-    """struct(pattern, exptime, gain, binning, temp) of a file name; null if no pattern fits."""
+def file_metadata(name: Column, overrides: dict[str, str] | None = None) -> Column:
+    """struct(pattern, exptime, gain, binning, temp) of a file name; null if no pattern fits.
+
+    overrides replaces the expression of a pattern by its label; case doesn't count. Its groups keep their meaning.
+    """
+    unknown = set(overrides or {}) - {p[0] for p in FILE_PATTERNS}
+    if unknown:
+        raise ValueError(f"unknown patterns: {', '.join(sorted(unknown))}")
     out = None
-    for label, pattern, groups in FILE_PATTERNS:
+    for label, default, groups in FILE_PATTERNS:
+        pattern = f"(?i){overrides[label]}" if overrides and label in overrides else default
         vals = [F.regexp_extract(name, pattern, g).try_cast(t) if g else F.lit(None).cast(t) for g, t in zip(groups, ("double", "int", "int", "double"))]
         row = F.struct(F.lit(label).alias("pattern"), *[v.alias(n) for v, n in zip(vals, ("exptime", "gain", "binning", "temp"))])
         out = F.when(name.rlike(pattern), row) if out is None else out.when(name.rlike(pattern), row)

@@ -412,30 +412,46 @@ def transform(img: np.ndarray, dy: float = 0.0, dx: float = 0.0, rotation_deg: f
     return sample(img, cy + (np.sin(a) * xx + np.cos(a) * yy) / scale, cx + (np.cos(a) * xx - np.sin(a) * yy) / scale)
 
 
-def log_polar(img: np.ndarray, angles: int = 180, radii: int = 64) -> np.ndarray:
-    """Magnitudes of the spectrum over angle and log radius."""
-    mag = np.log1p(np.abs(np.fft.fftshift(np.fft.fft2((img - img.mean()) * np.outer(np.hanning(img.shape[0]), np.hanning(img.shape[1]))))))
-    cy, cx = img.shape[0] // 2, img.shape[1] // 2
+def polar_spectrum(img: np.ndarray, angles: int = 720, radii: int = 64) -> np.ndarray:
+    """Magnitudes of the spectrum over half a turn and log radius, each radius less its mean over the angles.
+
+    A round window keeps the frame's sides out of the spectrum; the innermost
+    frequencies, where the pixel grid shows, are left out.
+    """
+    h, w = img.shape
+    y, x = np.mgrid[0:h, 0:w]
+    r = np.hypot((y - (h - 1) / 2) / (h / 2), (x - (w - 1) / 2) / (w / 2))
+    win = np.where(r < 1, np.cos(np.pi * np.minimum(r, 1) / 2) ** 2, 0.0)
+    mag = np.log1p(np.abs(np.fft.fftshift(np.fft.fft2((img - (img * win).sum() / win.sum()) * win))))
+    # Frequencies per axis, so that a circle is one on oblong frames too.
+    most = 0.5 * (1 - 2 / min(h, w))
     t = np.linspace(0, np.pi, angles, endpoint=False)[:, None]
-    r = np.exp(np.linspace(0, np.log(max(min(cy, cx) - 1, 2)), radii))[None, :]
-    return sample(mag, cy + r * np.sin(t), cx + r * np.cos(t))
+    f = np.exp(np.linspace(np.log(min(5 / min(h, w), most / 2)), np.log(most), radii))[None, :]
+    out = sample(mag, h // 2 + f * h * np.sin(t), w // 2 + f * w * np.cos(t))
+    return out - out.mean(axis=0)
 
 
 def rotation_between(ref: np.ndarray, img: np.ndarray, most: float = 30.0) -> tuple[float, float]:
     """Rotation in degrees that turns img onto ref and the correlation there.
 
-    The log-polar spectra give a coarse angle; angles around it and around zero
-    are compared by correlation in steps of 0.25 degrees.
+    The polar spectra, which a shift leaves alone, give a coarse angle by their
+    circular correlation. Angles around it and around zero, in steps of 0.25 degrees, are
+    compared by the correlation of the images after the shift that is left between them.
     """
-    a, b = log_polar(ref), log_polar(img)
-    dt, _ = phase_shift(a, b)
-    coarse = -dt * 180.0 / a.shape[0]
-    tries = {0.0}
-    for c in (coarse, -coarse):
-        if abs(c) <= most:
-            tries |= {c + 0.25 * k for k in range(-3, 4)}
-    best = max(((pearson(ref, transform(img, rotation_deg=t)), -abs(t), t) for t in sorted(tries)))
-    return float(best[2]), float(best[0])
+    a, b = polar_spectrum(ref), polar_spectrum(img)
+    score = np.fft.ifft((np.fft.fft(a, axis=0) * np.conj(np.fft.fft(b, axis=0))).sum(axis=1)).real
+    turn = np.arange(len(score)) * 180.0 / len(score)
+    turn = np.where(turn >= 90, turn - 180, turn)
+    coarse = float(turn[np.argmax(np.where(np.abs(turn) <= most, score, -np.inf))])
+    tries = {0.0} | {round((c + 0.25 * k) * 4) / 4 for c in (coarse, -coarse) for k in range(-3, 4)}
+    best = []
+    for t in sorted(x for x in tries if abs(x) <= most):
+        turned = transform(img, rotation_deg=t)
+        dy, dx = phase_shift(ref, turned)
+        moved = transform(turned, dy, dx)
+        best.append((max(pearson(ref, turned), pearson(ref, moved)), -abs(t), t))
+    r, _, t = max(best)
+    return float(t), float(r)
 
 
 def match_triangles(a: list[dict], b: list[dict], most: int = 50, tolerance: float = 0.01) -> dict | None:

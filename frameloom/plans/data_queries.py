@@ -57,6 +57,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_flags(spark, d).select("frame_id", "field_name")
 
 
+def p3_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The impossible readings among the flags, which SQL can find as well."""
+    return p3_flags(spark, d).where("reason = 'limit'").select("frame_id", "field_name")
+
+
 def p4_fills(spark: SparkSession, d: str) -> DataFrame:
     """frame_id, field_name, value, fill_method, fill_distance, fill_level of every filled value."""
     lights = _lights(spark, d, "frame_id", "session_id", "device_id", "idx", "exptime", "gain", "xbinning", "xpixsz", "focallen", "received_at")
@@ -141,7 +146,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_items(spark, d).select("entry_id", "pos", "alias_text").distinct()
 
 
+def p6_simple(spark: SparkSession, d: str) -> DataFrame:
+    """The names of entries packed by semicolons alone, which SQL can split as well."""
+    both = read_table(spark, d, "target_cache").select("entry_id", "aliases").unionByName(read_table(spark, d, "cache_entries").select("entry_id", "aliases"))
+    plain = both.where(F.col("aliases").rlike(r"^[A-Za-z0-9 ]*[A-Za-z0-9](?: ?; ?[A-Za-z0-9 ]*[A-Za-z0-9])+$")).select("entry_id").distinct()
+    return p6_found(spark, d).join(plain, "entry_id", "left_semi")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_table, p1_migrations, p1_versions, p3_found, p3_flags, p4_found, p4_fills, p5_found, p5_instants, p5_unread, p5_explicit, p6_found, p6_items)
+    for f in (p1_found, p1_table, p1_migrations, p1_versions, p3_found, p3_flags, p3_limits, p4_found, p4_fills, p5_found, p5_instants, p5_unread, p5_explicit, p6_found, p6_items, p6_simple)
 }

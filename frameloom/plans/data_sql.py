@@ -70,4 +70,9 @@ SQL: dict[str, str] = {
     # What is no instant in these tables: no card, a blank one, placeholder words and the date of zeros.
     "p5_unread": """SELECT DISTINCT frame_id, CASE WHEN date_obs_card IS NULL THEN 'no_text' WHEN trim(date_obs_card) = '' THEN 'blank' WHEN date_obs_card LIKE '0000-00-00%' THEN 'no_such_date' ELSE 'no_format' END AS reason
  FROM frames WHERE date_obs_card IS NULL OR trim(date_obs_card) = '' OR date_obs_card LIKE '0000-00-00%' OR NOT regexp_matches(date_obs_card, '\\d')""",
+    "p3_limits": """SELECT DISTINCT frame_id, 'ccd_temp' AS field_name FROM frames WHERE frame_type = 'light' AND NOT isnan(ccd_temp) AND (ccd_temp < -100 OR ccd_temp > 80)
+ UNION ALL SELECT DISTINCT frame_id, 'exptime' FROM frames WHERE frame_type = 'light' AND NOT isnan(exptime) AND (exptime < 1e-6 OR exptime > 86400)""",
+    "p6_simple": """WITH b AS (SELECT DISTINCT entry_id, aliases FROM (SELECT entry_id, aliases FROM target_cache UNION ALL SELECT entry_id, aliases FROM cache_entries) WHERE regexp_full_match(aliases, '[A-Za-z0-9 ]*[A-Za-z0-9](?: ?; ?[A-Za-z0-9 ]*[A-Za-z0-9])+')),
+ s AS (SELECT entry_id, unnest(string_split(aliases, ';')) AS n, generate_subscripts(string_split(aliases, ';'), 1) AS i FROM b), t AS (SELECT entry_id, trim(n) AS alias_text, i FROM s WHERE trim(n) <> '')
+ SELECT entry_id, row_number() OVER (PARTITION BY entry_id ORDER BY i)::INTEGER AS pos, alias_text FROM t""",
 }

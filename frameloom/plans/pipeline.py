@@ -180,6 +180,8 @@ def align(ref: np.ndarray, img: np.ndarray, p) -> dict:
     ha, hb = (x - kernels.gaussian_blur(x, p.high_pass) for x in (ref, img))
     dy, dx = SHIFTS[p.method](ha, hb)
     rot = kernels.rotation_between(ha, hb, p.max_rotation_deg)[0] if p.method == "rotation_fft" else 0.0
+    if rot:
+        dy, dx = SHIFTS[p.method](ha, kernels.transform(hb, rotation_deg=rot))
     best = {"dy": dy, "dx": dx, "rotation_deg": rot, "scale": 1.0, "corr_hp": kernels.pearson(ha, kernels.transform(hb, dy, dx, rot)), "points": None, "way": "shift"}
     if p.method == "stars" and (m := kernels.match_triangles(kernels.detect_stars(img), kernels.detect_stars(ref))):
         # The similarity turns about the origin, transform about the centre.

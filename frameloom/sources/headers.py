@@ -36,7 +36,7 @@ DOUBLES = {"exptime", "ccd_temp", "focal_length", "aperture", "pixel_size_x", "p
 CALIBRATION = ("dark", "flat", "bias", "dark_flat")
 
 
-def typed_frames(scanned: DataFrame) -> DataFrame:
+def typed_frames(scanned: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
     """path, idx, frame_type and one typed column per field, raw_cards kept.
 
     The first alias present decides, even if its value can't be used. Calibration
@@ -57,7 +57,7 @@ def typed_frames(scanned: DataFrame) -> DataFrame:
             cols[name] = F.trim(raw)
     typed = scanned.where("raw_cards is not null").withColumns(cols)
     typed = typed.withColumn("frame_type", keys.frame_type(F.col("name"), F.col("object_name")))
-    meta = F.when(F.col("frame_type").isin(*CALIBRATION), keys.file_metadata(F.col("name")))
+    meta = F.when(F.col("frame_type").isin(*CALIBRATION), keys.file_metadata(F.col("name"), patterns))
     filled = typed.withColumn("__m", meta).withColumns(
         {
             "exptime": F.coalesce("exptime", F.col("__m.exptime")),

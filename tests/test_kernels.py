@@ -194,3 +194,21 @@ def test_cells_that_stand_out_locally_leave_the_fit():
     assert not K._stands_out(pts[:, :2], np.ones(len(pts)), np.ones(len(pts), bool), 3.0).any()
     fit = K.gradient_fit(img, 1, 16)
     assert np.abs(K.gradient_model(img.shape, fit["coefficients"], 1) - plane).max() < 0.5 and fit["cells_used"] < 256
+
+
+def test_rotations_are_found_under_a_shift():
+    for seed, turn, shift in ((18, 1.5, (0, 0)), (19, -2.25, (3, -2)), (20, 0.0, (0, 4))):
+        img, _ = scene(96, 110, 25, seed)
+        found, r = K.rotation_between(img, K.transform(img, *shift, rotation_deg=-turn), 5.0)
+        assert abs(found - turn) <= 0.25 and r > 0.5
+
+
+def test_registration_with_a_rotation():
+    from frameloom.plans.config import Registration
+    from frameloom.plans.pipeline import align
+
+    img, _ = scene(96, 96, 25, 21)
+    moved = K.transform(img, 2.0, 3.0, -1.5)
+    m = align(img, moved, Registration(method="rotation_fft"))
+    back = K.transform(moved, m["dy"], m["dx"], m["rotation_deg"])
+    assert K.pearson(img[12:-12, 12:-12], back[12:-12, 12:-12]) > 0.8
