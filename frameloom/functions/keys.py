@@ -62,6 +62,21 @@ def first_present(cards: Column, aliases: list[str]) -> Column:
     return out
 
 
+def raw_card(cards: Column, card: str, aliases: list[str]) -> Column:
+    """Value of a card, else of the first of its aliases, else of a card that differs in case only; blank and null values don't count.
+
+    Of several that differ in case the least name is taken.
+    """
+
+    def value(c: str) -> Column:
+        v = F.element_at(cards, c)
+        return F.when(v != "", v)
+
+    same = F.map_filter(cards, lambda k, v: (F.lower(k) == card.lower()) & (v != ""))
+    loose = F.element_at(same, F.array_min(F.map_keys(same)))
+    return F.coalesce(*[value(c) for c in dict.fromkeys([card, *aliases])], loose)
+
+
 def without_unit(text: Column) -> Column:
     """Number before a unit (`30s`, `-4.5 C`), null if there is none."""
     return F.regexp_replace(F.trim(text), r"\s*[a-zA-Z/°]+$", "").try_cast("double")

@@ -204,7 +204,8 @@ def fill_fields(df: DataFrame, run: str, order: str, key: str, fills: list[Fill]
     ).where("__any").drop("__any")
     wide = [(i, f) for i, f in enumerate(fills) if f.beyond]
     if wide:
-        whole = edges.groupBy("__run", *cols.values()).agg(F.min("__got").alias("__got"), *[F.max(f"__last{i}").alias(f"__last{i}") for i, _ in wide])
+        shared = list(dict.fromkeys(cols[c] for _, f in wide for c in f.beyond))
+        whole = edges.groupBy("__run", *shared).agg(F.min("__got").alias("__got"), *[F.max(f"__last{i}").alias(f"__last{i}") for i, _ in wide])
         if at is not None:
             whole = whole.join(at.select(F.col(run).alias("__run"), F.col("day").cast("int").alias("__at")), "__run", "left")
             whole = whole.withColumn("__day", F.coalesce("__at", "__got"))
@@ -219,7 +220,7 @@ def fill_fields(df: DataFrame, run: str, order: str, key: str, fills: list[Fill]
         spread = whole.withColumns(near)
         day = F.col("__day").cast("long")
         stand = [F.when(sure(f.beyond) & F.col("__day").isNotNull(), _between(day, F.col(f"__p{i}"), F.col(f"__n{i}"), False)).alias(f"__w{i}") for i, f in wide]
-        each = F.struct(*cols.values(), *stand)
+        each = F.struct(*shared, *stand)
         carry = carry.join(spread.groupBy("__run").agg(F.collect_set(each).alias("__wide")), "__run", "left")
     # Second scan: blocks with something missing.
     joined = rows.join(carry, ["__run", "__b"])

@@ -195,6 +195,13 @@ def weight_stats(drizzled: DataFrame, group: str, channel: str) -> DataFrame:
     return drizzled.groupBy(group).agg(F.min("weight").alias("weight_min"), F.median("weight").alias("weight_median")).join(holes, group)
 
 
+def downsample(px: DataFrame, frame: list[str], h: int, w: int, most: int, value: str = "value") -> DataFrame:
+    """frame, y, x, value of every k-th pixel, with the least k that leaves at most `most` a side; no shuffle."""
+    k = max(1, -(-max(h, w) // most))
+    at = px.where((F.col("y") % k == 0) & (F.col("x") % k == 0))
+    return at.select(*frame, F.floor(F.col("y") / k).cast("int").alias("y"), F.floor(F.col("x") / k).cast("int").alias("x"), value)
+
+
 def colour_excess(px: DataFrame, group: list[str], value: str = "value", fail_over: float = 15.0) -> DataFrame:
     """group, excess_percent, status: green of an RGGB mosaic over the mean of red and blue."""
     py, qx, v = F.col("y") % 2, F.col("x") % 2, F.col(value)

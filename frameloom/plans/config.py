@@ -86,7 +86,7 @@ class Drizzle:
     enabled: bool = False
     scale: float = 2.0
     pixfrac: float | None = None
-    kernel: str = "lanczos3"
+    kernel: str = "point"
     min_frames: int = 5
     gate: bool = True
     min_stars: int = 3

@@ -161,12 +161,12 @@ def calibrate_pixels(spark: SparkSession, d: str) -> DataFrame:
 
 # The planes of a colour image: px % 3 as channel.
 RGB = """rgb AS (SELECT vec_id, label, i // 3 AS p, max(CASE WHEN i % 3 = 0 THEN v END) AS r, max(CASE WHEN i % 3 = 1 THEN v END) AS g, max(CASE WHEN i % 3 = 2 THEN v END) AS b
- FROM (SELECT vec_id, label, abs(unnest(embedding)::DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) WHERE i < 63 GROUP BY ALL)"""
+ FROM (SELECT vec_id, label, abs(unnest(embedding)::DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL)"""
 
 
 def colours(spark: SparkSession, d: str) -> DataFrame:
     """vec_id, label, p, r, g, b of absolute values."""
-    e = read_table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "v")).where("i < 63")
+    e = read_table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "v"))
     v = F.abs(F.col("v").cast("double"))
     c = F.col("i") % 3
     return e.groupBy("vec_id", "label", F.floor(F.col("i") / 3).alias("p")).agg(*[F.max(F.when(c == k, v)).alias(n) for k, n in enumerate("rgb")])
@@ -196,8 +196,9 @@ def asinh_auto(spark: SparkSession, d: str) -> DataFrame:
 SELECT vec_id, p, round(greatest(r - mr, 0), 6) AS r, round(greatest(g - mg, 0), 6) AS g, round(greatest(b - mb, 0), 6) AS b FROM m""")
 def background_neutral(spark: SparkSession, d: str) -> DataFrame:
     """Channels less their median."""
-    # The first 63 values as a row of 21 colour pixels.
-    rgb = read_table(spark, d, "embeddings").select("vec_id", F.lit(1).alias("h"), F.lit(21).alias("w"), F.lit(3).alias("ch"), F.transform(F.slice("embedding", 1, 63), lambda v: F.abs(v.cast("double"))).alias("data"))
+    # A row of 22 colour pixels, the last with one channel.
+    none = F.array(*[F.lit(None).cast("double")] * 2)
+    rgb = read_table(spark, d, "embeddings").select("vec_id", F.lit(1).alias("h"), F.lit(22).alias("w"), F.lit(3).alias("ch"), F.concat(F.transform("embedding", lambda v: F.abs(v.cast("double"))), none).alias("data"))
     px = stack.to_pixels(T.neutralise(rgb, ["vec_id"]), ["vec_id"], channels="ch")
     out = px.groupBy("vec_id", F.col("x").alias("p")).agg(*[F.max(F.when(F.col("c") == i, F.col("value"))).alias(n) for i, n in enumerate("rgb")])
     return out.select("vec_id", "p", *[R6(c).alias(c) for c in "rgb"])
@@ -340,11 +341,18 @@ def colour_excess(spark: SparkSession, d: str) -> DataFrame:
     return out.select("label", R6("excess_percent").alias("excess_percent"), "status")
 
 
-@query(f"""WITH {RGB} SELECT vec_id, p, round(0.299 * r + 0.587 * g + 0.114 * b, 6) AS luma, round((r + g + b) / 3, 6) AS mono FROM rgb WHERE p % 2 = 0""")
+@query(f"""WITH {RGB} SELECT vec_id, p, round(0.299 * r + 0.587 * g + 0.114 * b, 6) AS luma, round((r + g + b) / 3, 6) AS mono FROM rgb""")
 def luminance_mono(spark: SparkSession, d: str) -> DataFrame:
-    """Luminance and channel mean of every second pixel."""
+    """Luminance and channel mean of every pixel; null where a channel is missing."""
     r, g, b = (F.col(c) for c in "rgb")
-    return colours(spark, d).where("p % 2 = 0").select("vec_id", "p", R6(image.luminance(r, g, b)).alias("luma"), R6((r + g + b) / 3).alias("mono"))
+    return colours(spark, d).select("vec_id", "p", R6(image.luminance(r, g, b)).alias("luma"), R6((r + g + b) / 3).alias("mono"))
+
+
+@query(f"WITH {PX} SELECT vec_id, y // 4 AS y, x // 4 AS x, round(v, 6) AS value FROM px WHERE y % 4 = 0 AND x % 4 = 0")
+def downsample(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of at most two pixels a side by a stride, as checks on large products use them (the stride is the feature)."""
+    out = image.downsample(pixels(spark, d), ["vec_id"], 8, 8, 2)
+    return out.select("vec_id", "y", "x", R6("value").alias("value"))
 
 
 @query(f"""WITH {PX}, b AS (SELECT vec_id, label, y, x, CASE WHEN vec_id % 7 = 0 AND y = 3 AND x = 3 THEN 'nan'::DOUBLE WHEN vec_id % 11 = 0 AND y = 0 AND x = 0 THEN NULL ELSE v END AS v FROM px),

@@ -84,6 +84,14 @@ def alias_resolution(spark: SparkSession, d: str) -> DataFrame:
     return card.select("frame_id", "card", n.alias("temp"), n.try_cast("int").alias("temp_int"))
 
 
+@query(f"""WITH {FRAMES_SQL}, v AS (SELECT frame_id, raw_cards AS m, coalesce(nullif(raw_cards['DET-TEMP'], ''), {', '.join(f"nullif(raw_cards['{a}'], '')" for a in TEMP_ALIASES)}) AS v,
+ list_sort(list_filter(map_keys(raw_cards), lambda k: lower(k) = 'det-temp' AND raw_cards[k] <> ''))[1] AS loose FROM fr)
+SELECT frame_id, coalesce(v, m[loose]) AS card FROM v""")
+def alias_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The sensor temperature as written, under any alias, or its card's name in another case."""
+    return frames(spark, d, "raw_cards").select("frame_id", keys.raw_card(F.col("raw_cards"), "DET-TEMP", TEMP_ALIASES).alias("card"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, try_cast(regexp_replace(t, '\\s*[a-zA-Z/]+$', '') AS DOUBLE) AS value,
   try_cast(trunc(try_cast(regexp_replace(t, '\\s*[a-zA-Z/]+$', '') AS DOUBLE)) AS INTEGER) AS whole
 FROM (SELECT l_orderkey, l_linenumber, (l_quantity::BIGINT)::VARCHAR || CASE l_linenumber % 4 WHEN 0 THEN 's' WHEN 1 THEN ' mm/s' WHEN 2 THEN '' ELSE 'x9' END AS t FROM lineitem)""")

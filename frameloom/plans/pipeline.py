@@ -344,8 +344,10 @@ def drizzle_groups(c: Context) -> dict[str, DataFrame]:
     registration; shifts measured on another size are scaled to theirs. Pixels
     of a mosaic that was registered in colour go to their own colour's channel.
     Where quality was measured and the gate is on, frames with fewer than
-    min_stars stars are left out, unless no frame of the group has so many: stars say nothing there. Without a pixfrac it follows from the phases and
-    frames of a group; `drizzle_groups` has it, and why a group was left out.
+    min_stars stars are left out, unless no frame of the group has so many: stars say nothing there.
+    The kernel `point` shares a pixel among the four cells around its place; lanczos3, gaussian and
+    tophat spread drops of the pixfrac, which follows from the phases and frames of a group where none is given.
+    `drizzle_groups` has it, and why a group was left out.
     """
     p = c.params.drizzle
     if not p.enabled:
@@ -367,7 +369,7 @@ def drizzle_groups(c: Context) -> dict[str, DataFrame]:
     px = stack.to_pixels(source, ["group_hash", "dy", "dx", "mosaic", "pixfrac"], channels="ch")
     # RGGB: red where both coordinates are even, blue where both are odd.
     px = px.withColumn("c", F.when(F.col("mosaic"), F.col("y") % 2 + F.col("x") % 2).otherwise(F.col("c")))
-    if p.pixfrac is None and p.kernel == "lanczos3" or p.kernel == "point":
+    if p.kernel == "point":
         out = image.drizzle(px, ["group_hash", "c"], p.scale, F.col("dy") * p.scale, F.col("dx") * p.scale)
     else:
         out = image.drizzle_footprint(px, ["group_hash", "c"], p.scale, F.col("dy") * p.scale, F.col("dx") * p.scale, F.col("pixfrac"), p.kernel)
