@@ -201,7 +201,8 @@ def background_neutral(spark: SparkSession, d: str) -> DataFrame:
     rgb = read_table(spark, d, "embeddings").select("vec_id", F.lit(1).alias("h"), F.lit(22).alias("w"), F.lit(3).alias("ch"), F.concat(F.transform("embedding", lambda v: F.abs(v.cast("double"))), none).alias("data"))
     px = stack.to_pixels(T.neutralise(rgb, ["vec_id"]), ["vec_id"], channels="ch")
     out = px.groupBy("vec_id", F.col("x").alias("p")).agg(*[F.max(F.when(F.col("c") == i, F.col("value"))).alias(n) for i, n in enumerate("rgb")])
-    return out.select("vec_id", "p", *[R6(c).alias(c) for c in "rgb"])
+    # A channel that is missing is shown as 0.
+    return out.select("vec_id", "p", *[F.coalesce(R6(c), F.lit(0.0)).alias(c) for c in "rgb"])
 
 
 @query(f"WITH {RGB} SELECT vec_id, p, round(r, 6) AS r, round(g - 0.5 * greatest(0, g - greatest(r, b)), 6) AS g, round(b, 6) AS b FROM rgb")
